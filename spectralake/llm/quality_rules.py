@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from spectralake.llm.common import encoded, grams, saved, word_hashes
@@ -67,7 +68,7 @@ def with_statistics(documents: DataFrame, columns: list[str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), stats], names=[*columns, "_stats"])
 
     base = documents.select(*columns, F.col("text").alias("_text"))
-    shape = base.select(*columns).schema.add("_stats", "struct<" + ",".join(f"{c}:bigint" for c in STATS) + ">")
+    shape = StructType([*base.select(*columns).schema.fields, *StructType.fromDDL("_stats struct<" + ",".join(f"{c}:bigint" for c in STATS) + ">").fields])
     return base.mapInArrow(work, shape)
 
 
