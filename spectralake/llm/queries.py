@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spectralake.llm import bpe, quality_rules, substring_dedup, suffix_dedup, url_filters
+from spectralake.llm import bpe, near_dedup, quality_rules, substring_dedup, suffix_dedup, url_filters
 from spectralake.llm.common import bounded_batches, table
 
 # The rules of op9.
@@ -23,6 +23,11 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove(table(spark, sf_dir, "documents"), keep_text=False)
 
 
+def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
+    return near_dedup.group(table(spark, sf_dir, "documents"), k=2, percent=80)
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -42,6 +47,7 @@ def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_url_filters": op9_url_filters,
