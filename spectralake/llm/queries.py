@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spectralake.llm import bpe, near_dedup, quality_rules, substring_dedup, suffix_dedup, url_filters
+from spectralake.llm import bpe, decontaminate, html_text, near_dedup, quality_rules, substring_dedup, suffix_dedup, url_filters
 from spectralake.llm.common import bounded_batches, table
 
 # The rules of op9.
@@ -28,6 +28,11 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.group(table(spark, sf_dir, "documents"), k=2, percent=80)
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -44,11 +49,17 @@ def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
+    "op6_html_extraction": op6_html_extraction,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_url_filters": op9_url_filters,
+    "op10_decontamination": op10_decontamination,
 }
