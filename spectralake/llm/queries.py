@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from spectralake.llm import bpe, decontaminate, html_text, near_dedup, quality_rules, substring_dedup, suffix_dedup, url_filters
-from spectralake.llm.common import bounded_batches, table
+from spectralake.llm import bpe, decontaminate, html_text, language_id, near_dedup, quality_net, quality_rules, substring_dedup, suffix_dedup, url_filters
+from spectralake.llm.common import bounded_batches, crc_bucket, table
 
 # The rules of op9.
 URL_RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
@@ -18,6 +19,14 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op2_quality_net(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
+    documents, fold = table(spark, sf_dir, "documents"), crc_bucket("doc_id", 4)
+    net = quality_net.train(documents, table(spark, sf_dir, "labels"), fold != 2)
+    out = quality_net.scored(documents, net, ["doc_id"])
+    return out.select("doc_id", (fold == 2).alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     bounded_batches(spark)
     return substring_dedup.remove(table(spark, sf_dir, "documents"), keep_text=False)
@@ -28,6 +37,13 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.group(table(spark, sf_dir, "documents"), k=2, percent=80)
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
+    documents, fold = table(spark, sf_dir, "documents"), crc_bucket("doc_id", 5)
+    model = language_id.train(documents, fold != 0)
+    return language_id.identified(documents, model, ["doc_id"]).select("doc_id", (fold == 0).alias("held_out"), "lang_pred", "score")
+
+
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     bounded_batches(spark)
     return html_text.extract(table(spark, sf_dir, "pages"))
@@ -55,8 +71,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_quality_net": op2_quality_net,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
+    "op5_language_id": op5_language_id,
     "op6_html_extraction": op6_html_extraction,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_suffix_dedup": op8_suffix_dedup,
