@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Iterator
 
@@ -33,7 +34,11 @@ def saved(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spectralake-"))
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    # shuffle files of finished steps go only once the JVM has collected what refers to them
+    gc.collect()
+    sc._jvm.System.gc()
+    return out
 
 
 def partitions(spark: SparkSession, factor: int = 1) -> int:

@@ -15,80 +15,110 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from spectralake.llm.anchors import Rolling, phrases
+from spectralake.llm.anchors import Rolling, parts, phrases
 from spectralake.llm.common import saved
 
+Symbols = Callable[[str | None], np.ndarray]
+
+
 def row_key() -> Column:
     return F.xxhash64("doc_id", "text")
 
 
-def _phrases(documents: DataFrame, symbols: Callable[[str | None], np.ndarray], window: int, seed: int) -> DataFrame:
+_ROWS = "_k long, first int, last int, at int, v long, seed long, phrase long"
+#: Window starts that a phrase is cut into before its windows are compared one by one.
+STEP = 16
+
+
+def _batch(keys: np.ndarray, first: np.ndarray, last: np.ndarray, at: np.ndarray, v: pa.Array, seed: np.ndarray, phrase: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(keys), *(pa.array(x.astype(np.int32)) for x in (first, last, at)), v, pa.array(seed.view(np.int64)), pa.array(phrase.view(np.int64))],
+        names=["_k", "first", "last", "at", "v", "seed", "phrase"],
+    )
+
+
+def _phrases(documents: DataFrame, symbols: Symbols, window: int, seed: int, again: bool) -> DataFrame:
+    """Level 1: one row for each phrase of each document."""
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out, keys, docs, n = [], [], [], []
+            out, keys, values = [], [], []
             for k, d, t in zip(b.column("_k").to_pylist(), b.column("doc_id").to_pylist(), b.column("text"), strict=True):
                 s = symbols(t.as_py())
-                if len(s) < window:
-                    continue
-                first, last, h, whole = phrases(Rolling(s), window, seed)
-                out.append((first, last, h.view(np.int64), whole.view(np.int64)))
-                keys.append(k)
-                docs.append(d)
-                n.append(len(first))
+                if len(s) >= window:
+                    out.append(phrases(Rolling(s), window, seed))
+                    keys.append(k)
+                    values.append(1 if again else d)
             if out:
-                cols = [np.concatenate(c) for c in zip(*out, strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(np.array(keys, np.int64), n)), pa.array(docs, pa.int64()).take(pa.array(np.repeat(np.arange(len(n)), n))), pa.array(cols[0].astype(np.int32)), pa.array(cols[1].astype(np.int32)), pa.array(cols[2]), pa.array(cols[3])],
-                    names=["_k", "doc_id", "first", "last", "seed", "phrase"],
-                )
+                n = [len(x[0]) for x in out]
+                each = np.repeat(np.arange(len(n)), n)
+                first, last, at, h, whole = (np.concatenate(c) for c in zip(*out, strict=True))
+                yield _batch(np.array(keys, np.int64)[each], first, last, at, pa.array(values, pa.int64()).take(pa.array(each)), h, whole)
 
-    return documents.select(row_key().alias("_k"), F.col("doc_id").cast("long"), "text").mapInArrow(work, "_k long, doc_id long, first int, last int, seed long, phrase long")
+    return documents.select(row_key().alias("_k"), F.col("doc_id").cast("long"), "text").mapInArrow(work, _ROWS)
 
 
-def _windows(documents: DataFrame, open_: DataFrame, symbols: Callable[[str | None], np.ndarray], window: int) -> DataFrame:
-    """(w, _k, pos, v) for each window of the phrases listed in ``open_``."""
+def _listed(documents: DataFrame, open_: DataFrame, symbols: Symbols, work: Callable, shape: str) -> DataFrame:
+    """``work(rolling, key, first, last, at, v)`` for the open phrases of each row, on its text."""
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for k, t, listed in zip(b.column("_k").to_pylist(), b.column("text"), b.column("_open").to_pylist(), strict=True):
-                r = Rolling(symbols(t.as_py()))
-                at = np.concatenate([np.arange(x["first"], x["last"] + 1) for x in listed])
-                v = pa.array([x["v"] for x in listed], pa.int64()).take(pa.array(np.repeat(np.arange(len(listed)), [x["last"] + 1 - x["first"] for x in listed])))
-                yield pa.RecordBatch.from_arrays([pa.array(r.hashes(at, at + window).view(np.int64)), pa.array(np.full(len(at), k, np.int64)), pa.array(at.astype(np.int32)), v], names=["w", "_k", "pos", "v"])
+            for k, t, x in zip(b.column("_k").to_pylist(), b.column("text"), b.column("_open"), strict=True):
+                fields = x.values.flatten()
+                first, last, at = (f.to_numpy(zero_copy_only=False).astype(np.int64) for f in fields[:3])
+                yield work(Rolling(symbols(t.as_py())), k, first, last, at, fields[3])
 
-    return documents.select(row_key().alias("_k"), "text").join(open_, "_k").mapInArrow(work, "w long, _k long, pos int, v long")
+    once = documents.select(row_key().alias("_k"), "text")
+    return once.join(open_, "_k").mapInArrow(run, shape)
 
 
-def spans(documents: DataFrame, symbols: Callable[[str | None], np.ndarray], window: int, seed: int, rule: str) -> DataFrame:
-    """(_k, spans): places of windows to go, as runs of starts ``[first, last]``; rows without any are missing."""
-    found = _phrases(documents, symbols, window, seed)
-    again = rule == "again"
-    measure = [F.count("*").alias("n"), F.min("doc_id").alias("low"), F.min(F.struct("_k", "first")).alias("rep")]
+def _resolved(found: DataFrame, again: bool) -> DataFrame:
+    """(_k, _settled, _open): runs of starts that are known to go, and those that the next level must look into."""
+    measure = [F.sum("v").alias("n"), F.min(F.struct("_k", "first")).alias("rep")] if again else [F.min("v").alias("low"), F.max("v").alias("high")]
     dictionary = found.groupBy("seed", "phrase").agg(*measure)
-    shared = found.groupBy("seed").agg(F.count("*").alias("all"), F.min("doc_id").alias("seed_low"), F.max("doc_id").alias("seed_high"), F.min("phrase").alias("p0"), F.max("phrase").alias("p1"))
-    shared = shared.where(F.col("all") > 1).where(F.lit(True) if again else F.col("seed_low") < F.col("seed_high"))
-    known = dictionary.join(shared, "seed").select("seed", "phrase", "n", "low", "rep", (F.col("p0") != F.col("p1")).alias("mixed"))
+    ends = [F.sum("n").alias("_n")] if again else [F.min("low").alias("_low"), F.max("high").alias("_high")]
+    shared = dictionary.groupBy("seed").agg(*ends, (F.min("phrase") != F.max("phrase")).alias("mixed")).where("_n > 1" if again else "_low < _high")
+    known = dictionary.join(shared.select("seed", "mixed"), "seed").where("mixed or n > 1" if again else "mixed or low < high")
     rows = found.join(known, ["seed", "phrase"])
-    settled = F.col("n") > 1 if again else F.coalesce(F.col("low") < F.col("doc_id"), F.lit(False))
-    is_rep = F.col("rep") == F.struct("_k", "first")
-    opened = F.col("mixed") & (is_rep if again else ~settled)
-    value = F.col("n") if again else F.col("doc_id")
-    marked = rows.select("_k", "first", "last", settled.alias("settled"), opened.alias("opened"), value.alias("v")).where("settled or opened")
-    by_row = marked.groupBy("_k").agg(
-        F.collect_list(F.when(F.col("settled"), F.struct("first", "last"))).alias("_settled"),
-        F.collect_list(F.when(F.col("opened"), F.struct("first", "last", "v"))).alias("_open"),
+    settled = F.col("n") > 1 if again else F.coalesce(F.col("low") < F.col("v"), F.lit(False))
+    opened = F.col("mixed") & ((F.col("rep") == F.struct("_k", "first")) if again else ~settled)
+    marked = rows.select("_k", "first", "last", "at", (F.col("n") if again else F.col("v")).alias("v"), settled.alias("settled"), opened.alias("opened")).where("settled or opened")
+    return saved(
+        marked.groupBy("_k").agg(
+            F.collect_list(F.when(F.col("settled"), F.struct("first", "last"))).alias("_settled"),
+            F.collect_list(F.when(F.col("opened"), F.struct("first", "last", "at", "v"))).alias("_open"),
+        )
     )
-    by_row = saved(by_row)
-    windows = _windows(documents, by_row.where(F.size("_open") > 0).select("_k", "_open"), symbols, window)
+
+
+def spans(documents: DataFrame, symbols: Symbols, window: int, seed: int, rule: str) -> DataFrame:
+    """(_k, _settled, _places): runs and single places of window starts that go; rows without any may be missing."""
+    again = rule == "again"
+    step = max(2, min(STEP, window // 4))
+    opened = lambda x: x.where(F.size("_open") > 0).select("_k", "_open")
+
+    def cut_up(rolling, k, first, last, at, v):
+        which, lo, hi, core, whole = parts(rolling, first, last, at, window, step)
+        return _batch(np.full(len(lo), k, np.int64), lo, hi, at[which], v.take(pa.array(which)), core, whole)
+
+    def single(rolling, k, first, last, at, v):
+        n = last - first + 1
+        which = np.repeat(np.arange(len(n)), n)
+        pos = first[which] + np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+        w = rolling.hashes(pos, pos + window).view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(w), pa.array(np.full(len(pos), k, np.int64)), pa.array(pos.astype(np.int32)), v.take(pa.array(which))], names=["w", "_k", "pos", "v"])
+
+    one = _resolved(_phrases(documents, symbols, window, seed, again), again)
+    two = _resolved(_listed(documents, opened(one), symbols, cut_up, _ROWS), again)
+    windows = _listed(documents, opened(two), symbols, single, "w long, _k long, pos int, v long")
     if again:
-        # one row of each occurrence is enough: repeated rows have their phrases settled
-        keep = windows.groupBy("w").agg(F.sum("v").alias("c")).where("c > 1").select("w")
-        hit = windows.join(keep, "w")
+        hit = windows.join(windows.groupBy("w").agg(F.sum("v").alias("c")).where("c > 1").select("w"), "w")
     else:
-        keep = windows.groupBy("w").agg(F.min("v").alias("c"), F.max("v").alias("d")).where("c < d").select("w", "c")
-        hit = windows.join(keep, "w").where(F.col("c") < F.col("v"))
-    places = hit.groupBy("_k").agg(F.collect_set("pos").alias("_places"))
-    return by_row.select("_k", "_settled").join(places, "_k", "left")
+        hit = windows.join(windows.groupBy("w").agg(F.min("v").alias("c"), F.max("v").alias("d")).where("c < d").select("w", "c"), "w").where("c < v")
+    places = saved(hit.groupBy("_k").agg(F.collect_set("pos").alias("_places")))
+    runs = one.select("_k", F.col("_settled").alias("_s1")).join(two.select("_k", F.col("_settled").alias("_s2")), "_k", "full")
+    runs = runs.select("_k", F.concat(F.coalesce("_s1", F.array()), F.coalesce("_s2", F.array())).alias("_settled"))
+    return runs.join(places, "_k", "left")
 
 
 def covered(n: int, settled: list | None, places: list | None, window: int) -> np.ndarray:
