@@ -34,13 +34,18 @@ def saved(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spectralake-"))
+    release(df.sparkSession)
     out = df.checkpoint(eager=True)
-    # shuffle files of finished steps go only once the JVM has collected what refers to them
-    gc.collect()
-    sc._jvm.System.gc()
+    release(df.sparkSession)
     return out
 
 
+def release(spark: SparkSession) -> None:
+    """Shuffle files of finished steps go only once Python and the JVM have collected what refers to them."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def partitions(spark: SparkSession, factor: int = 1) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) * factor)
 

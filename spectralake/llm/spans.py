@@ -75,11 +75,13 @@ def _listed(documents: DataFrame, open_: DataFrame, symbols: Symbols, work: Call
 def _resolved(found: DataFrame, again: bool) -> DataFrame:
     """(_k, _settled, _open): runs of starts that are known to go, and those that the next level must look into."""
     measure = [F.sum("v").alias("n"), F.min(F.struct("_k", "first")).alias("rep")] if again else [F.min("v").alias("low"), F.max("v").alias("high")]
+    # most seeds occur once: only the others' phrases are written and looked at any further
+    ends = [F.sum("v").alias("_n")] if again else [F.min("v").alias("_low"), F.max("v").alias("_high")]
+    shared = found.groupBy("seed").agg(*ends).where("_n > 1" if again else "_low < _high").select("seed")
+    found = saved(found.join(shared, "seed"))
     dictionary = found.groupBy("seed", "phrase").agg(*measure)
-    ends = [F.sum("n").alias("_n")] if again else [F.min("low").alias("_low"), F.max("high").alias("_high")]
-    shared = dictionary.groupBy("seed").agg(*ends, (F.min("phrase") != F.max("phrase")).alias("mixed")).where("_n > 1" if again else "_low < _high")
-    known = dictionary.join(shared.select("seed", "mixed"), "seed").where("mixed or n > 1" if again else "mixed or low < high")
-    rows = found.join(known, ["seed", "phrase"])
+    kinds = found.groupBy("seed").agg((F.min("phrase") != F.max("phrase")).alias("mixed"))
+    rows = found.join(dictionary.join(kinds, "seed"), ["seed", "phrase"])
     settled = F.col("n") > 1 if again else F.coalesce(F.col("low") < F.col("v"), F.lit(False))
     opened = F.col("mixed") & ((F.col("rep") == F.struct("_k", "first")) if again else ~settled)
     marked = rows.select("_k", "first", "last", "at", (F.col("n") if again else F.col("v")).alias("v"), settled.alias("settled"), opened.alias("opened")).where("settled or opened")
