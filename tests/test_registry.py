@@ -1,4 +1,4 @@
-"""Every registered query against its SQL on the smallest tables."""
+"""Every registered query against its SQL on small tables."""
 
 import math
 from pathlib import Path
@@ -8,7 +8,7 @@ import pytest
 
 from spectralake import registry
 
-DATA = "/root/testdata/sf0.001"
+DATA = "/root/testdata/sf0.01"
 
 
 def rows(columns, values):
