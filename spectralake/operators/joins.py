@@ -6,16 +6,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def interval_join(probe: DataFrame, build: DataFrame, low: Column, high: Column, value: Column, width: float, how: str = "inner") -> DataFrame:
+def interval_join(probe: DataFrame, build: DataFrame, low: Column, high: Column, value: Column, width: float, on: list[str] | None = None) -> DataFrame:
     """Rows of probe with the rows of build whose ``value`` lies in [low, high]; ``width`` is the bin, about high - low.
 
     The probe side goes to every bin its interval touches, the build side to one, so no pair is made twice and the join is
-    an equi-join that shuffles by bin; nulls match nothing.
+    an equi-join that shuffles by bin and the columns of ``on``; nulls match nothing.
     """
     left = probe.withColumn("_low", low).withColumn("_high", high)
     left = left.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("_low") / width), F.floor(F.col("_high") / width))))
     right = build.withColumn("_value", value).withColumn("_bin", F.floor(value / width))
-    out = left.join(right, "_bin", how)
+    out = left.join(right, [*(on or []), "_bin"])
     return out.where(F.col("_value").between(F.col("_low"), F.col("_high"))).drop("_bin", "_low", "_high", "_value")
 
 

@@ -24,3 +24,15 @@ def tolerance_rank(rows: DataFrame, keys: list[str], score: str, order: list[Col
     w = Window.partitionBy(*keys).orderBy(F.col(score).desc(), *order)
     step = F.when(F.abs(F.col(score) - F.lag(score).over(w)) <= tolerance, 0).otherwise(1)
     return rows.withColumn("_step", step).withColumn("rank", F.sum("_step").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_step")
+
+
+def topk_ties(rows: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFrame:
+    """Rows ranked up to k, with all that share the last rank."""
+    return rows.withColumn("rank", F.rank().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= k)
+
+
+def tiers(rows: DataFrame, keys: list[str], kind: str, score: str, fragments: str) -> DataFrame:
+    """Rows with their ``tier`` by falling score; of the first tier only those with the most fragments of their kind."""
+    out = rows.withColumn("tier", F.dense_rank().over(Window.partitionBy(*keys).orderBy(F.desc(score))))
+    most = F.max(fragments).over(Window.partitionBy(*keys, "tier", kind))
+    return out.withColumn("_most", most).where((F.col("tier") > 1) | (F.col(fragments) == F.col("_most"))).drop("_most")

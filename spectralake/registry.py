@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spectralake.operators import joins, ranking, summaries
+from spectralake.plans import features as more
 from spectralake.session import table
 
 KIND = "CASE c_mktsegment WHEN 'BUILDING' THEN 'QC' WHEN 'MACHINERY' THEN 'Blank' ELSE 'Sample' END"
@@ -115,11 +116,11 @@ _ALL = (mass_candidates_topk, precursor_range_candidates, orphan_anti_supported,
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in _ALL}
+    return {f.__name__: f for f in (*_ALL, *more.ALL)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return _SQL | more.SQL
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
