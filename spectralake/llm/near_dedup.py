@@ -131,6 +131,8 @@ def group(documents: DataFrame, k: int = 2, percent: int = 80) -> DataFrame:
             pairs = rows.join(other, "band").where("cls < c2")
         pairs = pairs.where(F.col("root") != F.col("r2")).where(alike("n", "n2")).select(F.least("cls", "c2").alias("a"), F.greatest("cls", "c2").alias("b")).distinct()
         found = saved(_verified(pairs, classes, percent))
+        if links is not None and found.isEmpty():
+            continue  # no new link: the components stay as they are
         links = found if links is None else saved(links.unionByName(found))
         roots = components(links)
     lows = roots.join(classes.select(F.col("cls").alias("node"), "low"), "node")
