@@ -14,14 +14,19 @@ from __future__ import annotations
 import base64
 import codecs
 import hashlib
+import re
 from collections.abc import Iterator
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: Entries that the memories below may hold before they start anew.
-PIECES, STEPS, PAIRS = 250_000, 400_000, 400_000
+PIECES, STEPS, PAIRS = 600_000, 400_000, 400_000
+#: Texts are cut before each space between two non-spaces, and what lies between cuts is split by the pattern and remembered.
+#: Holds for patterns of which no match goes on from a non-space to a space or looks further than one character ahead.
+CUT = re.compile(r"(?<=\S)(?= \S)").split
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -147,18 +152,31 @@ class Codec:
         import regex
 
         ranks = load_ranks(ranks_path)
-        self.find = regex.compile(pattern).findall
+        find = regex.compile(pattern).findall
         self.transducer, self.decoder = Transducer(ranks), Decoder(ranks)
         outer = self
 
         class Pieces(dict):
+            """match of the pattern -> packed ids"""
+
             def __missing__(self, piece: str) -> bytes:
                 if len(self) >= PIECES:
                     self.clear()
-                value = self[piece] = np.array(outer.transducer.encode(piece.encode("utf-8", "surrogatepass")), "<u4").tobytes()
+                tokens = outer.transducer.encode(piece.encode("utf-8", "surrogatepass"))
+                value = self[piece] = pack(f"<{len(tokens)}I", *tokens)
+                return value
+
+        class Stretches(dict):
+            """what lies between two cuts -> packed ids"""
+
+            def __missing__(self, stretch: str) -> bytes:
+                if len(self) >= PIECES:
+                    self.clear()
+                value = self[stretch] = b"".join(map(pieces, find(stretch)))
                 return value
 
-        self.pieces = Pieces()
+        pieces = Pieces().__getitem__
+        self.stretches = Stretches()
 
     @classmethod
     def of(cls, ranks_path: str, pattern: str) -> Codec:
@@ -169,7 +187,7 @@ class Codec:
 
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        return b"".join(map(self.pieces.__getitem__, self.find(text))) if text else b""
+        return b"".join(map(self.stretches.__getitem__, CUT(text))) if text else b""
 
     def decode(self, ids: bytes, chunk: int = 1 << 16) -> str:
         a = np.frombuffer(ids, "<u4")
