@@ -16,7 +16,7 @@ def _header(block: Column, name: str) -> Column:
 def headers(blocks: DataFrame, column: str = "value") -> DataFrame:
     """The header fields of each block, without its peaks."""
     b = F.col(column)
-    return blocks.where(F.trim(b) != "").select(
+    return blocks.where(b.rlike(r"\S")).select(
         _header(b, "Name").alias("name"),
         _header(b, "PrecursorMZ").cast("double").alias("precursor_mz"),
         _header(b, "PrecursorType").alias("adduct"),
