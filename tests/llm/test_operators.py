@@ -99,6 +99,29 @@ def test_html():
     assert html_text.blocks(None) == html_text.blocks("") == []
 
 
+def test_html_repetition_does_not_depend_on_the_size_of_a_host(spark, monkeypatch):
+    r = random.Random(11)
+    make = lambda n: [f"t{r.randrange(10**6)}" for _ in range(n)]
+    notes = [make(12 + i % 3) for i in range(12)]
+    bodies = [make(40) + notes[i % 12] + make(30) for i in range(30)]
+    bodies += [make(20) + notes[0][:11] + make(5), notes[3] * 2 + make(3), make(5)]
+    pages = [(i, f"http://{'Big' if i % 2 else 'big'}.com/{i}", "<p>" + " ".join(b)) for i, b in enumerate(bodies)]
+    pages += [(100, "http://small.com/", "<p>" + " ".join(bodies[0])), (101, "http://big.com/x", pages[4][2]), (102, None, None)]
+    owners = {}
+    for i, b in enumerate(bodies):
+        for j in range(len(b) - 11):
+            owners.setdefault(tuple(b[j : j + 12]), set()).add(i)
+    want = {100: " ".join(bodies[0]), 102: ""}
+    for i, b in enumerate(bodies):
+        gone = {j + k for j in range(len(b) - 11) if len(owners[tuple(b[j : j + 12])]) > 1 for k in range(12)}
+        want[i] = " ".join(w for j, w in enumerate(b) if j not in gone)
+    want[101] = want[4]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    for tokens in (html_text.HOST_TOKENS, 100):
+        monkeypatch.setattr(html_text, "HOST_TOKENS", tokens)
+        assert {x.page_id: x.text for x in html_text.extract(df).collect()} == want
+
+
 def test_bpe_matches_tiktoken():
     import public_tokenizers
     import tiktoken
