@@ -4,15 +4,18 @@ Texts are lower-cased and split into runs of letters and digits. A mask looks at
 the others; test and training windows with the same hash under a mask meet in a join, and each hit fixes a diagonal
 (item, shift). On it the two texts are compared word by word: a leak is a stretch of ``WINDOW`` words (the whole item, if
 shorter) of which at least PERCENT per cent are equal. With 13 words and two substitutions the mask 11011 always hits: it has
-nine places, and each substituted word spoils four at most.
+nine places, and each substituted word spoils four at most. For items shorter than ``WINDOW`` further masks are added where
+the benchmark has such items and the given ones would miss an allowed substitution; items of up to four words are met whole.
 
-Null and empty texts have no word and are clean; items with fewer words than a mask spans are skipped. Repeated rows and
+Null and empty texts have no word and are clean. Repeated rows and
 repeated items meet like others and give one row for each pair of ids. Seeds of the benchmark are broadcast only if their
 count is under ``BROADCAST_SEEDS``; beyond it the join is shuffled, and adaptive execution splits hot seeds.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,9 +41,22 @@ def _seeds(rows: DataFrame, keys: list[str], masks: tuple[tuple[int, ...], ...],
     return rows.select(*keys, F.explode(F.array(*[at(m, i) for i, m in enumerate(masks)])).alias("_all")).select(*keys, F.posexplode("_all").alias(place, "_seed"))
 
 
+def with_short(masks: tuple[tuple[int, ...], ...], lengths: list[int], percent: int) -> tuple[tuple[int, ...], ...]:
+    """``masks`` and those that items of these lengths need so that every allowed set of substituted words leaves a hit."""
+    masks = list(masks)
+    for n in sorted(lengths):
+        for changed in combinations(range(n), n * (100 - percent) // 100):
+            if not any({p + m for m in mask}.isdisjoint(changed) for mask in masks for p in range(n - mask[-1])):
+                left = [i for i in range(n) if i not in changed]
+                masks.append(tuple(i - left[0] for i in left))
+    return tuple(masks)
+
+
 def leaks(documents: DataFrame, benchmark: DataFrame, masks: tuple[tuple[int, ...], ...] = MASKS, window: int = WINDOW, percent: int = PERCENT) -> DataFrame:
     """One row for each leaked pair: doc_id, item_id, n_windows, best (equal words of the best window)."""
     items = benchmark.select("item_id", words("text").alias("_words"))
+    short = items.select(F.size("_words").alias("_n")).where((F.col("_n") > 0) & (F.col("_n") < window)).distinct().collect()
+    masks = with_short(masks, [r["_n"] for r in short], percent)
     seeds = _seeds(items, ["item_id"], masks, "_ipos").distinct()
     bounded = seeds.limit(BROADCAST_SEEDS + 1).count() <= BROADCAST_SEEDS
     rows = documents.select("doc_id", F.xxhash64("doc_id", "text").alias("_k"), words("text").alias("_words"))

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import random
 import sys
 
@@ -86,6 +87,19 @@ def test_mask_always_hits_within_two_substitutions():
             assert any(not {p + m for m in mask} & {a, b} for p in range(13 - mask[-1]))
 
 
+def test_short_items_with_every_allowed_substitution(spark):
+    items, docs, want = [], [], set()
+    for n in (1, 2, 3, 4, 5, 6, 7, 10, 11, 12):
+        item = [f"i{n}w{k}" for k in range(n)]
+        items.append((n, " ".join(item)))
+        for changed in itertools.combinations(range(n), n // 5):
+            docs.append((len(docs), " ".join(["x", *(f"c{k}" if k in changed else w for k, w in enumerate(item)), "y"])))
+            want.add((len(docs) - 1, n))
+        docs.append((len(docs), " ".join(["x", *(f"c{k}" if k <= n // 5 else w for k, w in enumerate(item)), "y"])))
+    got = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == want
+
+
 def test_quality_rules(docs):
     rows = {r.doc_id: r for r in quality_rules.judge(docs).collect()}
     assert rows[3].n_words == 0 and rows[3].base_failed and not rows[3].kept
