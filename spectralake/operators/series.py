@@ -16,12 +16,21 @@ def extracted(rows: DataFrame, keys: list[str], mz: str, intensity: str, targets
 
 
 def signal_profile(rows: DataFrame, keys: list[str], order: list[str], time: str, value: str) -> DataFrame:
-    """Values clipped at 0 and smoothed by a triangle of three (edges repeated): count, 20 % background, largest, median cadence."""
-    w = Window.partitionBy(*keys).orderBy(*order)
+    """Values clipped at 0 and smoothed by a triangle of three (edges repeated): count, 20 % background, largest, median cadence, noise.
+
+    Noise, 1 at least, is the scaled median absolute deviation of the steps between neighbours that are both within the lowest
+    20 % of raw values, or of those values themselves where there are fewer than three such steps.
+    """
+    w, group = Window.partitionBy(*keys).orderBy(*order), Window.partitionBy(*keys)
     y = F.greatest(F.col(value), F.lit(0.0))
     smooth = (F.coalesce(F.lag(y).over(w), y) + 2 * y + F.coalesce(F.lead(y).over(w), y)) / 4
-    profile = rows.withColumn("_y", smooth).withColumn("_dt", F.col(time) - F.lag(time).over(w))
-    return profile.groupBy(*keys).agg(F.count("*").alias("n_points"), F.percentile("_y", F.lit(0.2)).alias("background"), F.max("_y").alias("apex"), F.median("_dt").alias("cadence"))
+    profile = rows.withColumn("_y", smooth).withColumn("_dt", F.col(time) - F.lag(time).over(w)).withColumn("_raw", y).withColumn("_last", F.lag(y).over(w))
+    profile = profile.withColumn("_edge", F.percentile("_raw", F.lit(0.2)).over(group))
+    low = F.col("_raw") <= F.col("_edge")
+    profile = profile.withColumn("_low", F.when(low, F.col("_raw"))).withColumn("_step", F.when(low & (F.col("_last") <= F.col("_edge")), F.col("_raw") - F.col("_last")))
+    profile = profile.withColumn("_step_off", F.abs(F.col("_step") - F.median("_step").over(group))).withColumn("_low_off", F.abs(F.col("_low") - F.median("_low").over(group)))
+    spread = F.when(F.count("_step") >= 3, F.median("_step_off") / 2**0.5).otherwise(F.median("_low_off"))
+    return profile.groupBy(*keys).agg(F.count("*").alias("n_points"), F.percentile("_y", F.lit(0.2)).alias("background"), F.max("_y").alias("apex"), F.median("_dt").alias("cadence"), F.greatest(1.4826 * spread, F.lit(1.0)).alias("noise"))
 
 
 def anchor_clusters(rows: DataFrame, keys: list[str], value: str, tolerance: float) -> DataFrame:
