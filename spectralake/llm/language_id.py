@@ -3,7 +3,7 @@
 Letters are lower-cased, everything else is a boundary; runs of 1 to 4 characters (boundaries included) are hashed into
 BUCKETS rows of an embedding, the average over the whole text goes through a softmax. A temperature fitted on a tenth of
 the sample calibrates probabilities; predictions below ``reject`` of them may be rejected. The fit takes at most ``rows``
-documents, chosen by the hash of their ids.
+documents, chosen by the hash of their ids; executors count the whole texts, the driver gets one histogram for each.
 
 Null texts and texts without a letter are ``und`` with score 0, as is everything when nothing was learnt. Null languages
 are not learnt from. Repeated rows get the same answer.
@@ -49,9 +49,8 @@ class Model:
         self.output = r.normal(0, 0.1, (DIM, len(languages)))
         self.temperature = 1.0
 
-    def probabilities(self, c: np.ndarray) -> np.ndarray:
-        at = np.flatnonzero(c)
-        z = (c[at] @ self.embedding[at] / c.sum()) @ self.output / self.temperature
+    def probabilities(self, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+        z = (n @ self.embedding[at] / n.sum()) @ self.output / self.temperature
         e = np.exp(z - z.max())
         return e / e.sum()
 
@@ -59,24 +58,39 @@ class Model:
         c = counts(text) if self.languages else None
         if c is None:
             return "und", 0.0
-        p = self.probabilities(c)
+        at = np.flatnonzero(c)
+        p = self.probabilities(at, c[at])
         best = int(p.argmax())
         return (self.languages[best], float(p[best])) if p[best] >= reject else ("und", float(p[best]))
 
 
+def packed(text: str | None) -> tuple[bytes, bytes] | None:
+    """The buckets that a text has (16 bits each) and their counts (32 bits each)."""
+    c = counts(text)
+    if c is None:
+        return None
+    at = np.flatnonzero(c)
+    return at.astype(np.uint16).tobytes(), c[at].astype(np.uint32).tobytes()
+
+
 def fit(rows: list[tuple[str | None, str]], seed: int = 3) -> Model:
-    pairs = [(c, y) for t, y in rows if (c := counts(t)) is not None]
+    return fitted([(c, y) for t, y in rows if (c := packed(t)) is not None], seed)
+
+
+def fitted(pairs: list[tuple[tuple[bytes, bytes], str]], seed: int = 3) -> Model:
+    """A model of (packed counts, language)."""
     model = Model(sorted({y for _, y in pairs}), seed)
     if not pairs:
         return model
     index = {y: i for i, y in enumerate(model.languages)}
-    sparse = [(np.flatnonzero(c), c[c > 0] / c.sum(), index[y], c) for c, y in pairs]
+    sparse = [(np.frombuffer(at, np.uint16).astype(np.int32), np.frombuffer(n, np.uint32), index[y]) for (at, n), y in pairs]
     r = np.random.default_rng(seed)
     held, learnt = sparse[::10], [x for i, x in enumerate(sparse) if i % 10] or sparse
     for epoch in range(EPOCHS):
         rate = RATE * (1 - epoch / EPOCHS)
         for j in r.permutation(len(learnt)):
-            at, share, y, _ = learnt[j]
+            at, n, y = learnt[j]
+            share = n / n.sum()
             hidden = share @ model.embedding[at]
             z = hidden @ model.output
             p = np.exp(z - z.max())
@@ -89,7 +103,7 @@ def fit(rows: list[tuple[str | None, str]], seed: int = 3) -> Model:
 
     def loss(t: float) -> float:
         model.temperature = t
-        return -sum(np.log(model.probabilities(c)[y] + 1e-12) for _, _, y, c in held)
+        return -sum(np.log(model.probabilities(at, n)[y] + 1e-12) for at, n, y in held)
 
     model.temperature = float(min(grid, key=loss))
     return model
@@ -97,8 +111,16 @@ def fit(rows: list[tuple[str | None, str]], seed: int = 3) -> Model:
 
 def train(documents: DataFrame, learn: Column, rows: int = ROWS) -> Model:
     chosen = documents.where(learn & F.col("lang").isNotNull()).select("doc_id", F.xxhash64("doc_id", "text", "lang").alias("h")).orderBy("h").limit(rows)
-    picked = documents.where(learn & F.col("lang").isNotNull()).select(F.substring("text", 1, 20_000).alias("text"), "lang", F.xxhash64("doc_id", "text", "lang").alias("h")).join(F.broadcast(chosen.select("h").distinct()), "h")
-    return fit([(r.text, r.lang) for r in sorted(picked.collect(), key=lambda r: r.h)])
+    picked = documents.where(learn & F.col("lang").isNotNull()).select("text", "lang", F.xxhash64("doc_id", "text", "lang").alias("h")).join(F.broadcast(chosen.select("h").distinct()), "h")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = [packed(x.as_py()) or (None, None) for x in b.column("text")]
+            yield pa.RecordBatch.from_arrays([b.column("h"), b.column("lang"), pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.binary())], names=["h", "lang", "at", "n"])
+
+    kind = picked.schema["lang"].dataType.simpleString()
+    found = picked.select("h", "lang", "text").mapInArrow(work, f"h long, lang {kind}, at binary, n binary").where("at IS NOT NULL").collect()
+    return fitted([((r["at"], r["n"]), r["lang"]) for r in sorted(found, key=lambda r: r["h"])])
 
 
 def identified(documents: DataFrame, model: Model, columns: list[str], reject: float = 0.0) -> DataFrame:

@@ -7,6 +7,7 @@ import random
 import sys
 
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, "/opt")
 
@@ -159,6 +160,12 @@ def test_models_without_text():
     assert net.score("good words") > net.score("%%% ***") and 0 <= net.score(None) <= 1
 
 
+def test_language_fit_reads_whole_texts(spark):
+    rows = [(i, "1 " * 10_500 + ("the cat and the dog", "der hund und die katze")[i % 2], ("en", "de")[i % 2]) for i in range(40)]
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True))
+    assert model.languages == ["de", "en"] and model.predict("der und die")[0] == "de"
+
+
 def test_url_terms():
     assert url_filters.hits("http://x.com/casino?free", url_filters.STRICT, tuple(url_filters.SOFT.items())) == (["casino"], ["free"])
     assert url_filters.hits(None, url_filters.STRICT, ()) == ([], [])
