@@ -1,12 +1,8 @@
-"""Repeated fixed-length windows of very large sequences, found through content-defined phrases.
-
-A document is a sequence of 64-bit symbols (bytes or word hashes). Rolling hashes of ``seed`` symbols trigger: the least
-hash among the seeds of a window is the window's anchor, so equal windows have equal anchors at equal places, and every
-anchor owns one run of window starts. The anchors cut the corpus into overlapping phrases (all windows of one anchor);
-the dictionary of phrases, with how often each occurs, is far smaller than the corpus. Windows are only compared inside
-phrases whose seed occurs more than once: a phrase that occurs again settles all its windows at once, the others give
-one row for each window. All exchanges are grouped sums and minima with partial aggregation, so no group of copies ever
-meets in one task.
+"""Content-defined phrases of a sequence of 64-bit symbols (bytes or word hashes).
+
+Rolling hashes of ``seed`` symbols trigger: the least hash among the seeds of a window is the window's anchor, so equal
+windows have equal anchors at equal places, and every anchor owns one run of window starts. The stretch of text that the
+windows of one anchor cover is a phrase.
 """
 
 from __future__ import annotations
@@ -57,32 +53,13 @@ def sliding_argmin(h: np.ndarray, width: int) -> np.ndarray:
 
 
 def phrases(rolling: Rolling, window: int, seed: int) -> tuple[np.ndarray, ...]:
-    """(first start, last start, place of the seed, hash of the seed, hash of the whole phrase) of each anchor of a document."""
+    """(first start, last start, hash of the seed, hash of the whole phrase with the seed's place) of each anchor of a document."""
     h = rolling.windows(seed)
     place = sliding_argmin(h, window - seed + 1)
     if not len(place):
         e = np.empty(0, np.int64)
-        return e, e, e, np.empty(0, U64), np.empty(0, U64)
+        return e, e, np.empty(0, U64), np.empty(0, U64)
     first = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
     last = np.concatenate((first[1:], [len(place)])) - 1
     at = place[first]
-    whole = rolling.hashes(first, last + window)
-    return first, last, at, h[at], mix(whole ^ (at - first).astype(U64))
-
-
-def parts(rolling: Rolling, first: np.ndarray, last: np.ndarray, at: np.ndarray, window: int, step: int) -> tuple[np.ndarray, ...]:
-    """Phrases cut into runs of up to ``step`` starts, at places counted from the anchor.
-
-    (number of the phrase, first start, last start, hash of what all windows of the run share, hash of the whole run).
-    """
-    far, near = (at - first) // step, (at - last) // step
-    n = far - near + 1
-    which = np.repeat(np.arange(len(first)), n)
-    q = np.repeat(near, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    a = at[which]
-    lo, hi = np.maximum(a - q * step - step + 1, first[which]), np.minimum(a - q * step, last[which])
-    # the core of a run that is cut short at its document's ends is still that of the whole run where it exists
-    low, high = np.clip(a - q * step, 0, rolling.n), np.clip(a - q * step - step + 1 + window, 0, rolling.n)
-    core = mix(rolling.hashes(low, high) ^ q.astype(U64))
-    whole = mix(rolling.hashes(lo, hi + window) ^ (a - lo).astype(U64))
-    return which, lo, hi, core, whole
+    return first, last, h[at], mix(rolling.hashes(first, last + window) ^ (at - first).astype(U64))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,17 +30,56 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; where it is unset, a local folder is made for a local master and an error raised elsewhere."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        set_ = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if set_.isDefined():
+            return set_.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="spectralake-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
+
+
 def saved(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the cluster's shared checkpoint folder (a folder of one's own only where none is set)."""
+    """Cut the lineage by a reliable checkpoint in the shared folder; Spark's cleaner removes it with the last reference."""
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spectralake-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     release(df.sparkSession)
     out = df.checkpoint(eager=True)
     release(df.sparkSession)
     return out
 
 
+class Scratch:
+    """Intermediate tables, written as Parquet in the shared folder, until ``drop`` or ``clear``."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def saved(self, df: DataFrame) -> DataFrame:
+        path = f"{shared_folder(self.spark)}/scratch-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        release(self.spark)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = (out, path)
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        for t in tables:
+            _, path = self.paths.pop(id(t))
+            jvm = self.spark._jvm
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
+    def clear(self) -> None:
+        self.drop(*[t for t, _ in list(self.paths.values())])
+
+
 def release(spark: SparkSession) -> None:
     """Shuffle files of finished steps go only once Python and the JVM have collected what refers to them."""
     gc.collect()
