@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spectralake.operators.joins import interval_join
+from spectralake.session import reliable
 
 
 def ion_pairs(rows: DataFrame, key: str, mz: str, on: list[str], deltas: dict[str, float], ppm: float, width: float = 0.05) -> DataFrame:
@@ -21,9 +20,7 @@ def ion_pairs(rows: DataFrame, key: str, mz: str, on: list[str], deltas: dict[st
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component): the least node reachable. Labels spread with pointer jumping; each round is checkpointed."""
-    spark = edges.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spectralake-"))
+    reliable(edges.sparkSession)
     pairs = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x is not null and y is not null")
     both = pairs.unionByName(pairs.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct().checkpoint()
     labels = both.groupBy("x").agg(F.least(F.col("x"), F.min("y")).alias("component")).select(F.col("x").alias("node"), "component").checkpoint()
