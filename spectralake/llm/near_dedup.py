@@ -5,15 +5,21 @@ a bin by the round's hash, in the next BINS rounds all elements go to bin (round
 a coordinate keeps the least (round, value). Work stops when all bins are full, so a set of n elements costs about
 n + BINS log BINS. The chance that a pair of similarity 0.8 shares none of the 48 bands of 6 is below 1e-6.
 
-Equal sets are one class from the start. In a bucket, classes are linked to a leader, not to each other; pairs are verified
-on the full sets, components are contracted, and members of a bucket that still stand in different components get other
-leaders in further rounds; what is left after ROUNDS of them is compared in full, but only across components and only if
-the sizes allow a link. Null or empty texts have no set and are alone; a null doc_id is never the least of a component that
-has another. Repeated rows are one class. Lineage is cut by checkpoints.
+Documents whose whole sets have the same 128-bit digest are one class from the start. In a bucket, classes are linked to a
+leader, not to each other; pairs are verified on full sets, components are contracted, and members of a bucket that still
+stand in different components get other leaders in further rounds. What is left after ROUNDS of them is compared in tiles
+of TILE members: a tile counts the common shingles of all its pairs as a product of matrices and gives only links that
+join components, so a bucket of any size is searched whole without one row for each pair. Only the sets of classes that
+share a bucket are made again from their texts and travel.
+
+Null and empty texts have no set and are alone; a null doc_id is never the least of a component that has another. Repeated
+rows are one class. An empty table gives an empty table. A very long text costs memory in proportion to its distinct
+shingles. Only doc_id and text are read, so other columns may have any name.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,11 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spectralake.llm.common import _A, U64, encoded, grams, mix, saved, word_hashes
+from spectralake.llm.common import _A, U64, Scratch, encoded, grams, mix, saved, word_hashes
+from spectralake.operators.graphs import components
 
 BINS, ROWS = 288, 6
 BANDS = BINS // ROWS
-ROUNDS = 3
+#: Rounds of leaders; members of a tile.
+ROUNDS, TILE = 3, 256
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -63,82 +71,148 @@ def bands(sketched: np.ndarray) -> np.ndarray:
     return h
 
 
-def _sets(documents: DataFrame, k: int) -> DataFrame:
+def digest(elements: np.ndarray) -> tuple[int, int]:
+    """128 bits of a whole set, as two signed numbers."""
+    return tuple(np.frombuffer(hashlib.blake2b(elements.tobytes(), digest_size=16).digest(), np.int64).tolist())
+
+
+def _digests(documents: DataFrame, k: int) -> DataFrame:
+    """One row for each document: doc_id, key of the row, size and digest of its set, bands."""
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [shingles(t.as_py(), k) for t in b.column("text")]
-            cls = [int(np.bitwise_xor.reduce(mix(s * _A)) if len(s) else 0) & (2**63 - 1) for s in sets]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(cls, pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "cls", "items"])
+            ids = np.array([digest(s) for s in sets], np.int64).reshape(-1, 2)
+            banded = [bands(sketch(s)).view(np.int64) if len(s) else None for s in sets]
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id"), b.column("k"), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids[:, 0]), pa.array(ids[:, 1]), pa.array(banded, pa.list_(pa.int64()))],
+                names=["doc_id", "k", "n_shingles", "c0", "c1", "bands"],
+            )
+
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    return documents.select("doc_id", _row().alias("k"), "text").mapInArrow(work, f"doc_id {kind}, k long, n_shingles long, c0 long, c1 long, bands array<long>")
+
 
-    return documents.select("doc_id", "text").mapInArrow(work, f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, n_shingles long, cls long, items array<long>")
+def _row():
+    return F.xxhash64("doc_id", "text")
 
 
-def _bands(classes: DataFrame) -> DataFrame:
+def _sets(documents: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """(node, items): the full sets of ``wanted`` (k, node, c0, c1), made from the texts of their rows."""
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, out = b.num_rows, []
-            for x in b.column("items"):
-                out.append(bands(sketch(x.values.to_numpy(zero_copy_only=False).view(U64))).view(np.int64))
-            if n:
-                every = pa.array(np.repeat(np.arange(n), BANDS))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out)), b.column("cls").take(every), b.column("n_shingles").take(every)], names=["band", "cls", "n"])
-
-    return classes.select("cls", "n_shingles", "items").mapInArrow(work, "band long, cls long, n long")
-
-
-def components(nodes_edges: DataFrame) -> DataFrame:
-    """(node, root) for the nodes of edges (a, b): least label spreading with pointer jumping, each step checkpointed."""
-    both = saved(nodes_edges.select("a", "b").unionByName(nodes_edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = saved(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("root")).withColumnRenamed("a", "node"))
-    while True:
-        near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("root").alias("low"))
-        step = labels.join(near, labels.node == near.a).select("node", "root", F.least("root", "low").alias("next"))
-        jump = labels.select(F.col("node").alias("next"), F.col("root").alias("far"))
-        new = saved(step.join(jump, "next", "left").select("node", F.col("root").alias("old"), F.least("next", "far").alias("root")))
-        labels, changed = new.select("node", "root"), new.where("root <> old").limit(1).count()
-        if not changed:
-            return labels
-
-
-def _verified(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    left = classes.select(F.col("cls").alias("a"), F.col("items").alias("_x"))
-    right = classes.select(F.col("cls").alias("b"), F.col("items").alias("_y"))
+            nodes, sets = [], []
+            for t, node, c0, c1 in zip(b.column("text"), b.column("node"), b.column("c0").to_pylist(), b.column("c1").to_pylist(), strict=True):
+                s = shingles(t.as_py(), k)
+                if digest(s) == (c0, c1):
+                    nodes.append(node.as_py())
+                    sets.append(s.view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "items"])
+
+    return documents.select(_row().alias("k"), "text").join(wanted, "k").select("text", "node", "c0", "c1").mapInArrow(work, "node long, items array<long>")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    left = sets.select(F.col("node").alias("a"), F.col("items").alias("_x"))
+    right = sets.select(F.col("node").alias("b"), F.col("items").alias("_y"))
     both = F.size(F.array_intersect("_x", "_y"))
     return pairs.join(right, "b").join(left, "a").where(100 * both >= percent * (F.size("_x") + F.size("_y") - both)).select("a", "b")
 
 
+def common_counts(sets: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """Sizes of all intersections; elements are columns of a matrix, taken ``width`` at a time."""
+    n = len(sets)
+    out = np.zeros((n, n), np.int64)
+    _, which, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(n), [len(s) for s in sets])
+    often = counts[which] > 1
+    column, owner = (np.cumsum(counts > 1) - 1)[which[often]], owner[often]
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        a, b = np.searchsorted(column, (low, low + width))
+        m = np.zeros((n, width), np.float32)
+        m[owner[a:b], column[a:b] - low] = 1
+        out += (m @ m.T).astype(np.int64)
+    np.fill_diagonal(out, [len(s) for s in sets])
+    return out
+
+
+def _tiles(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between members of a bucket with different roots: enough of them to join all that are alike."""
+
+    def work(table: pa.Table) -> pa.Table:
+        node, root, own = (table.column(c).to_pylist() for c in ("node", "root", "own"))
+        items = [x.values.to_numpy(zero_copy_only=False) for x in table.column("items")]
+        both = common_counts(items)
+        size = np.array([len(x) for x in items])
+        alike = np.triu(100 * both >= percent * (size[:, None] + size[None, :] - both), 1)
+        if table.column("i")[0].as_py() != table.column("j")[0].as_py():
+            alike &= np.array(own)[:, None] != np.array(own)[None, :]
+        head: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while (up := head.get(x, x)) != x:
+                head[x] = head.get(up, up)
+                x = up
+            return x
+
+        a, b = [], []
+        for x, y in zip(*np.nonzero(alike), strict=True):
+            if (p := find(root[x])) != (q := find(root[y])):
+                head[p] = q
+                a.append(node[x])
+                b.append(node[y])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    sizes = rows.groupBy("band").agg(F.ceil(F.count("*") / TILE).cast("int").alias("t"))
+    dealt = rows.join(sizes, "band").withColumn("own", F.pmod(F.xxhash64("node"), "t").cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("t") - 1))).select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root")
+    return dealt.join(sets, "node").groupBy("band", "i", "j").applyInArrow(work, "a long, b long")
+
+
 def group(documents: DataFrame, k: int = 2, percent: int = 80) -> DataFrame:
     """One row for each row of documents: doc_id, n_shingles, component_id, kept."""
-    sets = _sets(documents, k)
-    classes = saved(sets.where("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("low"), F.first("n_shingles").alias("n_shingles"), F.first("items").alias("items")))
-    raw = _bands(classes)
-    shared = raw.groupBy("band").agg(F.count("*").alias("_many")).where("_many > 1").select("band")
-    buckets = saved(raw.join(shared, "band"))
+    scratch = Scratch(documents.sparkSession)
+    rows = saved(_digests(documents, k))
+    classes = rows.where("n_shingles > 0").groupBy("c0", "c1").agg(F.min("doc_id").alias("low"), F.min("k").alias("k"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+    classes = scratch.saved(classes.withColumn("node", F.monotonically_increasing_id()))
+    raw = classes.select("node", "n", F.explode("bands").alias("band"))
+    shared = scratch.saved(raw.groupBy("band").agg(F.count("*").alias("many")).where("many > 1").select("band"))
+    buckets = scratch.saved(raw.join(shared, "band"))
+    scratch.drop(shared)
+    wanted = buckets.select("node").distinct().join(classes.select("node", "k", "c0", "c1"), "node")
+    sets = scratch.saved(_sets(documents, wanted, k))
     links, roots = None, None
-    alike = lambda x, y: 100 * F.least(F.col(x), F.col(y)) >= percent * F.greatest(F.col(x), F.col(y))
+    alike = 100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")
     for turn in range(ROUNDS + 1):
         if roots is None:
-            rows = buckets.withColumn("root", F.col("cls"))
+            members = buckets.withColumn("root", F.col("node"))
         else:
-            rows = buckets.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-            apart = rows.groupBy("band").agg(F.min("root").alias("_r0"), F.max("root").alias("_r1")).where("_r0 <> _r1").select("band")
-            rows = rows.join(apart, "band")
+            members = buckets.join(roots, "node", "left").withColumn("root", F.coalesce("component", "node")).drop("component")
+            apart = members.groupBy("band").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("band")
+            members = scratch.saved(members.join(apart, "band"))
         if turn < ROUNDS:
-            leader = rows.groupBy("band").agg(F.min_by(F.struct("cls", "n", "root"), F.xxhash64("cls", F.lit(turn))).alias("_l"))
-            pairs = rows.join(leader, "band").select("cls", "n", "root", F.col("_l.cls").alias("c2"), F.col("_l.n").alias("n2"), F.col("_l.root").alias("r2"))
+            leader = members.groupBy("band").agg(F.min_by(F.struct("node", "n", "root"), F.xxhash64("node", F.lit(turn))).alias("l"))
+            pairs = members.join(leader, "band").select("node", "n", "root", F.col("l.node").alias("m"), F.col("l.n").alias("n2"), F.col("l.root").alias("r2"))
+            pairs = pairs.where(F.col("root") != F.col("r2")).where(alike).select(F.least("node", "m").alias("a"), F.greatest("node", "m").alias("b")).distinct()
+            found = scratch.saved(_verified(pairs, sets, percent))
         else:
-            other = rows.select("band", F.col("cls").alias("c2"), F.col("n").alias("n2"), F.col("root").alias("r2"))
-            pairs = rows.join(other, "band").where("cls < c2")
-        pairs = pairs.where(F.col("root") != F.col("r2")).where(alike("n", "n2")).select(F.least("cls", "c2").alias("a"), F.greatest("cls", "c2").alias("b")).distinct()
-        found = saved(_verified(pairs, classes, percent))
+            found = scratch.saved(_tiles(members, sets, percent))
+        if roots is not None:
+            scratch.drop(members)
         if links is not None and found.isEmpty():
+            scratch.drop(found)
             continue  # no new link: the components stay as they are
-        links = found if links is None else saved(links.unionByName(found))
-        roots = components(links)
-    lows = roots.join(classes.select(F.col("cls").alias("node"), "low"), "node")
-    least = lows.groupBy("root").agg(F.min("low").alias("component_id"))
-    joined = classes.select("cls", "low").join(roots.withColumnRenamed("node", "cls"), "cls", "left").join(least, "root", "left").select("cls", F.coalesce("component_id", "low").alias("_c"))
-    out = sets.select("doc_id", "n_shingles", "cls").join(joined, "cls", "left")
+        links = found if links is None else links.unionByName(found)
+        roots = components(links, "a", "b")
+    lows = roots.join(classes.select("node", "low"), "node")
+    least = lows.groupBy("component").agg(F.min("low").alias("component_id"))
+    joined = classes.select("c0", "c1", "low", "node").join(roots, "node", "left").join(least, "component", "left").select("c0", "c1", F.coalesce("component_id", "low").alias("_c"))
+    joined = saved(joined)
+    scratch.clear()
+    out = rows.select("doc_id", "n_shingles", "c0", "c1").join(joined, ["c0", "c1"], "left")
     component = F.coalesce(F.when(F.col("n_shingles") > 0, F.col("_c")), F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
 
