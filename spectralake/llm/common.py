@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -13,16 +12,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spectralake.session import delete, reliable, shared_folder
+
 U64 = np.uint64
 _A, _B, _C = U64(0x9E3779B97F4A7C15), U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
 #: Separators of words: space and the five ASCII control spaces; bytes.split() splits at just these.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Distinct words whose hashes a Python worker remembers before it starts anew.
-VOCABULARY = 400_000
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+VOCABULARY = 200_000
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -30,25 +27,9 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where it is unset, a local folder is made for a local master and an error raised elsewhere."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        set_ = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if set_.isDefined():
-            return set_.get()
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        folder = tempfile.mkdtemp(prefix="spectralake-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
 def saved(df: DataFrame) -> DataFrame:
     """Cut the lineage by a reliable checkpoint in the shared folder; Spark's cleaner removes it with the last reference."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(shared_folder(df.sparkSession))
+    reliable(df.sparkSession)
     release(df.sparkSession)
     out = df.checkpoint(eager=True)
     release(df.sparkSession)
@@ -72,9 +53,7 @@ class Scratch:
     def drop(self, *tables: DataFrame) -> None:
         for t in tables:
             _, path = self.paths.pop(id(t))
-            jvm = self.spark._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+            delete(self.spark, path)
 
     def clear(self) -> None:
         self.drop(*[t for t, _ in list(self.paths.values())])

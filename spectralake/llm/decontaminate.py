@@ -7,9 +7,12 @@ shorter) of which at least PERCENT per cent are equal. With 13 words and two sub
 nine places, and each substituted word spoils four at most. For items shorter than ``WINDOW`` further masks are added where
 the benchmark has such items and the given ones would miss an allowed substitution; items of up to four words are met whole.
 
-Null and empty texts have no word and are clean. Repeated rows and
-repeated items meet like others and give one row for each pair of ids. Seeds of the benchmark are broadcast only if their
-count is under ``BROADCAST_SEEDS``; beyond it the join is shuffled, and adaptive execution splits hot seeds.
+Hits are found first, as keys and places alone; only rows with a hit are split again and compared. Null and empty texts have
+no word and are clean. Repeated rows and repeated items meet like others and give one row for each pair of ids; ties don't
+matter, as every stretch counts. Empty tables give no pair and lose no row. Very long texts stay one row; their hits are
+grouped by document. Only doc_id, text and item_id are read, so other columns may have any name. The benchmark is broadcast
+only while its words and items are at most ``BROADCAST_WORDS``, the keys of rows with a hit only up to ``BROADCAST_KEYS``;
+beyond that the joins are shuffled, and adaptive execution splits hot seeds.
 """
 
 from __future__ import annotations
@@ -19,10 +22,12 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spectralake.llm.common import saved
+
 #: Places of the words that a mask looks at.
 MASKS = ((0, 1, 3, 4), (0, 2, 3, 6))
 WINDOW, PERCENT = 13, 80
-BROADCAST_SEEDS = 1_000_000
+BROADCAST_WORDS, BROADCAST_KEYS = 400_000, 500_000
 
 
 def words(text: str | Column) -> Column:
@@ -58,19 +63,23 @@ def leaks(documents: DataFrame, benchmark: DataFrame, masks: tuple[tuple[int, ..
     short = items.select(F.size("_words").alias("_n")).where((F.col("_n") > 0) & (F.col("_n") < window)).distinct().collect()
     masks = with_short(masks, [r["_n"] for r in short], percent)
     seeds = _seeds(items, ["item_id"], masks, "_ipos").distinct()
-    bounded = seeds.limit(BROADCAST_SEEDS + 1).count() <= BROADCAST_SEEDS
-    rows = documents.select("doc_id", F.xxhash64("doc_id", "text").alias("_k"), words("text").alias("_words"))
-    met = _seeds(rows, ["_k"], masks, "_pos").join(F.broadcast(seeds) if bounded else seeds, "_seed")
-    hits = met.select("_k", "item_id", (F.col("_pos") - F.col("_ipos")).alias("_shift")).distinct()
+    size = items.agg(F.count("*").alias("n"), F.sum(F.size("_words")).alias("words")).first()
+    bounded = size["n"] + (size["words"] or 0) <= BROADCAST_WORDS
+    near = F.broadcast if bounded else lambda t: t
+    key = F.xxhash64("doc_id", "text").alias("_k")
+    rows = documents.select("doc_id", key, words("text").alias("_words"))
+    met = _seeds(rows, ["_k"], masks, "_pos").join(near(seeds), "_seed")
+    # a key that two rows share by chance costs a comparison more, nothing else
+    hits = saved(met.select("_k", "item_id", (F.col("_pos") - F.col("_ipos")).alias("_shift")).distinct())
+    keys = hits.select("_k").distinct()
+    few = keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    hit = documents.select("doc_id", "text", key).join(F.broadcast(keys) if few else keys, "_k", "left_semi")
+    lengths = items.select("item_id", F.size("_words").alias("_n"))
+    grouped = hits.join(near(lengths), "item_id").groupBy("_k").agg(F.collect_list(F.struct("item_id", "_shift", "_n")).alias("_hits"))
     start = lambda h: F.greatest(h["_shift"], F.lit(0))
     stretch = F.transform("_hits", lambda h: F.struct(h["item_id"].alias("item_id"), h["_shift"].alias("shift"), F.slice("_words", start(h) + 1, h["_n"] + F.least(h["_shift"], F.lit(0))).alias("w")))
-    lengths = items.select("item_id", F.size("_words").alias("_n"))
-    if bounded:
-        lengths, texts = F.broadcast(lengths), F.broadcast(items.withColumnRenamed("_words", "_item"))
-    else:
-        texts = items.withColumnRenamed("_words", "_item")
-    grouped = hits.join(lengths, "item_id").groupBy("_k").agg(F.collect_list(F.struct("item_id", "_shift", "_n")).alias("_hits"))
-    pairs = rows.join(grouped, "_k").select("doc_id", F.explode(stretch).alias("_h")).select("doc_id", "_h.*")
+    texts = near(items.withColumnRenamed("_words", "_item"))
+    pairs = hit.join(grouped, "_k").select("doc_id", words("text").alias("_words"), "_hits").select("doc_id", F.explode(stretch).alias("_h")).select("doc_id", "_h.*")
     aligned = pairs.join(texts, "item_id").withColumn("_part", F.slice("_item", F.greatest(-F.col("shift"), F.lit(0)) + 1, F.size("w")))
     equal = F.zip_with("w", "_part", lambda x, y: F.when(x == y, 1).otherwise(0))
     width = F.least(F.lit(window), F.size("_item"))

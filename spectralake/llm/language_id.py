@@ -2,11 +2,12 @@
 
 Letters are lower-cased, everything else is a boundary; runs of 1 to 4 characters (boundaries included) are hashed into
 BUCKETS rows of an embedding, the average over the whole text goes through a softmax. A temperature fitted on a tenth of
-the sample calibrates probabilities; predictions below ``reject`` of them may be rejected. The fit takes at most ``rows``
+the sample calibrates probabilities and gives the least probability below which an answer counts as rejected. The fit takes at most ``rows``
 documents, chosen by the hash of their ids; executors count the whole texts, the driver gets one histogram for each.
 
 Null texts and texts without a letter are ``und`` with score 0, as is everything when nothing was learnt. Null languages
-are not learnt from. Repeated rows get the same answer.
+are not learnt from. Repeated rows get the same answer; of equal probabilities the language first by name wins. An empty
+table gives an empty table. A very long text is counted in blocks. Other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -22,22 +23,29 @@ BUCKETS, DIM, LONGEST = 1 << 14, 16, 4
 #: Documents that a fit takes at most, and characters of a text that one pass holds.
 ROWS, BLOCK = 4000, 1 << 18
 EPOCHS, BATCH, RATE = 6, 16, 0.5
+#: Share of the held-back tenth's right answers that the fitted rejection threshold gives up.
+REJECT = 0.01
 
 
 def counts(text: str | None) -> np.ndarray | None:
-    """Counts of hashed subwords over the whole text; None without a letter."""
+    """Counts of hashed subwords over the whole text; None without a letter. Blocks only bound memory: runs start in one each."""
     if not text or not any(map(str.isalpha, text)):
         return None
     total = np.zeros(BUCKETS, np.int64)
-    for i in range(0, len(text), BLOCK):
-        a = np.frombuffer(text[max(0, i - LONGEST + 1) : i + BLOCK].lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-        c = np.concatenate(([0], np.where((a > 127) | ((a >= 97) & (a <= 122)), a, 0), [0])).astype(np.uint32)
+    low = text.lower()
+    n = len(low) + 2  # with a boundary on either side
+    for i in range(0, n, BLOCK):
+        end = min(n, i + BLOCK + LONGEST - 1)
+        a = np.frombuffer(low[max(i - 1, 0) : end - 1].encode("utf-32-le", "surrogatepass"), np.uint32)
+        c = np.where((a > 127) | ((a >= 97) & (a <= 122)), a, 0).astype(np.uint32)
+        c = np.concatenate((np.zeros(int(i == 0), np.uint32), c, np.zeros(int(end == n), np.uint32)))
         h = np.zeros(len(c), np.uint32)
-        for n in range(LONGEST):
-            h = (h[: len(c) - n] if n == 0 else h[:-1]) * np.uint32(0x01000193) + (c[n:] + np.uint32(1)) * np.uint32(0x9E3779B1)
-            if not len(h):
+        for k in range(LONGEST):
+            h = (h if k == 0 else h[:-1]) * np.uint32(0x01000193) + (c[k:] + np.uint32(1)) * np.uint32(0x9E3779B1)
+            own = h[:BLOCK]
+            total += np.bincount((own ^ (own >> np.uint32(15))) * np.uint32(0x85EBCA6B) >> np.uint32(18), minlength=BUCKETS)
+            if len(h) == 1:
                 break
-            total += np.bincount((h ^ (h >> np.uint32(15))) * np.uint32(0x85EBCA6B) >> np.uint32(18), minlength=BUCKETS)
     return total
 
 
@@ -48,6 +56,8 @@ class Model:
         self.embedding = r.normal(0, 0.1, (BUCKETS, DIM))
         self.output = r.normal(0, 0.1, (DIM, len(languages)))
         self.temperature = 1.0
+        #: Best probabilities below it are rejected; fitted.
+        self.least = 0.0
 
     def probabilities(self, at: np.ndarray, n: np.ndarray) -> np.ndarray:
         z = (n @ self.embedding[at] / n.sum()) @ self.output / self.temperature
@@ -106,6 +116,9 @@ def fitted(pairs: list[tuple[tuple[bytes, bytes], str]], seed: int = 3) -> Model
         return -sum(np.log(model.probabilities(at, n)[y] + 1e-12) for at, n, y in held)
 
     model.temperature = float(min(grid, key=loss))
+    best = [model.probabilities(at, n) for at, n, _ in held]
+    right = [float(p.max()) for p, (_, _, y) in zip(best, held, strict=True) if p.argmax() == y]
+    model.least = float(np.quantile(right, REJECT)) if right else 0.0
     return model
 
 
@@ -124,12 +137,15 @@ def train(documents: DataFrame, learn: Column, rows: int = ROWS) -> Model:
 
 
 def identified(documents: DataFrame, model: Model, columns: list[str], reject: float = 0.0) -> DataFrame:
-    """Adds lang_pred and score to the columns."""
+    """Adds lang_pred, score and rejected (whether the score is below the fitted threshold) to the columns.
+
+    ``reject`` is a least score for which lang_pred isn't ``und``.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = [model.predict(x.as_py(), reject) for x in b.column("_text")]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64())], names=[*columns, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64()), pa.array([x[1] < model.least or x[0] == "und" for x in out])], names=[*columns, "lang_pred", "score", "rejected"])
 
     base = documents.select(*columns, F.col("text").alias("_text"))
-    return base.mapInArrow(work, base.select(*columns).schema.add("lang_pred", "string").add("score", "double"))
+    return base.mapInArrow(work, base.select(*columns).schema.add("lang_pred", "string").add("score", "double").add("rejected", "boolean"))

@@ -27,5 +27,43 @@ def _op9() -> str:
     FROM e"""
 
 
+#: Words of a text, and those left after a set of places went.
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+_OP3 = f"""
+    WITH w AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+    g AS (SELECT doc_id, i, list_slice(w, i, i + 12) AS k FROM w, unnest(range(1, len(w) - 11)) t(i)),
+    f AS (SELECT k, min(doc_id) AS low FROM g GROUP BY k HAVING min(doc_id) < max(doc_id)),
+    hit AS (SELECT DISTINCT doc_id, i + j AS p FROM g JOIN f USING (k), range(0, 13) r(j) WHERE low < doc_id),
+    gone AS (SELECT doc_id, list(p) AS ps FROM hit GROUP BY doc_id),
+    word AS (SELECT doc_id, p, w[p] AS x FROM w, unnest(range(1, len(w) + 1)) t(p)),
+    kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS x FROM word ANTI JOIN hit USING (doc_id, p) GROUP BY doc_id)
+    SELECT w.doc_id, len(w)::BIGINT AS n_words, coalesce(len(ps), 0)::BIGINT AS n_removed, sha256(coalesce(x, '')) AS kept_sha256
+    FROM w LEFT JOIN gone USING (doc_id) LEFT JOIN kept USING (doc_id)"""
+
+_OP8 = """
+    WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS b, octet_length(encode(coalesce(text, '')))::BIGINT AS n FROM documents),
+    g AS (SELECT doc_id, i, md5(substr(b, 2 * i + 1, 400)) AS k FROM b, unnest(range(0, n - 199)) t(i)),
+    hit AS (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY k) > 1),
+    run AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER w <= 200 THEN 0 ELSE 1 END AS new FROM hit WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+    num AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS r FROM run),
+    span AS (SELECT doc_id, r, min(i) AS a, max(i) + 200 AS z FROM num GROUP BY 1, 2),
+    edge AS (SELECT doc_id, n, b, r, a, z, lag(z, 1, 0) OVER (PARTITION BY doc_id ORDER BY r) AS before FROM span JOIN b USING (doc_id)),
+    left_ AS (SELECT doc_id, count(*) AS spans, sum(z - a)::BIGINT AS removed, string_agg(substr(b, 2 * before + 1, 2 * (a - before)), '' ORDER BY r) || substr(any_value(b), 2 * max(z) + 1) AS x FROM edge GROUP BY doc_id)
+    SELECT b.doc_id, n AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(x, b))) AS kept_sha256 FROM b LEFT JOIN left_ USING (doc_id)"""
+
+_OP10 = r"""
+    WITH d AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents),
+    b AS (SELECT item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark),
+    dw AS (SELECT doc_id, len(w) AS nd, unnest(w) AS x, generate_subscripts(w, 1) - 1 AS p FROM d),
+    bw AS (SELECT item_id, len(w) AS nb, least(13, len(w)) AS width, unnest(w) AS x, generate_subscripts(w, 1) - 1 AS q FROM b),
+    m AS (SELECT doc_id, item_id, nd, nb, width, p - q AS shift, q FROM dw JOIN bw USING (x)),
+    line AS (SELECT doc_id, item_id, shift, any_value(nd) AS nd, any_value(nb) AS nb, any_value(width) AS width, list(q) AS qs FROM m GROUP BY 1, 2, 3 HAVING count(*) * 100 >= 80 * any_value(width)),
+    win AS (SELECT doc_id, item_id, shift, width, s, len(list_filter(qs, lambda q: q >= s AND q < s + width)) AS eq
+            FROM line, unnest(range(greatest(0, -shift), least(nb, nd - shift) - width + 1)) t(s)),
+    good AS (SELECT doc_id, item_id, shift, count(*) AS n, max(eq) AS best FROM win WHERE eq * 100 >= 80 * width GROUP BY 1, 2, 3)
+    SELECT doc_id, item_id, max(n)::BIGINT AS n_windows, max(best)::BIGINT AS best FROM good GROUP BY 1, 2"""
+
+
 def oracles() -> dict[str, str]:
-    return {"op9_url_filters": _op9()}
+    return {"op3_substring_dedup": _OP3, "op8_suffix_dedup": _OP8, "op9_url_filters": _op9(), "op10_decontamination": _OP10}

@@ -8,8 +8,10 @@ distance and each bin keeps its count, sums and products, so the half of least d
 taken whole) and no row is collected anywhere. Sources with fewer than ``MIN_GROUP`` texts are pooled by language, and
 those pools by one pool of all; covariances get the variances ``FLOOR``\\ ² added, so no group is singular.
 
-Null and empty texts have no words and fail the limits. Null languages and sources are groups of their own. Repeated
-rows are judged one by one and count as often as they stand there. An empty table gives an empty table.
+Null and empty texts have no words and fail the limits. Null languages and sources are groups of their own; without such a
+column all rows share one. Repeated rows are judged one by one and count as often as they stand there; texts at one distance
+stand in one bin, which the core takes whole, so ties don't depend on any order. An empty table gives an empty table. A very
+long text costs memory in proportion to its words. Other columns are carried along whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 from pyspark.sql.window import Window
 
 from spectralake.llm.common import encoded, grams, saved, word_hashes
@@ -58,28 +60,29 @@ def statistics_of(text: str | None) -> tuple[int, ...]:
     return n, chars, len(data) - len(data.translate(None, _SYMBOLS)), len(lines) - len(set(lines)), repeated, len(lines)
 
 
-def with_statistics(documents: DataFrame, columns: list[str]) -> DataFrame:
-    """``columns`` and a struct ``_stats`` of STATS."""
+def with_statistics(documents: DataFrame, columns: list[str], text: bool = False) -> DataFrame:
+    """A struct ``row`` of the columns, a struct ``stats`` of STATS, and the text itself if asked for."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = np.array([statistics_of(x.as_py()) for x in b.column("_text")], np.int64).reshape(-1, len(STATS))
+            rows = np.array([statistics_of(x.as_py()) for x in b.column("text")], np.int64).reshape(-1, len(STATS))
             stats = pa.StructArray.from_arrays([pa.array(rows[:, i]) for i in range(len(STATS))], names=list(STATS))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), stats], names=[*columns, "_stats"])
+            yield pa.RecordBatch.from_arrays([b.column("row"), stats, *([b.column("text")] if text else [])], names=["row", "stats", *(["text"] if text else [])])
 
-    base = documents.select(*columns, F.col("text").alias("_text"))
-    shape = StructType([*base.select(*columns).schema.fields, *StructType.fromDDL("_stats struct<" + ",".join(f"{c}:bigint" for c in STATS) + ">").fields])
-    return base.mapInArrow(work, shape)
+    row = F.struct(*[F.col(f"`{c}`") for c in columns]) if columns else F.struct(F.lit(0).alias("none"))
+    base = documents.select(row.alias("row"), "text")
+    stats = StructType.fromDDL("stats struct<" + ",".join(f"{c}:bigint" for c in STATS) + ">").fields
+    return base.mapInArrow(work, StructType([StructField("row", base.schema["row"].dataType), *stats, *([base.schema["text"]] if text else [])]))
 
 
 def vector() -> list[Column]:
-    s = {c: F.col(f"_stats.{c}").cast("double") for c in STATS}
+    s = {c: F.col(f"stats.{c}").cast("double") for c in STATS}
     n = F.greatest(s["n_words"], F.lit(1.0))
     return [F.log(F.greatest(s["word_chars"], F.lit(1.0)) / n), F.sqrt(s["n_symbols"] / n), F.sqrt(s["n_dup_lines"] / F.greatest(s["n_lines"], F.lit(1.0))), F.sqrt(s["n_repeat_words"] / n)]
 
 
 def base_failed() -> Column:
-    return (F.col("_stats.n_words") < MIN_WORDS) | (100 * F.col("_stats.n_repeat_words") > MAX_REPEATED * F.col("_stats.n_words"))
+    return (F.col("stats.n_words") < MIN_WORDS) | (100 * F.col("stats.n_repeat_words") > MAX_REPEATED * F.col("stats.n_words"))
 
 
 def chi2_cdf(x: float, dof: int) -> float:
@@ -100,15 +103,18 @@ CUTOFF = chi2_quantile(LEVEL, P)
 _FACTOR = CORE / chi2_cdf(chi2_quantile(CORE, P), P + 2)
 
 
-def _named(column: str) -> Column:
-    return F.when(F.col(column).isNull(), "-").otherwise(F.concat(F.lit("="), F.col(column).cast("string")))
+def _named(rows: DataFrame, column: str) -> Column:
+    """The group's name; a missing column is one group, like nulls."""
+    if column not in rows.schema["row"].dataType.names:
+        return F.lit("-")
+    return F.when(F.col(f"row.{column}").isNull(), "-").otherwise(F.concat(F.lit("="), F.col(f"row.{column}").cast("string")))
 
 
 def _attach(rows: DataFrame, groups: DataFrame, count: int, on: list[str]) -> DataFrame:
     if count <= BROADCAST_GROUPS:
         return rows.join(F.broadcast(groups), on)
     salted = groups.withColumn("_salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
-    return rows.withColumn("_salt", F.pmod(F.xxhash64(*[c for c in rows.columns if c not in on]), F.lit(SALTS)).cast("int")).join(salted, [*on, "_salt"]).drop("_salt")
+    return rows.withColumn("_salt", F.pmod(F.xxhash64(*[f"_x{i}" for i in range(P)]), F.lit(SALTS)).cast("int")).join(salted, [*on, "_salt"]).drop("_salt")
 
 
 def _distance() -> Column:
@@ -178,10 +184,9 @@ def _pooled(rows: DataFrame) -> DataFrame:
     return sizes.join(pool, "_lang").select("_lang", "_source", group.alias("_g"))
 
 
-def estimates(documents: DataFrame) -> tuple[DataFrame, int, DataFrame]:
-    """(estimate for each _lang and _source, their number, the statistics they were made from)."""
-    rows = saved(with_statistics(documents.select(*[c for c in ("doc_id", "lang", "source") if c in documents.columns], "text"), ["doc_id", "lang", "source"]))
-    x = rows.where(~base_failed()).select(_named("lang").alias("_lang"), _named("source").alias("_source"), *[v.alias(f"_x{i}") for i, v in enumerate(vector())])
+def estimates(rows: DataFrame) -> tuple[DataFrame, int]:
+    """(estimate for each _lang and _source, their number) from rows with ``row`` and ``stats``."""
+    x = rows.where(~base_failed()).select(_named(rows, "lang").alias("_lang"), _named(rows, "source").alias("_source"), *[v.alias(f"_x{i}") for i, v in enumerate(vector())])
     names = saved(_pooled(x))
     count = names.count()
     x = saved(_attach(x, names, count, ["_lang", "_source"]).select("_g", *[f"_x{i}" for i in range(P)]))
@@ -194,25 +199,26 @@ def estimates(documents: DataFrame) -> tuple[DataFrame, int, DataFrame]:
             break
         before = now
     best = groups.groupBy("_g").agg(F.min_by(F.struct("_mean", "_inverse"), F.struct("_logdet", "_start")).alias("_e")).select("_g", "_e.*")
-    return saved(names.join(best, "_g").drop("_g")), count, rows
+    return saved(names.join(best, "_g").drop("_g")), count
 
 
-def judged(rows: DataFrame, model: DataFrame, count: int) -> DataFrame:
-    """Adds base_failed, distance (squared; null where the limits failed already) and kept to rows with ``_stats``."""
-    rows = rows.select("*", _named("lang").alias("_lang"), _named("source").alias("_source"), *[v.alias(f"_x{i}") for i, v in enumerate(vector())])
-    failed = rows.where(base_failed()).select("*", F.lit(None).cast("array<double>").alias("_mean"), F.lit(None).cast("array<double>").alias("_inverse"))
-    passed = _attach(rows.where(~base_failed()), model, count, ["_lang", "_source"])
+def judged(rows: DataFrame) -> DataFrame:
+    """Adds _failed, _distance (squared; null where the limits failed already) and _kept to rows with ``row`` and ``stats``."""
+    model, count = estimates(rows)
+    named = rows.select("*", _named(rows, "lang").alias("_lang"), _named(rows, "source").alias("_source"), *[v.alias(f"_x{i}") for i, v in enumerate(vector())])
+    failed = named.where(base_failed()).select("*", F.lit(None).cast("array<double>").alias("_mean"), F.lit(None).cast("array<double>").alias("_inverse"))
+    passed = _attach(named.where(~base_failed()), model, count, ["_lang", "_source"])
     both = passed.select(*failed.columns).unionByName(failed)
     return both.withColumn("_failed", base_failed()).withColumn("_distance", _distance()).withColumn("_kept", ~F.col("_failed") & (F.coalesce(F.col("_distance"), F.lit(0.0)) <= CUTOFF))
 
 
 def judge(documents: DataFrame) -> DataFrame:
     """One row for each document: its statistics, base_failed, kept and the squared distance."""
-    model, count, rows = estimates(documents)
-    return judged(rows, model, count).select("doc_id", *[F.col(f"_stats.{c}").alias(c) for c in STATS[:5]], F.col("_failed").alias("base_failed"), F.col("_kept").alias("kept"), F.col("_distance").alias("distance"))
+    rows = saved(with_statistics(documents, [c for c in ("doc_id", "lang", "source") if c in documents.columns]))
+    return judged(rows).select("row.doc_id", *[F.col(f"stats.{c}").alias(c) for c in STATS[:5]], F.col("_failed").alias("base_failed"), F.col("_kept").alias("kept"), F.col("_distance").alias("distance"))
 
 
 def keep(documents: DataFrame) -> DataFrame:
-    """The rows of ``documents`` that are kept, unchanged."""
-    model, count, _ = estimates(documents)
-    return judged(with_statistics(documents, documents.columns), model, count).where("_kept").select(*documents.columns)
+    """The rows of ``documents`` that are kept, unchanged; texts are read once and wait with their statistics for the verdict."""
+    rows = saved(with_statistics(documents, [c for c in documents.columns if c != "text"], text=True))
+    return judged(rows).where("_kept").select(*["text" if c == "text" else F.col(f"row.`{c}`") for c in documents.columns])

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spectralake.llm import bpe, decontaminate, html_text, language_id, near_dedup, quality_net, quality_rules, substring_dedup, suffix_dedup, url_filters
-from spectralake.llm.common import bounded_batches, crc_bucket, table
+from spectralake.llm.common import bounded_batches, crc_bucket
+from spectralake.session import table
 
 # The rules of op9.
 URL_RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
@@ -41,7 +42,7 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     bounded_batches(spark)
     documents, fold = table(spark, sf_dir, "documents"), crc_bucket("doc_id", 5)
     model = language_id.train(documents, fold != 0)
-    return language_id.identified(documents, model, ["doc_id"]).select("doc_id", (fold == 0).alias("held_out"), "lang_pred", "score")
+    return language_id.identified(documents, model, ["doc_id"]).select("doc_id", (fold == 0).alias("held_out"), "lang_pred", "score", "rejected")
 
 
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
