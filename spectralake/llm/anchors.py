@@ -62,4 +62,5 @@ def phrases(rolling: Rolling, window: int, seed: int) -> tuple[np.ndarray, ...]:
     first = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
     last = np.concatenate((first[1:], [len(place)])) - 1
     at = place[first]
-    return first, last, h[at], mix(rolling.hashes(first, last + window) ^ (at - first).astype(U64))
+    # the least of many hashes is small: mixed anew, seeds spread evenly over buckets
+    return first, last, mix(h[at] + _A), mix(rolling.hashes(first, last + window) ^ (at - first).astype(U64))
