@@ -2,20 +2,24 @@
 
 Every stage takes (spark, docs, sf_dir) and gives a DataFrame; run() writes each as Parquet into the shared folder of
 spark.checkpoint.dir and reads it again as the next one's docs. All stages but the last keep the columns of documents.
+A stage's folder is deleted once the next one is written; the last one's holds the result and stays.
 Near-dedup works on five-word shingles at a similarity of 0.8. Suffix-array dedup drops texts that nothing is left of.
-An empty table goes through all stages as an empty table.
+An empty table goes through all stages as an empty table. Null and empty texts fail the first stage's limits; null
+languages and sources are groups of their own; repeated rows are near duplicates, of which rows with the least doc_id stay
+(all of them where they share it), and what copies with one doc_id share goes in the third stage; other columns of the
+documents are carried to the fourth stage, whatever their names.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spectralake.llm import bpe, decontaminate, near_dedup, quality_rules, suffix_dedup
-from spectralake.llm.common import bounded_batches, table
+from spectralake.llm.common import bounded_batches
+from spectralake.session import delete, shared_folder, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,10 +60,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corpus-")
-    folder = f"{base.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}_{name}")
         docs = spark.read.parquet(f"{folder}/{i}_{name}")
+        if i:
+            delete(spark, f"{folder}/{i - 1}_{STAGES[i - 1][0]}")
     return docs
