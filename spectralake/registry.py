@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spectralake.operators import joins, ranking, summaries
-from spectralake.plans import features as more
+from spectralake.plans import decisions, features, names
 from spectralake.session import table
 
 KIND = "CASE c_mktsegment WHEN 'BUILDING' THEN 'QC' WHEN 'MACHINERY' THEN 'Blank' ELSE 'Sample' END"
@@ -115,12 +115,18 @@ _SQL = {
 _ALL = (mass_candidates_topk, precursor_range_candidates, orphan_anti_supported, best_row_per_group, dense_rank_tolerance, qc_summary, group_summary, upsert_count, trapezoid_area, consensus_vote, linear_rt_model, peak_normalise)
 
 
+_MORE = (features, names, decisions)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (*_ALL, *more.ALL)}
+    return {f.__name__: f for f in (*_ALL, *(f for m in _MORE for f in m.ALL))}
 
 
 def oracle_sql() -> dict[str, str]:
-    return _SQL | more.SQL
+    out = dict(_SQL)
+    for m in _MORE:
+        out |= m.SQL
+    return out
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
