@@ -8,7 +8,7 @@ n + BINS log BINS. The chance that a pair of similarity 0.8 shares none of the 4
 Documents whose whole sets have the same 128-bit digest are one class from the start. In a bucket, classes are linked to a
 leader, not to each other; pairs are verified on full sets, components are contracted, and members of a bucket that still
 stand in different components get other leaders in further rounds. What is left after ROUNDS of them is compared in tiles
-of TILE members: a tile counts the common shingles of all its pairs as a product of matrices and gives only links that
+of TILE members: a pair of tiles counts common shingles as a product of matrices and gives only links that
 join components, so a bucket of any size is searched whole without one row for each pair. Only the sets of classes that
 share a bucket are made again from their texts and travel.
 
@@ -120,55 +120,67 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").where(100 * both >= percent * (F.size("_x") + F.size("_y") - both)).select("a", "b")
 
 
-def common_counts(sets: list[np.ndarray], width: int = 4096) -> np.ndarray:
-    """Sizes of all intersections; elements are columns of a matrix, taken ``width`` at a time."""
-    n = len(sets)
-    out = np.zeros((n, n), np.int64)
+def common_counts(left: list[np.ndarray], right: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of every left with every right set; elements are columns of matrices, ``width`` at a time."""
+    sets, n = [*left, *right], len(left)
+    out = np.zeros((n, len(right)), np.int64)
     _, which, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    owner = np.repeat(np.arange(n), [len(s) for s in sets])
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     often = counts[which] > 1
     column, owner = (np.cumsum(counts > 1) - 1)[which[often]], owner[often]
     order = np.argsort(column, kind="stable")
     column, owner = column[order], owner[order]
     for low in range(0, int(column[-1]) + 1 if len(column) else 0, width):
         a, b = np.searchsorted(column, (low, low + width))
-        m = np.zeros((n, width), np.float32)
+        m = np.zeros((len(sets), width), np.float32)
         m[owner[a:b], column[a:b] - low] = 1
-        out += (m @ m.T).astype(np.int64)
-    np.fill_diagonal(out, [len(s) for s in sets])
+        out += (m[:n] @ m[n:].T).astype(np.int64)
     return out
 
 
-def _tiles(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between members of a bucket with different roots: enough of them to join all that are alike."""
+def _tiles(scratch: Scratch, rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between members of a bucket with different roots: enough of them to join all that are alike.
+
+    Of a bucket's largest component no two members are compared, only the others with each other and with it: tiles
+    0 to s - 1 hold the others, tiles from s on the component, and a group is a pair (i, j) of tiles with i < s.
+    """
 
     def work(table: pa.Table) -> pa.Table:
-        node, root, own = (table.column(c).to_pylist() for c in ("node", "root", "own"))
+        node, root, own = (table.column(c).to_numpy() for c in ("node", "root", "own"))
         items = [x.values.to_numpy(zero_copy_only=False) for x in table.column("items")]
-        both = common_counts(items)
-        size = np.array([len(x) for x in items])
-        alike = np.triu(100 * both >= percent * (size[:, None] + size[None, :] - both), 1)
-        if table.column("i")[0].as_py() != table.column("j")[0].as_py():
-            alike &= np.array(own)[:, None] != np.array(own)[None, :]
-        head: dict[int, int] = {}
-
-        def find(x: int) -> int:
-            while (up := head.get(x, x)) != x:
-                head[x] = head.get(up, up)
-                x = up
-            return x
-
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
         a, b = [], []
-        for x, y in zip(*np.nonzero(alike), strict=True):
-            if (p := find(root[x])) != (q := find(root[y])):
-                head[p] = q
-                a.append(node[x])
-                b.append(node[y])
+        if len(left) and len(right):
+            both = common_counts([items[x] for x in left], [items[x] for x in right])
+            size = np.array([len(x) for x in items])
+            alike = 100 * both >= percent * (size[left][:, None] + size[right][None, :] - both)
+            if i == j:
+                alike = np.triu(alike, 1)
+            head: dict[int, int] = {}
+
+            def find(x: int) -> int:
+                while (up := head.get(x, x)) != x:
+                    head[x] = head.get(up, up)
+                    x = up
+                return x
+
+            for x, y in zip(*np.nonzero(alike), strict=True):
+                if (p := find(int(root[left[x]]))) != (q := find(int(root[right[y]]))):
+                    head[p] = q
+                    a.append(int(node[left[x]]))
+                    b.append(int(node[right[y]]))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    sizes = rows.groupBy("band").agg(F.ceil(F.count("*") / TILE).cast("int").alias("t"))
-    dealt = rows.join(sizes, "band").withColumn("own", F.pmod(F.xxhash64("node"), "t").cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("t") - 1))).select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root")
+    counts = rows.groupBy("band", "root").agg(F.count("*").alias("c"))
+    sizes = counts.groupBy("band").agg(F.max_by("root", F.struct("c", "root")).alias("big"), F.max("c").alias("n_big"), F.sum("c").alias("n"))
+    tiles = lambda c, size: F.ceil(c / size).cast("int")
+    sizes = scratch.saved(sizes.select("band", "big", tiles(F.col("n") - F.col("n_big"), TILE).alias("s"), tiles(F.col("n_big"), 2 * TILE).alias("b")))
+    rest = F.col("root") != F.col("big")
+    deal = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    dealt = rows.join(sizes, "band").withColumn("own", F.when(rest, deal(F.col("s"))).otherwise(F.col("s") + deal(F.col("b"))))
+    others = F.sequence(F.lit(0), F.when(rest, F.col("s") + F.col("b")).otherwise(F.col("s")) - 1)
+    dealt = dealt.withColumn("other", F.explode(others)).select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root")
     return dealt.join(sets, "node").groupBy("band", "i", "j").applyInArrow(work, "a long, b long")
 
 
@@ -191,15 +203,18 @@ def group(documents: DataFrame, k: int = 2, percent: int = 80) -> DataFrame:
             members = buckets.withColumn("root", F.col("node"))
         else:
             members = buckets.join(roots, "node", "left").withColumn("root", F.coalesce("component", "node")).drop("component")
-            apart = members.groupBy("band").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("band")
+            apart = scratch.saved(members.groupBy("band").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("band"))
             members = scratch.saved(members.join(apart, "band"))
+            scratch.drop(apart)
         if turn < ROUNDS:
-            leader = members.groupBy("band").agg(F.min_by(F.struct("node", "n", "root"), F.xxhash64("node", F.lit(turn))).alias("l"))
+            # what many rows share is saved before it is joined back, so that adaptive execution can split a crowded bucket
+            leader = scratch.saved(members.groupBy("band").agg(F.min_by(F.struct("node", "n", "root"), F.xxhash64("node", F.lit(turn))).alias("l")))
             pairs = members.join(leader, "band").select("node", "n", "root", F.col("l.node").alias("m"), F.col("l.n").alias("n2"), F.col("l.root").alias("r2"))
             pairs = pairs.where(F.col("root") != F.col("r2")).where(alike).select(F.least("node", "m").alias("a"), F.greatest("node", "m").alias("b")).distinct()
             found = scratch.saved(_verified(pairs, sets, percent))
+            scratch.drop(leader)
         else:
-            found = scratch.saved(_tiles(members, sets, percent))
+            found = scratch.saved(_tiles(scratch, members, sets, percent))
         if roots is not None:
             scratch.drop(members)
         if links is not None and found.isEmpty():
