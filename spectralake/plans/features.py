@@ -48,11 +48,6 @@ def topk_with_ties(spark: SparkSession, d: str) -> DataFrame:
     return ranking.topk_ties(rows, ["o_custkey"], [F.desc("score")], 3)
 
 
-def tiered_rank(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "part").select("p_brand", "p_type", "p_partkey", "p_size", F.floor(F.col("p_retailprice") / 10).alias("score"))
-    return ranking.tiers(rows, ["p_brand"], "p_type", "score", "p_size")
-
-
 def area_matrix(spark: SparkSession, d: str) -> DataFrame:
     out = tables.area_matrix(_events(spark, d), ["user_id"], "event_type", "value", SAMPLES)
     return out.select("user_id", *[F.round(f"area_{s}", 4).alias(f"area_{s}") for s in SAMPLES])
@@ -123,11 +118,6 @@ def adduct_pairs(spark: SparkSession, d: str) -> DataFrame:
     return graphs.ion_pairs(rows, "p_partkey", "p_retailprice", ["p_brand"], DELTAS, 5).select("form", "id_a", "id_b")
 
 
-def graph_components(spark: SparkSession, d: str) -> DataFrame:
-    edges = table(spark, d, "customer").select("c_custkey", (-1 - F.col("c_nationkey")).cast("long").alias("hub"))
-    return graphs.components(edges, "c_custkey", "hub").where("node >= 0")
-
-
 def json_evidence(spark: SparkSession, d: str) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("long")
     return table(spark, d, "events").select("event_id", k.alias("k"), F.to_json(F.struct(k.alias("k"), F.col("user_id").alias("user"))).alias("evidence"))
@@ -174,11 +164,6 @@ SQL = {
         SELECT event_id, CASE WHEN p.rt - v.rt <= 600 THEN survey_id END AS survey_id, CASE WHEN p.rt - v.rt <= 600 THEN round(p.rt - v.rt, 4) END AS gap
         FROM (SELECT * FROM e WHERE event_type = 'purchase') p ASOF LEFT JOIN v ON p.user_id = v.user_id AND p.rt >= v.rt""",
     "topk_with_ties": "SELECT o_custkey, o_orderkey, floor(o_totalprice / 1000)::BIGINT AS score, rank() OVER (PARTITION BY o_custkey ORDER BY floor(o_totalprice / 1000) DESC) AS rank FROM orders QUALIFY rank <= 3",
-    "tiered_rank": """
-        WITH t AS (SELECT p_brand, p_type, p_partkey, p_size, floor(p_retailprice / 10)::BIGINT AS score FROM part),
-        r AS (SELECT *, dense_rank() OVER (PARTITION BY p_brand ORDER BY score DESC) AS tier FROM t),
-        m AS (SELECT *, max(p_size) OVER (PARTITION BY p_brand, tier, p_type) AS most FROM r)
-        SELECT p_brand, p_type, p_partkey, p_size, score, tier FROM m WHERE tier > 1 OR p_size = most""",
     "area_matrix": "SELECT user_id, " + ", ".join(f"round(sum(value) FILTER (event_type = '{s}'), 4) AS area_{s}" for s in SAMPLES) + " FROM events GROUP BY 1",
     "area_long": "SELECT user_id, event_type AS sample, round(sum(value), 4) AS area FROM events GROUP BY 1, 2",
     "eic_extract": """
@@ -219,7 +204,6 @@ SQL = {
     "adduct_pairs": """
         SELECT form, a.p_partkey AS id_a, b.p_partkey AS id_b FROM (VALUES ('Na-H', 21.9::DOUBLE), ('NH4-H', 17.1::DOUBLE)) d(form, delta), part a, part b
         WHERE a.p_brand = b.p_brand AND b.p_retailprice BETWEEN a.p_retailprice + delta - a.p_retailprice * 5 * 1e-6 AND a.p_retailprice + delta + a.p_retailprice * 5 * 1e-6""",
-    "graph_components": "SELECT c_custkey AS node, -1 - c_nationkey::BIGINT AS component FROM customer",
     "json_evidence": "SELECT event_id, (props::JSON->>'k')::BIGINT AS k, concat('{\"k\":', props::JSON->>'k', ',\"user\":', user_id, '}') AS evidence FROM events",
     "unpivot_union": "SELECT r_regionkey AS key, r_name AS name, NULL::INTEGER AS parent FROM region UNION ALL SELECT n_nationkey, n_name, n_regionkey FROM nation",
     "fragment_text": "SELECT l_orderkey, string_agg(printf('%.2f %s%d', l_extendedprice, l_returnflag, l_linenumber), '; ' ORDER BY l_extendedprice, l_returnflag || l_linenumber) AS fragments FROM lineitem GROUP BY 1",
@@ -229,6 +213,6 @@ SQL = {
     "windowed_counts": "SELECT epoch(ts::DATE)::BIGINT AS start_s, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
 }
 ALL = (
-    feature_link_nearest, unique_match_only, asof_previous_survey, topk_with_ties, tiered_rank, area_matrix, area_long, eic_extract, smooth_profile, anchor_clusters, rt_residual_filter,
-    shape_cosine, log_corr, name_composition, saturation_pools, ppm_scores, adduct_pairs, graph_components, json_evidence, unpivot_union, fragment_text, msp_parse, windowed_counts,
+    feature_link_nearest, unique_match_only, asof_previous_survey, topk_with_ties, area_matrix, area_long, eic_extract, smooth_profile, anchor_clusters, rt_residual_filter,
+    shape_cosine, log_corr, name_composition, saturation_pools, ppm_scores, adduct_pairs, json_evidence, unpivot_union, fragment_text, msp_parse, windowed_counts,
 )

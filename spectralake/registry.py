@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spectralake.operators import joins, ranking, summaries
-from spectralake.plans import decisions, features, links, names
+from spectralake.plans import decisions, features, links, names, ranks
 from spectralake.session import table
 
 KIND = "CASE c_mktsegment WHEN 'BUILDING' THEN 'QC' WHEN 'MACHINERY' THEN 'Blank' ELSE 'Sample' END"
@@ -37,11 +37,6 @@ def best_row_per_group(spark: SparkSession, d: str) -> DataFrame:
     return ranking.best(rows, ["l_partkey", "l_suppkey"], [F.desc("l_extendedprice"), F.col("l_discount"), F.col("l_orderkey"), F.col("l_linenumber")])
 
 
-def dense_rank_tolerance(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "orders").select("o_custkey", "o_orderkey", (F.floor(F.col("o_totalprice") / 1000)).cast("double").alias("score"))
-    return ranking.tolerance_rank(rows, ["o_custkey"], "score", [F.col("o_orderkey")])
-
-
 def _samples(spark: SparkSession, d: str) -> DataFrame:
     customers = table(spark, d, "customer").select("c_custkey", "c_nationkey", F.expr(KIND).alias("kind"))
     return table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_totalprice").join(customers, "c_custkey")
@@ -93,7 +88,6 @@ _SQL = {
     "best_row_per_group": """
         SELECT l_partkey, l_suppkey, l_extendedprice, l_discount, l_orderkey, l_linenumber FROM lineitem
         QUALIFY row_number() OVER (PARTITION BY l_partkey, l_suppkey ORDER BY l_extendedprice DESC, l_discount, l_orderkey, l_linenumber) = 1""",
-    "dense_rank_tolerance": "SELECT o_custkey, o_orderkey, floor(o_totalprice / 1000) AS score, dense_rank() OVER (PARTITION BY o_custkey ORDER BY floor(o_totalprice / 1000) DESC) AS rank FROM orders",
     "qc_summary": f"""
         WITH a AS (SELECT c_nationkey, count(v) FILTER (kind = 'QC') AS n, avg(v) FILTER (kind = 'QC') AS m, stddev_samp(v) FILTER (kind = 'QC') AS s, avg(v) FILTER (kind = 'Blank') AS b, avg(v) FILTER (kind = 'Sample') AS x FROM {_SAMPLES} GROUP BY 1)
         SELECT c_nationkey, n AS qc_n, round(m, 4) AS qc_mean, CASE WHEN n >= 2 AND m > 0 THEN round(s / m * 100, 4) END AS qc_rsd, round(b, 4) AS blank_mean, CASE WHEN b > 0 THEN round(x / b, 4) END AS sample_blank_ratio FROM a""",
@@ -112,10 +106,10 @@ _SQL = {
     "linear_rt_model": "SELECT l_returnflag, l_linestatus, round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 4) AS intercept, round(regr_r2(l_extendedprice, l_quantity), 4) AS r2 FROM lineitem GROUP BY 1, 2",
     "peak_normalise": "SELECT l_orderkey, l_linenumber, round(l_extendedprice / max(l_extendedprice) OVER (PARTITION BY l_orderkey), 9) AS relative FROM lineitem QUALIFY l_extendedprice / max(l_extendedprice) OVER (PARTITION BY l_orderkey) >= 0.5",
 }
-_ALL = (mass_candidates_topk, precursor_range_candidates, orphan_anti_supported, best_row_per_group, dense_rank_tolerance, qc_summary, group_summary, upsert_count, trapezoid_area, consensus_vote, linear_rt_model, peak_normalise)
+_ALL = (mass_candidates_topk, precursor_range_candidates, orphan_anti_supported, best_row_per_group, qc_summary, group_summary, upsert_count, trapezoid_area, consensus_vote, linear_rt_model, peak_normalise)
 
 
-_MORE = (features, names, decisions, links)
+_MORE = (features, names, decisions, links, ranks)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
