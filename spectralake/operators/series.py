@@ -16,9 +16,9 @@ def extracted(rows: DataFrame, keys: list[str], mz: str, intensity: str, targets
 
 
 def signal_profile(rows: DataFrame, keys: list[str], order: list[str], time: str, value: str) -> DataFrame:
-    """Values clipped at 0 and smoothed by a triangle of three (edges repeated): count, 20 % background, largest, median cadence, noise.
+    """Values clipped at 0 and smoothed by a triangle of three (edges repeated): count, 20 % background, largest, median cadence, baseline, noise.
 
-    Noise, 1 at least, is the scaled median absolute deviation of the steps between neighbours that are both within the lowest
+    The baseline is the median of the lowest 20 % of raw values. Noise, 1 at least, is the scaled median absolute deviation of the steps between neighbours that are both within the lowest
     20 % of raw values, or of those values themselves where there are fewer than three such steps.
     """
     w, group = Window.partitionBy(*keys).orderBy(*order), Window.partitionBy(*keys)
@@ -30,7 +30,18 @@ def signal_profile(rows: DataFrame, keys: list[str], order: list[str], time: str
     profile = profile.withColumn("_low", F.when(low, F.col("_raw"))).withColumn("_step", F.when(low & (F.col("_last") <= F.col("_edge")), F.col("_raw") - F.col("_last")))
     profile = profile.withColumn("_step_off", F.abs(F.col("_step") - F.median("_step").over(group))).withColumn("_low_off", F.abs(F.col("_low") - F.median("_low").over(group)))
     spread = F.when(F.count("_step") >= 3, F.median("_step_off") / 2**0.5).otherwise(F.median("_low_off"))
-    return profile.groupBy(*keys).agg(F.count("*").alias("n_points"), F.percentile("_y", F.lit(0.2)).alias("background"), F.max("_y").alias("apex"), F.median("_dt").alias("cadence"), F.greatest(1.4826 * spread, F.lit(1.0)).alias("noise"))
+    return profile.groupBy(*keys).agg(F.count("*").alias("n_points"), F.percentile("_y", F.lit(0.2)).alias("background"), F.max("_y").alias("apex"), F.median("_dt").alias("cadence"), F.median("_low").alias("baseline"), F.greatest(1.4826 * spread, F.lit(1.0)).alias("noise"))
+
+
+def areas(rows: DataFrame, keys: list[str], time: str, value: str, tie: str) -> DataFrame:
+    """Trapezoid area, and the area of what stands over the line between a group's first and last value."""
+    w = Window.partitionBy(*keys).orderBy(time, tie)
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    t, y = F.col(time), F.col(value)
+    t0, t1, y0, y1 = F.first(time).over(whole), F.last(time).over(whole), F.first(value).over(whole), F.last(value).over(whole)
+    out = rows.withColumn("_base", F.when(t1 > t0, y0 + (y1 - y0) * (t - t0) / (t1 - t0)).otherwise(y0)).withColumn("_over", F.greatest(y - F.col("_base"), F.lit(0.0)))
+    part = lambda c: (F.col(c) + F.lag(c).over(w)) / 2 * (t - F.lag(time).over(w))
+    return out.withColumn("_a", part(value)).withColumn("_k", part("_over")).groupBy(*keys).agg(F.sum("_a").alias("area"), F.sum("_k").alias("corrected"))
 
 
 def anchor_clusters(rows: DataFrame, keys: list[str], value: str, tolerance: float) -> DataFrame:

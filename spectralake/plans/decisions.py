@@ -110,7 +110,7 @@ def display_labels(spark: SparkSession, d: str) -> DataFrame:
 
 def exported_results(spark: SparkSession, d: str) -> DataFrame:
     rows = candidates(spark, d)
-    score, rt, mz = F.col("final_score") * 1.013 - 1, F.col("rt") * 1.00037, 700 + F.col("intensity") / 1e6
+    score, rt, mz = F.col("final_score") * 1.013 - 1, F.col("rt") * 1.00037, 700 + F.col("intensity") / 999_983
     name = F.expr("CASE ord % 4 WHEN 0 THEN 'nan' WHEN 1 THEN '' WHEN 2 THEN matched_name END")
     fragment = F.expr("CASE partkey % 4 WHEN 0 THEN '[M+H-C3H6O2]+' WHEN 1 THEN '[M - C3H7O5P + H]+' WHEN 2 THEN '18:3,O | 18:3;1O' ELSE 'FA 18:1,O2 | x |x' END")
     kind = F.when(F.col("suppkey") % 2 == 0, "LPE-O").otherwise("PC")
@@ -177,7 +177,7 @@ SQL = {
         (['GP', 'SP', 'GL', 'PR', 'SP', 'GL', 'FA', 'ST', 'Other'])[partkey % 9 + 1] AS family,
         concat(CASE WHEN resolution_level LIKE 'tentative%' OR NOT passed THEN '暂定' ELSE '' END, CASE WHEN resolution_level LIKE '%chain_level' THEN '链水平' ELSE '分子种类水平' END) AS level FROM b""",
     "exported_results": f"""
-        SELECT spectrum, ord, round_even(greatest(0, least(100, final_score * 1.013::DOUBLE - 1)), 2) AS final_score, round_even(rt * 1.00037::DOUBLE, 3) AS rt_minutes, round_even(700 + intensity / 1e6, 4) AS precursor_mz, round_even(ppm_error / 7, 2) AS ppm_error,
+        SELECT spectrum, ord, round_even(greatest(0, least(100, final_score * 1.013::DOUBLE - 1)), 2) AS final_score, round_even(rt * 1.00037::DOUBLE, 3) AS rt_minutes, round_even(700 + intensity / 999983.0::DOUBLE, 4) AS precursor_mz, round_even(ppm_error / 7, 2) AS ppm_error,
         CASE WHEN support <> 'MS2-only' THEN round_even(rt + 0.00049::DOUBLE, 3) END AS feature_rt, CASE WHEN support = '' THEN '未评估' ELSE support END AS ms1_support_status,
         CASE WHEN ord % 2 = 0 THEN round(final_score, 4) END AS raw_mz, CASE WHEN ord % 2 = 0 THEN round(rt, 6) END AS raw_rt, CASE WHEN ord % 2 = 0 THEN round((final_score - partkey) / nullif(partkey, 0) * 1e6, 4) END AS raw_ppm,
         CASE WHEN ord % 4 = 2 THEN matched_name WHEN suppkey % 3 > 0 THEN 'no MS2: TG 50:1' ELSE 'unknown' END AS shown,
