@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spectralake.functions.names import parsed
 from spectralake.operators.ranking import distinct_identities, topk
 
 
@@ -158,3 +159,36 @@ def carbon_curve(points: DataFrame, keys: list[str], carbon: str, rt: str) -> Da
 
 def scan_counts(scans: DataFrame, file: str, level: str) -> DataFrame:
     return scans.groupBy(file).agg(F.count_if(F.col(level) == 1).alias("ms1_scans"), F.count_if(F.col(level) == 2).alias("ms2_scans"))
+
+
+def series_input(rows: DataFrame, lipid: str, subclass: str, rt: str, rank: str | None = None, score: str | None = None, sample: str | None = None) -> DataFrame:
+    """Rows as the retention models take them: parsed name, given or parsed subclass, minutes, rank 1 and an empty sample by default.
+
+    A time column whose name has ``sec`` or ends with ``_s`` holds seconds.
+    """
+    p = parsed(F.col(lipid), F.col(subclass))
+    minutes = F.col(rt).cast("string").try_cast("double") / (60 if "sec" in rt.lower() or rt.lower().endswith("_s") else 1)
+    number = lambda c, kind: F.col(c).cast("string").try_cast(kind) if c else F.lit(None).cast(kind)
+    out = rows.withColumn("_p", p).withColumns({"rt_minutes": minutes, "_rank": F.coalesce(number(rank, "double").cast("int"), F.lit(1)), "_score": number(score, "double"), "_sample": F.coalesce(F.col(sample).cast("string"), F.lit("")) if sample else F.lit("single_sample")})
+    named = F.coalesce(F.col(subclass), F.col("_p.subclass"))
+    kept = [c for c in rows.columns if c not in (rank, score, sample, "rank", "score", "sample")]
+    return out.select(*kept, "rt_minutes", F.col("_p.lipidname_norm").alias("lipidname_norm"), F.col("_p.total_c").alias("total_c"), F.col("_p.total_db").alias("total_db"), named.alias("subclass"), F.col("_rank").alias("rank"), F.col("_score").alias("score"), F.col("_sample").alias("sample"))
+
+
+def measured_areas(rows: DataFrame, samples: list[str]) -> DataFrame:
+    """Area columns of samples: an aligned area stands; a feature without an alignment gives its own area to its own sample alone.
+
+    Rows: aligned, source_file, own_area and the sample columns.
+    """
+    local = F.coalesce(F.trim("aligned"), F.lit("")) == ""
+    return rows.withColumns({s: F.coalesce(F.col(f"`{s}`"), F.when(local & (F.col("source_file") == s), F.col("own_area"))) for s in samples})
+
+
+def attach_masses(features: DataFrame, matches: DataFrame) -> DataFrame:
+    """Features (key, identified, compound_class) with their best mass match (ms1_rank 1) and the number of matches; features without a
+    result take over the match's class and are marked."""
+    best = matches.where("ms1_rank = 1").groupBy("key").agg(F.min(F.struct("candidate_name", "candidate_class")).alias("_b"))
+    counts = matches.groupBy("key").agg(F.count("*").alias("_n"))
+    out = features.join(best, "key", "left").join(counts, "key", "left")
+    open_ = ~F.col("identified") & F.col("_b").isNotNull()
+    return out.withColumns({"compound_class": F.when(open_, F.col("_b.candidate_class")).otherwise(F.col("compound_class")), "confidence": F.when(open_, "no MS2"), "ms1_candidate_name": F.col("_b.candidate_name"), "ms1_candidate_count": F.coalesce("_n", F.lit(0)).cast("long")}).drop("_b", "_n")

@@ -5,44 +5,100 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-PEAK = r'(?m)^([0-9.]+)[ \t]+([0-9.]+)[ \t]*"?([^"\n]*)"?'
+NUMBER = r"[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?"
+PEAK = rf"^\s*({NUMBER})\s+({NUMBER})(?:\s+(.*))?$"
 
 
-def _header(block: Column, name: str) -> Column:
-    found = F.regexp_extract(block, rf"(?mi)^{name}:[ \t]*(.*)$", 1)
+def _lines(block: Column) -> Column:
+    """Lines without blanks around them; line feeds with or without carriage returns end one."""
+    return F.filter(F.transform(F.split(block, "\r?\n|\r"), lambda x: F.trim(x)), lambda x: x != "")
+
+
+def _field(lines: Column, name: str) -> Column:
+    """The text after the first ``name:`` in the header, whatever its case; null without one."""
+    hits = F.filter(lines, lambda x: F.lower(F.trim(F.substring_index(x, ":", 1))) == name)
+    return F.regexp_extract(F.get(hits, F.lit(0)), r"^[^:]*:\s*(.*)$", 1)
+
+
+def _comment(text: Column, name: str) -> Column:
+    """A named part of the comment, which ends where the next known one begins."""
+    found = F.regexp_extract(text, rf"(?i)(?:^|;)\s*{name}=(.*?)(?:;\s*(?:ms1_name|polarity)=.*)?$", 1)
     return F.when(found != "", F.trim(found))
 
 
 def headers(blocks: DataFrame, column: str = "value") -> DataFrame:
-    """The header fields of each block, without its peaks."""
-    b = F.col(column)
-    return blocks.where(b.rlike(r"\S")).select(
-        _header(b, "Name").alias("name"),
-        _header(b, "PrecursorMZ").cast("double").alias("precursor_mz"),
-        _header(b, "PrecursorType").alias("adduct"),
-        _header(b, "CompoundClass").alias("compound_class"),
-        _header(b, "Num Peaks").cast("int").alias("n_peaks"),
-        F.regexp_extract(b, r"(?s)Num Peaks:[^\n]*\n(.*)", 1).alias("_peaks"),
-    )
+    """The header fields of each block that has a precursor, without its peaks."""
+    head = blocks.select(F.split(F.col(column), r"(?i)(?<=^|\n)\s*num peaks\s*:", 2).alias("_p"))
+    split = head.select(_lines(F.get("_p", F.lit(0))).alias("_h"), F.get("_p", F.lit(1)).alias("_rest"))
+    comment = F.coalesce(_field(F.col("_h"), "comment"), F.lit(""))
+    out = split.select(
+        F.nullif(_field(F.col("_h"), "name"), F.lit("")).alias("name"), _field(F.col("_h"), "precursormz").try_cast("double").alias("precursor_mz"), F.nullif(_field(F.col("_h"), "precursortype"), F.lit("")).alias("adduct"),
+        F.nullif(_field(F.col("_h"), "compoundclass"), F.lit("")).alias("compound_class"), F.nullif(_field(F.col("_h"), "formula"), F.lit("")).alias("formula"), _comment(comment, "ms1_name").alias("ms1_name"), _comment(comment, "polarity").alias("polarity"),
+        F.trim(F.substring_index(F.regexp_replace(F.coalesce("_rest", F.lit("")), "\r", "\n"), "\n", 1)).try_cast("int").alias("n_peaks"), F.col("_rest"),
+    )
+    return out.where("precursor_mz is not null")
+
+
+def _peak(line: Column) -> Column:
+    """mz, intensity, name, type, required_group, weight: labels in quotes are name and type, or a JSON object of all."""
+    rest = F.trim(F.regexp_extract(line, PEAK, 3))
+    quoted = F.regexp_extract_all(rest, F.lit('"([^"]*)"'), F.lit(1))
+    inner = F.when(rest.startswith('"') & rest.endswith('"') & (F.length(rest) >= 2), F.substring(rest, 2, F.length(rest) - 2)).otherwise(rest)
+    json = F.when(F.ltrim(inner).startswith("{"), F.from_json(inner, "name string, type string, required_group string, weight double"))
+    two = F.size(quoted) >= 2
+    label = F.when(two, F.get(quoted, F.lit(0))).otherwise(F.when(F.size(quoted) == 1, F.get(quoted, F.lit(0))).otherwise(rest))
+    kind = F.when(two & (F.get(quoted, F.lit(1)) != ""), F.get(quoted, F.lit(1))).otherwise("Common")
+    return F.struct(
+        F.regexp_extract(line, PEAK, 1).cast("double").alias("mz"), F.regexp_extract(line, PEAK, 2).cast("double").alias("intensity"), F.coalesce(json["name"], label).alias("name"), F.coalesce(json["type"], kind).alias("type"),
+        F.nullif(json["required_group"], F.lit("")).alias("required_group"), F.coalesce(json["weight"], F.lit(1.0)).alias("weight"),
+    )
 
 
 def records(blocks: DataFrame, column: str = "value") -> DataFrame:
-    """Header fields and ``fragments``, an array of mz, intensity and name in the order of the file."""
-    part = lambda i: F.regexp_extract_all("_peaks", F.lit(PEAK), F.lit(i))
-    peaks = F.transform(F.arrays_zip(part(1).alias("a"), part(2).alias("b"), part(3).alias("c")), lambda p: F.struct(p["a"].cast("double").alias("mz"), p["b"].cast("double").alias("intensity"), p["c"].alias("name")))
-    return headers(blocks, column).select("name", "precursor_mz", "adduct", "compound_class", "n_peaks", peaks.alias("fragments"))
+    """Header fields and ``fragments`` in the order of the file; lines that aren't peaks are left out."""
+    lines = F.filter(F.slice(_lines(F.concat(F.lit("-\n"), F.coalesce("_rest", F.lit("")))), 2, 1 << 30), lambda x: x.rlike(PEAK))
+    # the number of peaks stands on the first line
+    body = F.when(F.regexp_extract(F.col("_rest"), r"^([^\n]*)", 1).rlike(r"^\s*\d+\s*$"), F.filter(lines, lambda x: ~x.rlike(r"^\d+$"))).otherwise(lines)
+    return headers(blocks, column).withColumn("fragments", F.transform(body, _peak)).drop("_rest")
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """Records of all files below ``path`` (plain or compressed; line ends are line feeds)."""
-    return records(spark.read.option("lineSep", "\n\n").text(path))
+    """Records of all files below ``path`` (plain or compressed), with record_id; blank lines may hold carriage returns.
+
+    Blocks are cut at line feeds, and a file with carriage returns is cut again at blank lines inside the pieces.
+    """
+    pieces = spark.read.option("lineSep", "\n\n").text(path)
+    blocks = pieces.select(F.explode(F.split("value", r"\r?\n[ \t]*\r?\n|\r\n[ \t]*\r\n")).alias("value"))
+    found = records(blocks).withColumn("record_id", F.monotonically_increasing_id())
+    name = F.coalesce("ms1_name", "name")
+    return found.withColumn("lipid_name", name)
 
 
 def block(name: Column, mz: Column, adduct: Column, compound_class: Column, fragments: Column) -> Column:
+    """One record as text; fragments have mz, intensity and name."""
     lines = F.transform(fragments, lambda p: F.format_string('%s %s "%s"', p["mz"].cast("string"), p["intensity"].cast("string"), p["name"]))
     head = F.format_string("Name: %s\nPrecursorMZ: %s\nPrecursorType: %s\nCompoundClass: %s\nNum Peaks: %d", name, mz.cast("string"), adduct, compound_class, F.size(fragments))
     return F.concat_ws("\n", head, F.array_join(lines, "\n"))
 
 
+def full_block() -> Column:
+    """A record with all its fields: four digits of masses, two of intensities, name and type of each fragment."""
+    lines = F.transform("fragments", lambda p: F.format_string('%.4f %.2f "%s" "%s"', p["mz"], p["intensity"], p["name"], p["type"]))
+    formula = F.when(F.coalesce("formula", F.lit("")) != "", F.concat(F.lit("Formula: "), F.col("formula")))
+    comment = F.format_string("Comment: MS1_name=%s;polarity=%s", F.coalesce("ms1_name", "name"), F.coalesce("polarity", F.lit("")))
+    return F.concat_ws("\n", F.concat(F.lit("Name: "), F.col("name")), F.format_string("PrecursorMZ: %.4f", F.col("precursor_mz")), F.concat(F.lit("PrecursorType: "), F.col("adduct")), F.concat(F.lit("CompoundClass: "), F.col("compound_class")), formula, comment, F.format_string("Num Peaks: %d", F.size("fragments")), F.array_join(lines, "\n"))
+
+
+def faults(blocks: DataFrame, column: str = "value") -> DataFrame:
+    """Blocks that lack or repeat a header, or whose number of peaks is wrong or 0, with what is wrong."""
+    lines = _lines(F.col(column))
+    keys = ["name", "precursormz", "precursortype", "compoundclass", "num peaks"]
+    count = lambda k: F.size(F.filter(lines, lambda x: F.lower(F.trim(F.substring_index(x, ":", 1))) == k))
+    n = F.size(F.filter(lines, lambda x: x.rlike(PEAK)))
+    said = _field(lines, "num peaks").try_cast("int")
+    wrong = F.array_compact(F.array(*[F.when(count(k) != 1, k) for k in keys], F.when((n == 0) | (F.coalesce(said, F.lit(-1)) != n), "peaks")))
+    return blocks.select(column, wrong.alias("wrong")).where(F.size("wrong") > 0)
+
+
 def write(blocks: DataFrame, path: str, column: str = "value") -> None:
     blocks.select(column).write.option("lineSep", "\n\n").text(path)

@@ -19,7 +19,7 @@ def test_msp_round_trip(spark, tmp_path):
     for name, mz, adduct, kind, peaks in rows:
         r = got[name]
         assert (r.precursor_mz, r.adduct, r.compound_class, r.n_peaks) == (mz, adduct, kind, len(peaks))
-        assert [tuple(p) for p in r.fragments] == peaks
+        assert [(p.mz, p.intensity, p.name) for p in r.fragments] == peaks
 
 
 def test_windowed_stream(spark, tmp_path):
