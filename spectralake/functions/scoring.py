@@ -30,5 +30,6 @@ def guarded_corr(a: Column, b: Column, least: int = 5, spread: float = 1e-6) ->
 
 
 def cosine(a: Column, b: Column) -> Column:
+    """Null where either vector is zero."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda u, v: u.cast("double") * v.cast("double")), F.lit(0.0), lambda s, t: s + t)
-    return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
+    return F.try_divide(dot(a, b), F.sqrt(dot(a, a) * dot(b, b)))

@@ -39,8 +39,8 @@ def latest_before(rows: DataFrame, surveys: DataFrame, on: list[str], time: str,
     Surveys go to the time bucket of their own and to the next, rows to one, so windows stay short however long a group is.
     """
     bucket = F.floor(F.col(time) / limit)
-    left = rows.withColumn("_bucket", bucket).withColumn("_survey", F.lit(None).cast("struct<t:double,id:bigint>"))
     marks = surveys.select(*on, time, F.struct(F.col(time).alias("t"), F.col(survey).alias("id")).alias("_survey"), F.explode(F.array(bucket, bucket + 1)).alias("_bucket"))
+    left = rows.withColumn("_bucket", bucket).withColumn("_survey", F.lit(None).cast(marks.schema["_survey"].dataType))
     order = [F.col(time), F.col("_survey").isNull(), F.col("_survey.id")]
     w = Window.partitionBy(*on, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     both = left.withColumn("_row", F.lit(True)).unionByName(marks, allowMissingColumns=True)

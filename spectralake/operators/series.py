@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spectralake.operators.clusters import with_stretch
+
 
 def extracted(rows: DataFrame, keys: list[str], mz: str, intensity: str, targets: list[float], tolerance: float) -> DataFrame:
     """For each group and target: the intensity nearest in mass (the larger of equals) and the sum over the window."""
@@ -49,10 +51,10 @@ def anchor_clusters(rows: DataFrame, keys: list[str], value: str, tolerance: flo
 
     Stretches without a gap beyond the tolerance are independent, so only the distinct values of one stretch meet in a row.
     """
-    counted = rows.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
-    w = Window.partitionBy(*keys).orderBy("_v")
-    gap = F.when(F.col("_v") - F.lag("_v").over(w) > tolerance, 1).otherwise(0)
-    lists = counted.withColumn("_gap", gap).withColumn("_stretch", F.sum("_gap").over(w)).groupBy(*keys, "_stretch").agg(F.array_sort(F.collect_list(F.struct("_v", "_n"))).alias("_all"))
+    counted = rows.where(F.col(value).isNotNull() & ~F.isnan(value)).groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
+    # values with an empty bin of the tolerance's width between them are farther apart than the tolerance
+    placed = with_stretch(counted, keys, F.col("_v"), tolerance, "_stretch")
+    lists = placed.groupBy(*keys, "_stretch").agg(F.array_sort(F.collect_list(F.struct("_v", "_n"))).alias("_all"))
     empty = F.array().cast("array<struct<anchor:double,n:bigint>>")
     one = lambda v, n: F.struct(v.alias("anchor"), n.alias("n"))
 
@@ -68,9 +70,13 @@ def anchor_clusters(rows: DataFrame, keys: list[str], value: str, tolerance: flo
 
 
 def residual_actions(rows: DataFrame, keys: list[str], y: str, x: str, accept: float, suspect: float) -> DataFrame:
-    """Rows with their residual from the group's line, in units of its root mean square, and keep, suspect or reject."""
+    """Rows with their residual from the group's line, in units of its root mean square, and keep, suspect or reject.
+
+    Of a group that lies on its line every residual is 0; a group without a line (one x) keeps null residuals and is kept.
+    """
     sums = rows.groupBy(*keys).agg(F.regr_slope(y, x).alias("_a"), F.regr_intercept(y, x).alias("_b"), F.regr_syy(y, x).alias("_syy"), F.regr_r2(y, x).alias("_r2"), F.count("*").alias("_n"))
     fit = sums.withColumn("_rms", F.sqrt(F.col("_syy") * (1 - F.col("_r2")) / F.col("_n"))).drop("_syy", "_r2", "_n")
-    off = F.abs(F.col(y) - F.col("_a") * F.col(x) - F.col("_b")) / F.col("_rms")
-    action = F.when(F.col("residual") <= accept, "keep").when(F.col("residual") <= suspect, "suspect").otherwise("reject")
+    plain = F.abs(F.col(y) - F.col("_a") * F.col(x) - F.col("_b"))
+    off = F.when(F.col("_rms") > 0, F.try_divide(plain, F.col("_rms"))).when(plain.isNotNull(), 0.0)
+    action = F.when(F.col("residual").isNull() | (F.col("residual") <= accept), "keep").when(F.col("residual") <= suspect, "suspect").otherwise("reject")
     return rows.join(fit, keys).withColumn("residual", off).withColumn("action", action).drop("_a", "_b", "_rms")

@@ -24,7 +24,7 @@ def union_all(*tables: DataFrame) -> DataFrame:
     return out
 
 
-def fragment_text(rows: DataFrame, keys: list[str], mz: str, label: str, digits: int = 4) -> DataFrame:
-    """The group's peaks in order of mass and label as ``mz label; mz label``."""
-    peaks = F.array_sort(F.collect_list(F.struct(F.col(mz).alias("m"), F.col(label).alias("l"))))
-    return rows.groupBy(*keys).agg(F.array_join(F.transform(peaks, lambda p: F.format_string(f"%.{digits}f %s", p["m"], p["l"])), "; ").alias("fragments"))
+def fragment_text(rows: DataFrame, keys: list[str], mz: str, label: str, digits: int = 4, kind: str | None = None) -> DataFrame:
+    """The group's peaks in order of mass, label and kind as ``mz label; mz label``; a peak without a label is its mass alone."""
+    peaks = F.array_sort(F.collect_list(F.struct(F.col(mz).alias("m"), F.coalesce(F.col(label), F.lit("")).alias("l"), *([F.col(kind).alias("k")] if kind else []))))
+    return rows.groupBy(*keys).agg(F.array_join(F.transform(peaks, lambda p: F.rtrim(F.format_string(f"%.{digits}f %s", p["m"], p["l"]))), "; ").alias("fragments"))

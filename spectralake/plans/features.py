@@ -31,9 +31,10 @@ def feature_link_nearest(spark: SparkSession, d: str) -> DataFrame:
 
 
 def unique_match_only(spark: SparkSession, d: str) -> DataFrame:
-    features = table(spark, d, "supplier").select("s_suppkey", (900 + F.abs("s_acctbal") / 10).alias("mz"))
-    found = joins.mass_candidates(features, table(spark, d, "part").where("p_size <= 10").select("p_partkey", "p_retailprice"), "mz", "p_retailprice", 50)
-    return linking.unique_only(found.select("s_suppkey", "p_partkey"), ["s_suppkey"])
+    features = table(spark, d, "part").select("p_partkey", F.col("p_retailprice").alias("mz"))
+    library = table(spark, d, "supplier").select("s_suppkey", (900 + F.abs("s_acctbal") / 100).alias("mass"))
+    found = joins.mass_candidates(features, library, "mz", "mass", 50)
+    return linking.unique_only(found.select("p_partkey", "s_suppkey"), ["p_partkey"])
 
 
 def asof_previous_survey(spark: SparkSession, d: str) -> DataFrame:
@@ -156,8 +157,8 @@ SQL = {
         SELECT event_id, l.feature_id, round(l.dist, 5) AS distance, CASE WHEN l.event_id IS NOT NULL THEN 'linked' WHEN event_id IN (SELECT event_id FROM c) THEN 'outside_rt' ELSE 'no_mass' END AS reason
         FROM e LEFT JOIN l USING (event_id) WHERE event_type = 'purchase'""",
     "unique_match_only": """
-        WITH f AS (SELECT s_suppkey, 900 + abs(s_acctbal) / 10 AS mz FROM supplier)
-        SELECT s_suppkey, p_partkey FROM f JOIN part ON p_retailprice BETWEEN mz / (1 + 5e-5) AND mz / (1 - 5e-5) WHERE p_size <= 10 QUALIFY count(*) OVER (PARTITION BY s_suppkey) = 1""",
+        WITH l AS (SELECT s_suppkey, 900 + abs(s_acctbal) / 100 AS mass FROM supplier)
+        SELECT p_partkey, s_suppkey FROM part JOIN l ON mass BETWEEN p_retailprice / (1 + 5e-5) AND p_retailprice / (1 - 5e-5) QUALIFY count(*) OVER (PARTITION BY p_partkey) = 1""",
     "asof_previous_survey": f"""
         WITH e AS (SELECT *, {_MINUTES} AS rt FROM events),
         v AS (SELECT user_id, rt, max(event_id) AS survey_id FROM e WHERE event_type = 'view' GROUP BY 1, 2)

@@ -124,4 +124,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mass_candidates_topk(spark, sf_dir)
+    return search.spectrum_search(spark, sf_dir)
