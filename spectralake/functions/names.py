@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CORE = r"(O-|P-|d|m|t)?(\d{1,3}):(\d{1,2})"
@@ -31,42 +31,52 @@ def _numbers(text: Column, pattern: str, groups: list[int]) -> Column:
     return F.when(F.size(found[0]) > 0, total)
 
 
-def parsed(name: Column, fallback: Column | None = None) -> Column:
-    """lipidname_norm, total_c, total_db, subclass: chains are sorted unless one is a sphingoid base; all cores count."""
-    fallback = F.lit("") if fallback is None else fallback
-    raw = F.trim(_empty(name))
-    text = F.trim(F.regexp_replace(raw, r"\s+", " "))
+def with_parsed(rows: DataFrame, name: Column, fallback: Column | None = None, into: str = "parsed") -> DataFrame:
+    """Adds a struct lipidname_norm, total_c, total_db, subclass: chains are sorted unless one is a sphingoid base; all cores count.
+
+    Done in steps, each a projection of its own, so that no part of the name is taken apart twice.
+    """
     clean = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
-    first = F.regexp_instr(text, F.lit(CHAIN))
+    raw, text, first = F.col("_raw"), F.col("_text"), F.col("_first")
+    out = rows.withColumn("_raw", F.trim(_empty(name))).withColumn("_fall", clean(_empty(F.lit("") if fallback is None else fallback)))
+    out = out.withColumn("_text", clean(raw)).withColumn("_first", F.regexp_instr(text, F.lit(CHAIN)))
     paren = F.instr(text, "(")
     base_first = F.regexp_extract(text, CHAIN, 1).isin("d", "m", "t") & ((paren == 0) | (first < paren)) & (first > 0)
-    closed = text.rlike(OUTER)
-    style = F.when(base_first, "space").when(closed, "paren").when(first > 0, "space").otherwise("plain")
+    out = out.withColumn("_style", F.when(base_first, "space").when(text.rlike(OUTER), "paren").when(first > 0, "space").otherwise("plain"))
+    style = F.col("_style")
     at_first = F.when(first > 0, first).otherwise(1)
     head = F.when(style == "paren", F.regexp_extract(text, OUTER, 1)).when(style == "space", text.substr(F.lit(1), at_first - 1)).otherwise("")
     chains = F.when(style == "paren", F.regexp_extract(text, OUTER, 2)).when(style == "space", F.trim(text.substr(at_first, F.length(text)))).otherwise(text)
     tail = F.when(style == "paren", F.trim(F.regexp_extract(text, OUTER, 3))).otherwise("")
-    subclass = F.when(clean(head) != "", clean(head)).otherwise(clean(_empty(fallback)))
-    whole = (F.upper(subclass) == "AHEXCER") & (style == "space") & chains.rlike(AHEXCER)
+    out = out.withColumns({"_head": clean(head), "_chains": chains, "_tail": tail})
+    chains = F.col("_chains")
     tokens = F.transform(
         F.regexp_extract_all(chains, F.lit(CHAIN), F.lit(0)),
         lambda t: F.struct(F.regexp_extract(t, CORE, 2).cast("int").alias("c"), F.regexp_extract(t, CORE, 3).cast("int").alias("b"), F.regexp_extract(t, CORE, 1).alias("p"), t.alias("t")),
     )
+    out = out.withColumns({"_tokens": tokens, "_sub": F.when(F.col("_head") != "", F.col("_head")).otherwise(F.col("_fall"))})
+    tokens, subclass = F.col("_tokens"), F.col("_sub")
     based = F.exists(tokens, lambda t: t["p"].isin("d", "m", "t"))
     ordered = F.when((F.size(tokens) > 1) & ~based, F.array_sort(tokens)).otherwise(tokens)
     separator = F.when(chains.contains("_"), "_").when(chains.contains("/"), "/").otherwise("_")
-    joined = F.replace(F.array_join(F.transform(ordered, lambda t: t["t"]), "\u0001"), F.lit("\u0001"), separator)
-    norm = F.when(whole | (F.size(tokens) == 0), raw).when(style == "paren", F.trim(F.concat(subclass, F.lit("("), joined, F.lit(")"), tail))).when(subclass != "", F.trim(F.concat_ws(" ", subclass, joined))).otherwise(joined)
+    out = out.withColumn("_joined", F.replace(F.array_join(F.transform(ordered, lambda t: t["t"]), "\u0001"), F.lit("\u0001"), separator))
+    joined = F.col("_joined")
+    whole = (F.upper(subclass) == "AHEXCER") & (style == "space") & chains.rlike(AHEXCER)
+    norm = (
+        F.when(whole | (F.size(tokens) == 0), raw).when(style == "paren", F.trim(F.concat(subclass, F.lit("("), joined, F.lit(")"), F.col("_tail"))))
+        .when(subclass != "", F.trim(F.concat_ws(" ", subclass, joined))).otherwise(joined)
+    )
     plain = F.struct(norm.alias("lipidname_norm"), _numbers(chains, CORE, [2]).alias("total_c"), _numbers(chains, CORE, [3]).alias("total_db"), subclass.alias("subclass"))
     at = lambda p, g: F.regexp_extract(raw, p, g).try_cast("bigint")
     ether = raw.rlike(ETHER_LYSO) & (at(ETHER_LYSO, 2) == at(ETHER_LYSO, 4)) & (at(ETHER_LYSO, 3) == at(ETHER_LYSO, 5) + 1)
     special = lambda c, db, sub: F.struct(raw.alias("lipidname_norm"), c.alias("total_c"), db.alias("total_db"), sub.alias("subclass"))
-    est = raw.rlike(TG_EST)
-    return (
+    out = out.withColumn(
+        into,
         F.when(ether, special(at(ETHER_LYSO, 2), at(ETHER_LYSO, 3), F.concat(F.regexp_extract(raw, ETHER_LYSO, 1), F.lit("-O"))))
-        .when(est, special(_numbers(raw, TG_EST, [1, 3, 5, 7]), _numbers(raw, TG_EST, [2, 4, 6, 8]), F.lit("TG-EST")))
-        .otherwise(plain)
+        .when(raw.rlike(TG_EST), special(_numbers(raw, TG_EST, [1, 3, 5, 7]), _numbers(raw, TG_EST, [2, 4, 6, 8]), F.lit("TG-EST")))
+        .otherwise(plain),
     )
+    return out.drop("_raw", "_fall", "_text", "_first", "_style", "_head", "_chains", "_tail", "_tokens", "_sub", "_joined")
 
 
 def sum_candidate(name: Column, compound_class: Column, formula: Column) -> Column:
@@ -90,15 +100,9 @@ def total_name(name: Column, compound_class: Column, formula: Column) -> Column:
     return F.when(kept, F.struct(text.alias("name"), F.lit("sum_composition").alias("resolution"))).otherwise(sum_candidate(name, compound_class, formula))
 
 
-def composition(name: Column) -> Column:
-    """compound_class, n_chains, total_c, total_db; the totals are null for a name without a chain."""
-    p = parsed(name)
-    return F.struct(p["subclass"].alias("compound_class"), F.regexp_count(_empty(name), F.lit(CORE)).cast("bigint").alias("n_chains"), p["total_c"].alias("total_c"), p["total_db"].alias("total_db"))
-
-
-def sum_name(name: Column) -> Column:
-    parts = parsed(name)
-    return F.when(parts["total_c"].isNull(), name).otherwise(F.concat(parts["subclass"], F.lit("("), parts["total_c"], F.lit(":"), parts["total_db"], F.lit(")")))
+def sum_name(name: Column, parsed: Column) -> Column:
+    """The class with the totals of a parsed name; the name itself where it has no chain."""
+    return F.when(parsed["total_c"].isNull(), name).otherwise(F.concat(parsed["subclass"], F.lit("("), parsed["total_c"], F.lit(":"), parsed["total_db"], F.lit(")")))
 
 
 def identity(compound_class: Column, name: Column) -> Column:

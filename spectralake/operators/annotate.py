@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spectralake.functions.names import parsed
+from spectralake.functions.names import with_parsed
 from spectralake.operators.ranking import distinct_identities, topk
 
 
@@ -166,10 +166,9 @@ def series_input(rows: DataFrame, lipid: str, subclass: str, rt: str, rank: str
 
     A time column whose name has ``sec`` or ends with ``_s`` holds seconds.
     """
-    p = parsed(F.col(lipid), F.col(subclass))
     minutes = F.col(rt).cast("string").try_cast("double") / (60 if "sec" in rt.lower() or rt.lower().endswith("_s") else 1)
     number = lambda c, kind: F.col(c).cast("string").try_cast(kind) if c else F.lit(None).cast(kind)
-    out = rows.withColumn("_p", p).withColumns({"rt_minutes": minutes, "_rank": F.coalesce(number(rank, "double").cast("int"), F.lit(1)), "_score": number(score, "double"), "_sample": F.coalesce(F.col(sample).cast("string"), F.lit("")) if sample else F.lit("single_sample")})
+    out = with_parsed(rows, F.col(lipid), F.col(subclass), "_p").withColumns({"rt_minutes": minutes, "_rank": F.coalesce(number(rank, "double").cast("int"), F.lit(1)), "_score": number(score, "double"), "_sample": F.coalesce(F.col(sample).cast("string"), F.lit("")) if sample else F.lit("single_sample")})
     named = F.coalesce(F.col(subclass), F.col("_p.subclass"))
     kept = [c for c in rows.columns if c not in (rank, score, sample, "rank", "score", "sample")]
     return out.select(*kept, "rt_minutes", F.col("_p.lipidname_norm").alias("lipidname_norm"), F.col("_p.total_c").alias("total_c"), F.col("_p.total_db").alias("total_db"), named.alias("subclass"), F.col("_rank").alias("rank"), F.col("_score").alias("score"), F.col("_sample").alias("sample"))

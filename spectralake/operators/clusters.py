@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 
+from bisect import insort
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -91,6 +93,7 @@ def leaders(rows: DataFrame, keys: list[str], order: str, ppm: float = 10.0, min
     """
     axis, width = F.col("rt"), minutes * 1.0001
     placed = with_stretch(rows.where("mz is not null and rt is not null"), keys, axis, width)
+    middle = lambda v: (v[(len(v) - 1) // 2] + v[len(v) // 2]) / 2  # noqa: E731  of a sorted list
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["rt", "mz", order], kind="stable").reset_index(drop=True)
@@ -98,14 +101,13 @@ def leaders(rows: DataFrame, keys: list[str], order: str, ppm: float = 10.0, min
         names = []
         for row in pdf.itertuples():
             for number, (masses, times) in enumerate(groups):
-                mid = float(np.median(masses))
-                if abs(row.mz - mid) / mid * 1e6 <= ppm and abs(row.rt - float(np.median(times))) <= minutes:
+                if abs(row.rt - middle(times)) <= minutes and abs(row.mz - (mid := middle(masses))) / mid * 1e6 <= ppm:
                     break
             else:
                 number = len(groups)
                 groups.append(([], []))
-            groups[number][0].append(row.mz)
-            groups[number][1].append(row.rt)
+            insort(groups[number][0], row.mz)
+            insort(groups[number][1], row.rt)
             names.append(number)
         stretch = pdf["stretch"].iloc[0]
         return pdf.assign(cluster=[f"{stretch}|{i}" for i in names])

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spectralake.functions import chroma
@@ -104,25 +104,25 @@ def shapes(pairs: DataFrame, keys: list[str]) -> DataFrame:
     return pairs.select(*keys, "times_a", "values_a", "times_b", "values_b").mapInPandas(work, _schema(pairs, keys) + "status string, pearson double, cosine double, apex_difference double, active_points double")
 
 
-def isotopes(mz: str, intensity: str, target: Column, charge: Column, centroided: Column) -> Column:
-    """status and peaks (offset, mz, intensity, relative) of a precursor: the only peak within 15 ppm, then up to three isotopes.
+def isotopes(rows: DataFrame, mz: str, intensity: str, target: str, charge: str, centroided: str) -> DataFrame:
+    """Adds status and peaks (offset, mz, intensity, relative) of a precursor: the only peak within 15 ppm, then up to three isotopes.
 
-    An isotope is taken where just one peak is near; several make the snapshot partial. Arrays need not be sorted.
+    An isotope is taken where just one peak is near; several make the snapshot partial. Arrays need not be sorted. Done in steps, so
+    that each window is looked through once.
     """
     pairs = F.filter(F.arrays_zip(F.col(mz).alias("m"), F.col(intensity).alias("i")), lambda p: ~F.isnan(p["m"]) & ~F.isnan(p["i"]) & (p["i"] > 0))
-    near = lambda mass: F.filter(pairs, lambda p: (p["m"] >= mass - mass * chroma.ISOTOPE_PPM * 1e-6) & (p["m"] <= mass + mass * chroma.ISOTOPE_PPM * 1e-6))
-    anchor = near(target)
-    first = F.get(anchor, F.lit(0))
-    windows = [near(first["m"] + k * chroma.ISOTOPE_SPACING / F.abs(charge)) for k in (1, 2, 3)]
-    one = lambda k, w: F.when(F.size(w) == 1, F.struct(F.lit(k).alias("offset"), F.get(w, F.lit(0))["m"].alias("mz"), F.get(w, F.lit(0))["i"].alias("intensity")))
-    found = F.filter(F.array(F.struct(F.lit(0).alias("offset"), first["m"].alias("mz"), first["i"].alias("intensity")), *[one(k, w) for k, w in enumerate(windows, 1)]), lambda p: p.isNotNull())
-    several = F.lit(False)
-    for w in windows:
-        several = several | (F.size(w) > 1)
+    near = lambda mass: F.filter("_pairs", lambda p: (p["m"] >= mass - mass * chroma.ISOTOPE_PPM * 1e-6) & (p["m"] <= mass + mass * chroma.ISOTOPE_PPM * 1e-6))
+    out = rows.withColumn("_pairs", pairs).withColumn("_anchor", near(F.col(target))).withColumn("_a", F.get("_anchor", F.lit(0)))
+    step = F.try_divide(F.lit(chroma.ISOTOPE_SPACING), F.abs(charge))
+    out = out.withColumns({f"_w{k}": near(F.col("_a.m") + k * step) for k in (1, 2, 3)})
+    one = lambda k: F.when(F.size(f"_w{k}") == 1, F.struct(F.lit(k).alias("offset"), F.get(f"_w{k}", F.lit(0))["m"].alias("mz"), F.get(f"_w{k}", F.lit(0))["i"].alias("intensity")))
+    found = F.filter(F.array(F.struct(F.lit(0).alias("offset"), F.col("_a.m").alias("mz"), F.col("_a.i").alias("intensity")), *map(one, (1, 2, 3))), lambda p: p.isNotNull())
+    several = (F.size("_w1") > 1) | (F.size("_w2") > 1) | (F.size("_w3") > 1)
     status = (
-        F.when(~centroided, "profile_ms1").when(F.coalesce(charge, F.lit(0)) == 0, "charge_unknown").when(F.coalesce(target, F.lit(0.0)) <= 0, "precursor_peak_missing")
-        .when(F.size(anchor) == 0, "precursor_peak_missing").when(F.size(anchor) > 1, "ambiguous_precursor").when(several, "partial").otherwise("ok")
+        F.when(~F.col(centroided), "profile_ms1").when(F.coalesce(charge, F.lit(0)) == 0, "charge_unknown").when(F.coalesce(target, F.lit(0.0)) <= 0, "precursor_peak_missing")
+        .when(F.size("_anchor") == 0, "precursor_peak_missing").when(F.size("_anchor") > 1, "ambiguous_precursor").when(several, "partial").otherwise("ok")
     )
-    largest = F.array_max(F.transform(found, lambda p: p["intensity"]))
-    listed = F.transform(found, lambda p: F.struct(p["offset"].alias("offset"), p["mz"].alias("mz"), p["intensity"].alias("intensity"), (p["intensity"] / largest * 100).alias("relative")))
-    return F.struct(status.alias("status"), F.when(status.isin("ok", "partial"), listed).alias("peaks"))
+    out = out.withColumns({"_found": found, "status": status}).withColumn("_top", F.array_max(F.transform("_found", lambda p: p["intensity"])))
+    listed = F.transform("_found", lambda p: F.struct(p["offset"].alias("offset"), p["mz"].alias("mz"), p["intensity"].alias("intensity"), (p["intensity"] / F.col("_top") * 100).alias("relative")))
+    out = out.withColumn("peaks", F.when(F.col("status").isin("ok", "partial"), listed))
+    return out.drop("_pairs", "_anchor", "_a", "_w1", "_w2", "_w3", "_found", "_top")

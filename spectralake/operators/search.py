@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from spectralake.functions import spectra as kernels
 
-BIN, CROWD = 1.0, 4000
+BIN, FINE, CROWD = 1.0, 0.01, 4000
 RESULT = """spectrum string, record_id long, compound_class string, matched_name string, library_species_name string, adduct string, precursor_mz double, ppm_error double, result_rank int, result_rank_scope string,
     final_score double, normalized_match_score double, ppm_score double, resolution_level string, downgrade_reason string, matched_fragment_count int, matched_fragments string, matched_intensity_sum double,
     matched_relative_intensity_sum double, fah_score double, hg_score double, other_score double"""
@@ -144,7 +144,11 @@ def search(spectra: DataFrame, library: DataFrame, precursor_ppm: float = 5.0, f
     crowds = asked.groupBy("bin").agg(F.ceil(F.count("*") / CROWD).cast("int").alias("deals"))
     dealt = asked.join(crowds, "bin").withColumn("deal", F.pmod(F.xxhash64("spectrum"), "deals").cast("int")).drop("deals")
     reach = F.col("precursor_mz") * precursor_ppm * 1e-6 * 1.01
-    spread = library.withColumn("bin", F.explode(F.sequence(F.floor((F.col("precursor_mz") - reach) / BIN), F.floor((F.col("precursor_mz") + reach) / BIN))))
+    # records that no window touches, told by fine bins, stay out of the shuffle and of Python
+    width = F.col("precursor_mz") * precursor_ppm * 1e-6 * 1.01
+    touched = asked.select(F.explode(F.sequence(F.floor((F.col("precursor_mz") - width) / FINE), F.floor((F.col("precursor_mz") + width) / FINE))).alias("fine")).distinct()
+    near = library.withColumn("fine", F.floor(F.col("precursor_mz") / FINE)).join(touched, "fine", "left_semi").drop("fine")
+    spread = near.withColumn("bin", F.explode(F.sequence(F.floor((F.col("precursor_mz") - reach) / BIN), F.floor((F.col("precursor_mz") + reach) / BIN))))
     spread = spread.join(crowds, "bin").withColumn("deal", F.explode(F.sequence(F.lit(0), F.col("deals") - 1))).drop("deals")
 
     def work(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:

@@ -96,8 +96,8 @@ _NAME = "concat('PC(', p_size + 10, ':', p_partkey % 6, '/', p_partkey % 20 + 2,
 
 def name_composition(spark: SparkSession, d: str) -> DataFrame:
     named = table(spark, d, "part").select("p_partkey", "p_brand", F.expr(_NAME).alias("name"))
-    c = names.composition(F.col("name"))
-    return named.select("p_partkey", "name", c["compound_class"].alias("compound_class"), c["n_chains"].alias("n_chains"), c["total_c"].alias("total_c"), c["total_db"].alias("total_db"), names.sum_name(F.col("name")).alias("sum_name"), names.identity(F.col("p_brand"), F.col("name")).alias("identity"))
+    named = names.with_parsed(named, F.col("name"), into="c").withColumn("n_chains", F.regexp_count("name", F.lit(names.CORE)).cast("bigint"))
+    return named.select("p_partkey", "name", F.col("c.subclass").alias("compound_class"), "n_chains", "c.total_c", "c.total_db", names.sum_name(F.col("name"), F.col("c")).alias("sum_name"), names.identity(F.col("p_brand"), F.col("name")).alias("identity"))
 
 
 def saturation_pools(spark: SparkSession, d: str) -> DataFrame:

@@ -30,8 +30,7 @@ def _named(spark: SparkSession, d: str) -> DataFrame:
 
 
 def parsed_names(spark: SparkSession, d: str) -> DataFrame:
-    p = names.parsed(F.col("name"), F.col("p_brand"))
-    return _named(spark, d).select("p_partkey", "name", p.alias("p")).select("p_partkey", "name", "p.*")
+    return names.with_parsed(_named(spark, d), F.col("name"), F.col("p_brand"), "p").select("p_partkey", "name", "p.*")
 
 
 def candidate_names(spark: SparkSession, d: str) -> DataFrame:

@@ -73,9 +73,9 @@ def isotope_snapshots(spark: SparkSession, d: str) -> DataFrame:
     step = F.when(charge > 0, 1.00335483507 / charge).otherwise(1.0)
     mz = F.array(F.col("p_retailprice"), F.col("p_retailprice") + step, F.col("p_retailprice") + 2 * step + F.when(F.col("p_size") % 3 == 0, 0.5).otherwise(0.0), F.col("p_retailprice") + 3 * step, F.col("p_retailprice") + 3 * step + F.when(F.col("p_size") % 4 == 0, 0.001).otherwise(0.3), F.col("p_retailprice") + F.when(F.col("p_size") % 11 == 0, 0.002).otherwise(9.0))
     intensity = F.array(F.lit(100.0), F.lit(60.0), F.lit(20.0), F.lit(5.0), F.lit(7.0), (F.col("p_size") % 2).cast("double"))
-    rows = table(spark, d, "part").select("p_partkey", "p_size", mz.alias("mz"), intensity.alias("intensity"), "p_retailprice", charge.alias("charge"))
-    s = peaks.isotopes("mz", "intensity", F.col("p_retailprice"), F.col("charge"), F.col("p_size") % 13 > 0)
-    return rows.select("p_partkey", s.alias("s")).select("p_partkey", F.col("s.status").alias("status"), F.size("s.peaks").cast("long").alias("n_peaks"), F.round(F.aggregate("s.peaks", F.lit(0.0), lambda a, p: a + p["relative"] * (p["offset"] + 1)), 6).alias("moment"))
+    rows = table(spark, d, "part").select("p_partkey", mz.alias("mz"), intensity.alias("intensity"), "p_retailprice", charge.alias("charge"), (F.col("p_size") % 13 > 0).alias("centroided"))
+    out = peaks.isotopes(rows, "mz", "intensity", "p_retailprice", "charge", "centroided")
+    return out.select("p_partkey", "status", F.size("peaks").cast("long").alias("n_peaks"), F.round(F.aggregate("peaks", F.lit(0.0), lambda a, p: a + p["relative"] * (p["offset"] + 1)), 6).alias("moment"))
 
 
 def _spectra(spark: SparkSession, d: str) -> DataFrame:
