@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spectralake.operators import gates
+from spectralake.operators import gates, rules
 from spectralake.plans.bases import CANDIDATES, candidates
 from spectralake.session import table
 
@@ -61,7 +61,31 @@ def isotope_requests(spark: SparkSession, d: str) -> DataFrame:
     return gates.isotope_requests(asked.unionByName(asked), scans, surveys).select("key", "status", "survey")
 
 
+def rule_gates(spark: SparkSession, d: str) -> DataFrame:
+    hg, lcb, loss = ["Diagnostic_HG"], ["LCB碎片"], ["Neutral_Loss"]
+    table_of = spark.createDataFrame(
+        [
+            ("r0", ["n1", "n4"], None, None, None, None, None, [(hg, 0.5), (lcb, 0.5)], None),
+            ("r1", None, [["n0", "n2"]], {"d": ["n3", "n4"], "t": ["n5"]}, [[*hg, *loss], lcb], None, None, None, None),
+            ("r2", None, None, None, None, [(hg, 2.0)], [[(lcb, 2.0), (loss, 1.0)]], None, [("^N[3-5]$", 0.6)]),
+            ("r3", None, None, None, None, None, None, None, None),
+        ],
+        rules.RULE,
+    )
+    fragment = lambda i: F.struct(F.concat(F.lit("n"), i).alias("name"), F.when(i == 0, F.array(F.lit(hg[0]), F.lit(loss[0]))).when(i < 3, F.array(F.lit(hg[0]))).when(i < 5, F.array(F.lit(lcb[0]))).otherwise(F.array(F.lit(loss[0]))).alias("types"))
+    ids = F.sequence(F.lit(0), F.lit(5))
+    hit = F.filter(ids, lambda i: (F.col("p_partkey") * 7 + i * i * 3 + F.col("p_size")) % 5 > 1)
+    rows = table(spark, d, "part").select("p_partkey", F.concat(F.lit("r"), F.col("p_partkey") % 5).alias("rule"), F.when(F.col("p_size") % 3 == 0, "d18:1").when(F.col("p_size") % 3 == 1, " T18:0").alias("series"), F.transform(ids, fragment).alias("lib"), F.transform(hit, fragment).alias("hit"), (F.col("p_size") % 4 == 0).alias("tiered"))
+    return rules.passes(rows, table_of, "rule", "series", "lib", "hit", F.col("tiered")).select("p_partkey", "name_gate", "type_gate")
+
+
 SQL = {
+    "rule_gates": """
+        WITH r AS (SELECT p_partkey, p_partkey % 5 AS rule, p_size % 3 AS s, p_size % 4 = 0 AS tiered, list_filter(range(0, 6), lambda i: (p_partkey * 7 + i * i * 3 + p_size) % 5 > 1) AS h FROM part),
+        c AS (SELECT *, list_contains(h, 0) AS h0, list_contains(h, 1) AS h1, list_contains(h, 2) AS h2, list_contains(h, 3) AS h3, list_contains(h, 4) AS h4, list_contains(h, 5) AS h5 FROM r),
+        n AS (SELECT *, h0::INT + h1::INT + h2::INT AS hg, h3::INT + h4::INT AS lcb, h0::INT + h5::INT AS loss FROM c)
+        SELECT p_partkey, CASE rule WHEN 0 THEN h1 AND h4 WHEN 1 THEN (h0 OR h2) AND CASE s WHEN 0 THEN h3 OR h4 WHEN 1 THEN h5 ELSE true END WHEN 2 THEN true WHEN 3 THEN true END AS name_gate,
+        CASE WHEN rule = 4 THEN NULL ELSE (NOT tiered OR hg * 2 >= 3) AND CASE rule WHEN 0 THEN hg >= 2 AND lcb >= 1 WHEN 1 THEN (hg > 0 OR loss > 0) AND lcb > 0 WHEN 2 THEN hg >= 2 AND (lcb >= 2 OR loss >= 1) AND h3::INT + h4::INT + h5::INT >= 2 ELSE hg > 0 AND lcb > 0 END END AS type_gate FROM n""",
     "glyceride_gates": """
         WITH r AS (SELECT p_partkey, p_size, p_partkey % 3 AS k, 12 + p_partkey % 4 AS a, 14 + p_size % 3 AS b FROM part),
         g AS (SELECT *, CASE k WHEN 0 THEN [concat('acyl:', a, ':0'), concat('acyl:', b, ':1'), 'acyl:16:0'] WHEN 1 THEN [concat('ether:O-', a, ':0'), concat('acyl:', b, ':1'), 'acyl:16:0'] ELSE [concat('fa:', a, ':0'), concat('fa:', b, ':1'), 'fahfa'] END AS e FROM r),
@@ -88,4 +112,4 @@ SQL = {
         s AS (SELECT p.event_id AS key, survey, CASE WHEN event_type = 'click' THEN 'scan_not_found' WHEN p.event_id % 7 = 0 OR p.event_id % 11 = 0 THEN 'scan_metadata_mismatch' WHEN survey IS NULL THEN 'no_preceding_ms1' ELSE 'ok' END AS status FROM p LEFT JOIN b USING (event_id))
         SELECT key, status, CASE WHEN status = 'ok' THEN survey END AS survey FROM s""",
 }
-ALL = (glyceride_gates, fallback_gates, oxidised_gates, chain_labels, isotope_requests)
+ALL = (glyceride_gates, fallback_gates, oxidised_gates, chain_labels, isotope_requests, rule_gates)
