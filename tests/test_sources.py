@@ -2,13 +2,14 @@
 
 import base64
 import json
+import zipfile
 import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from spectralake.sources import exports, library, msp, mzml, project, tables
+from spectralake.sources import exports, library, msp, mzml, project, tables, workbook
 
 MSP = """Name: PC(16:0/18:1)
 PrecursorMZ: 760.5851
@@ -192,3 +193,17 @@ def test_project_and_exports(spark, tmp_path):
     assert [x.rsplit("/", 1)[1] for x in project.discover(spark, [str(tmp_path / "in")])] == ["a.MZML", "B.mzML"]
     with pytest.raises(FileNotFoundError):
         project.discover(spark, [str(tmp_path / "p")])
+
+
+def test_workbook(spark, tmp_path):
+    rows = spark.createDataFrame([("F1", 1.5, "=1+1", True, 7), ("F2", None, 'a <b> & "c"\x01\nd', None, 8)], "`Feature ID` string, `m/z` double, note string, `a.mzML` boolean, n int")
+    empty = rows.limit(0).select("n")
+    path = workbook.write_workbook(f"{tmp_path}/b/x.xlsx", {"one": rows, "two & more": empty}, {"a.mzML": "QC"})
+    got = {r["Feature ID"]: tuple(r)[1:] for r in workbook.read_sheet(spark, str(path)).collect()}
+    assert got == {"F1": ("1.5", "=1+1", "1", "7"), "F2": (None, 'a <b> & "c"\nd', None, "8")}
+    second = workbook.read_sheet(spark, str(path), "two & more")
+    assert second.columns == ["n"] and second.count() == 0
+    text = zipfile.ZipFile(path).read("xl/worksheets/sheet1.xml").decode()
+    assert 'ySplit="2"' in text and 'autoFilter ref="A2:E4"' in text and "样本分组" in text
+    with pytest.raises(ValueError, match="no sheet"):
+        workbook.read_sheet(spark, str(path), "three")
