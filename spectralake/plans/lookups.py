@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spectralake.functions import ceramides
+from spectralake.functions import ceramides, sphingo_names
 from spectralake.operators import lookups
 from spectralake.plans.bases import CANDIDATES, candidates
 from spectralake.session import table
@@ -33,7 +33,30 @@ def ceramide_masses(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("p_partkey", ceramides.formula(n).alias("formula"), F.round(ceramides.precursor(n, a), 6).alias("mz"), F.round(ceramides.outer_loss(n, a), 6).alias("outer_loss"))
 
 
+# spelling, class given with it, the name it stands for and whether that tells all chains; @ and # are chains
+NAMES = (
+    ("AHexCer (O-@)18:1;2O/#;O", "AHexCer", "AHexCer d18:1(O-@)/#(OH)", True), ("AHexCer(@/18:0;3O/#;2O)", "", "AHexCer t18:0(O-@)/#(2OH)", True), ("AHexCer(@/34:1;2O)", "AHexCer", "AHexCer 34:1;2O(O-@)", False),
+    ("Cer d18:1/@(O-#)", "Cer", "Cerd18:1/@(O-#)", True), ("HexCer(d18:1/@)(OH)", "HexCer", "HexCer(d18:1/h@)", False), ("PI-Cer+O(@;2O/#;O)", "PI-Cer+O", "PI-Cer+O(m@/#;2O)", False),
+    (" SHexCer(@/t18:0)", "", "SHexCer(t18:0/@)", True), ("SHexCer+O(@)(OH/d18:1)", "SHexCer+O", "SHexCer+O(d18:1/h@)", True), ("SL(@/#;O)", "SL", "SL(m#/@)", True), ("SL+O(@;O/#;O)", "SL+O", "SL+O(m@/h#)", True),
+    ("ASM d@/#", "ASM", "ASM d@(O-#)", False), ("asm @;2O(FA #)", "ASM", "ASM d@(O-#)", False), ("ASM(d18:1/16:0-O-@)", "ASM", "ASM d34:1(O-@)", False), ("ASM(d18:1/@)", "ASM", "ASM d18:1/@", False),
+    ("NAPE(18:1_16:0-N-@)", "NAPE", "NAPE(16:0_18:1-N-@)", False), ("naps(@-N-18:1_16:0)", "NAPS", "NAPS(16:0_18:1-N-@)", False), ("LCE-PE(0:0/@)", "LCE-PE", "LCE-PE(@)", False), ("PC(@/#)", "PC", "PC(@/#)", False),
+)
+
+
+def _filled(field: int) -> str:
+    cases = " ".join(f"WHEN {i} THEN '{n[field]}'" for i, n in enumerate(NAMES))
+    return f"replace(replace(CASE p_partkey % {len(NAMES)} {cases} END, '@', concat(20 + p_size % 4, ':', p_size % 3)), '#', concat(14 + p_size % 5, ':0'))"
+
+
+def canonical_names(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "part").selectExpr("p_partkey", f"{_filled(0)} AS name", f"{_filled(1)} AS kind")
+    n, k = F.col("name"), F.col("kind")
+    return rows.select("p_partkey", sphingo_names.canonical(n, k).alias("name"), sphingo_names.complete(n, k).alias("complete"))
+
+
 SQL = {
+    "canonical_names": f"""
+        SELECT p_partkey, {_filled(2)} AS name, p_partkey % {len(NAMES)} IN ({", ".join(str(i) for i, n in enumerate(NAMES) if n[3])}) AS complete FROM part""",
     "equivalent_candidates": f"""
         WITH c AS (SELECT *, CASE WHEN partkey % 8 < 5 AND (partkey % 13 > 0) THEN concat(partkey % 2, ':', suppkey % 3) END AS s FROM {CANDIDATES}),
         r AS (SELECT *, row_number() OVER (PARTITION BY spectrum, s ORDER BY ord, partkey, suppkey) AS f, row_number() OVER (PARTITION BY spectrum, s ORDER BY abs(ppm_error), ord, partkey, suppkey) AS n FROM c)
@@ -49,4 +72,4 @@ SQL = {
         CASE WHEN "is" THEN round((mass + CASE a WHEN 0 THEN 1.007276466621 WHEN 1 THEN -1.007276466621 WHEN 2 THEN 12 + 2 * 1.00782503223 + 2 * 15.99491461957 - 1.007276466621 WHEN 3 THEN 24 + 4 * 1.00782503223 + 2 * 15.99491461957 - 1.007276466621 END)::DOUBLE, 6) END AS mz,
         CASE WHEN "is" THEN round(CASE WHEN a = 0 THEN mass + 1.007276466621 - 2 * 1.00782503223 - 15.99491461957 - acid WHEN a < 4 THEN mass - 1.007276466621 - acid END::DOUBLE, 6) END AS outer_loss FROM m""",
 }
-ALL = (equivalent_candidates, audit_rows, ceramide_masses)
+ALL = (equivalent_candidates, audit_rows, ceramide_masses, canonical_names)
