@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -69,6 +70,28 @@ def partitions(spark: SparkSession, factor: int = 1) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) * factor)
 
 
+_held: list[Callable[[], None]] = []
+_owner = [""]
+
+
+def holds(clear: Callable[[], None]) -> None:
+    """Something that a Python worker remembers from task to task; ``clear`` is called when another operator starts there."""
+    _held.append(clear)
+
+
+def enter(operator: str) -> None:
+    """Called at the start of each task: workers live on and are handed from operator to operator, what they remember isn't."""
+    if _owner[0] != operator:
+        for clear in _held:
+            clear()
+        _owner[0] = operator
+        gc.collect()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # not every C library has it
+            pass
+
+
 class Words(dict):
     """word (bytes) -> 64-bit hash, remembered up to a bound."""
 
@@ -80,6 +103,7 @@ class Words(dict):
 
 
 _words = Words()
+holds(_words.clear)
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spectralake.llm.common import enter
+
 BUCKETS, DIM, LONGEST = 1 << 14, 16, 4
 #: Documents that a fit takes at most, and characters of a text that one pass holds.
 ROWS, BLOCK = 4000, 1 << 18
@@ -127,6 +129,7 @@ def train(documents: DataFrame, learn: Column, rows: int = ROWS) -> Model:
     picked = documents.where(learn & F.col("lang").isNotNull()).select("text", "lang", F.xxhash64("doc_id", "text", "lang").alias("h")).join(F.broadcast(chosen.select("h").distinct()), "h")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("language_id")
         for b in batches:
             out = [packed(x.as_py()) or (None, None) for x in b.column("text")]
             yield pa.RecordBatch.from_arrays([b.column("h"), b.column("lang"), pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.binary())], names=["h", "lang", "at", "n"])
@@ -143,6 +146,7 @@ def identified(documents: DataFrame, model: Model, columns: list[str], reject: f
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("language_id")
         for b in batches:
             out = [model.predict(x.as_py(), reject) for x in b.column("_text")]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64()), pa.array([x[1] < model.least or x[0] == "und" for x in out])], names=[*columns, "lang_pred", "score", "rejected"])

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spectralake.llm.common import _A, U64, Scratch, encoded, grams, mix, saved, word_hashes
+from spectralake.llm.common import _A, U64, Scratch, encoded, enter, grams, mix, saved, word_hashes
 from spectralake.operators.graphs import components
 
 BINS, ROWS = 288, 6
@@ -80,6 +80,7 @@ def _digests(documents: DataFrame, k: int) -> DataFrame:
     """One row for each document: doc_id, key of the row, size and digest of its set, bands."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("near_dedup")
         for b in batches:
             sets = [shingles(t.as_py(), k) for t in b.column("text")]
             ids = np.array([digest(s) for s in sets], np.int64).reshape(-1, 2)
@@ -101,6 +102,7 @@ def _sets(documents: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """(node, items): the full sets of ``wanted`` (k, node, c0, c1), made from the texts of their rows."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("near_dedup")
         for b in batches:
             nodes, sets = [], []
             for t, node, c0, c1 in zip(b.column("text"), b.column("node"), b.column("c0").to_pylist(), b.column("c1").to_pylist(), strict=True):
@@ -146,6 +148,7 @@ def _tiles(scratch: Scratch, rows: DataFrame, sets: DataFrame, percent: int) ->
     """
 
     def work(table: pa.Table) -> pa.Table:
+        enter("near_dedup")
         node, root, own = (table.column(c).to_numpy() for c in ("node", "root", "own"))
         items = [x.values.to_numpy(zero_copy_only=False) for x in table.column("items")]
         i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()

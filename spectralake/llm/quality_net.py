@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spectralake.llm.common import encoded
+from spectralake.llm.common import encoded, enter
 
 DIM, WIDTH, STRIDE, FILTERS = 6, 8, 4, 24
 #: Chunks that one pass holds.
@@ -129,6 +129,7 @@ def train(documents: DataFrame, labels: DataFrame, learn: Column, rows: int = RO
     picked = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "quality", F.xxhash64("doc_id", "text", "quality").alias("h"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("quality_net")
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array([packed(x.as_py()) for x in b.column("text")], pa.binary()), b.column("quality"), b.column("h")], names=["data", "quality", "h"])
 
@@ -142,6 +143,7 @@ def scored(documents: DataFrame, net: Net, columns: list[str]) -> DataFrame:
     parameters = net.p
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("quality_net")
         own = Net()
         own.p = parameters
         for b in batches:

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 from pyspark.sql.window import Window
 
-from spectralake.llm.common import encoded, grams, saved, word_hashes
+from spectralake.llm.common import encoded, enter, grams, saved, word_hashes
 
 P = 4
 #: Standard deviations that every estimate gets at least: differences below them say nothing about quality.
@@ -64,6 +64,7 @@ def with_statistics(documents: DataFrame, columns: list[str], text: bool = False
     """A struct ``row`` of the columns, a struct ``stats`` of STATS, and the text itself if asked for."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("quality_rules")
         for b in batches:
             rows = np.array([statistics_of(x.as_py()) for x in b.column("text")], np.int64).reshape(-1, len(STATS))
             stats = pa.StructArray.from_arrays([pa.array(rows[:, i]) for i in range(len(STATS))], names=list(STATS))
@@ -127,6 +128,7 @@ def _estimates(sums: DataFrame, keys: list[str]) -> DataFrame:
     first, second = [f"_s{i}" for i in range(P)], [f"_p{i}_{j}" for i in range(P) for j in range(i, P)]
 
     def work(batches: Iterator) -> Iterator:
+        enter("quality_rules")
         for pdf in batches:
             out = {k: pdf[k] for k in keys}
             n = pdf["_n"].to_numpy(float)[:, None]

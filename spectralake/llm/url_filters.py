@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spectralake.llm.common import enter
+
 # Strict terms reject alone.
 STRICT = ("casino", "malware", "phishing", "porn", "porno", "sex", "viagra", "warez", "xxx")
 # Soft terms and their weights.
@@ -92,6 +94,7 @@ def judge(
     strict, terms = tuple(strict), tuple(sorted(soft.items()))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("url_filters")
         for b in batches:
             found = [hits(u, strict, terms) for u in b.column("url").to_pylist()]
             yield pa.RecordBatch.from_arrays(
