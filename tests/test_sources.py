@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from spectralake.sources import exports, library, msp, mzml, project, tables, workbook
+from spectralake.sources import exports, library, msp, mzml, project, runs, tables, workbook
 
 MSP = """Name: PC(16:0/18:1)
 PrecursorMZ: 760.5851
@@ -207,3 +207,26 @@ def test_workbook(spark, tmp_path):
     assert 'ySplit="2"' in text and 'autoFilter ref="A2:E4"' in text and "样本分组" in text
     with pytest.raises(ValueError, match="no sheet"):
         workbook.read_sheet(spark, str(path), "three")
+
+
+def test_saved_runs(spark, tmp_path):
+    for name, files in {
+        "a": {"ms1/xcms/xcms_features.csv": "mz,RT,s1\n100.5,90,5\n", "run_settings.json": '{"ms1": {"algo": "xcms"}}', "provenance.json": '{"inputs": [{"path": "C:\\\\x\\\\S1.mzML"}]}'},
+        "b": {"ms1/pyopenms/pyopenms_features.csv": "mz,RT,s1\n100.5,1.5,5\n", "ms1/pyopenms/pyopenms_features_native.csv": "mz,source_file\n1,s1.mzML\n"},
+        "c": {"ms1/t.csv": "mz,source_file\n7,s1.mzML\n", "ms1/feature_table.json": '{"algorithm": "ms-dial", "table": "t.csv"}'},
+        "d": {"ms1/pyopenms/old_native.csv": "mz\n1\n"},
+        "e": {"ms1/none.txt": ""},
+    }.items():
+        for f, text in files.items():
+            (tmp_path / name / f).parent.mkdir(parents=True, exist_ok=True)
+            (tmp_path / name / f).write_text(text)
+    get = lambda n: runs.saved_tables(spark, f"{tmp_path}/{n}")
+    native, aligned, detector = get("a")
+    assert native is None and detector == "xcms" and (aligned.first().RT, aligned.first()["S1.mzML"]) == (1.5, "5")
+    native, aligned, detector = get("b")
+    assert detector == "pyopenms" and native.first().source_file == "s1.mzML" and aligned.first().RT == "1.5"
+    native, aligned, detector = get("c")
+    assert detector == "msdial" and aligned is None and native.first().mz == "7"
+    native, aligned, detector = get("d")
+    assert detector == "pyopenms" and aligned is None and native.count() == 1
+    assert get("e")[:2] == (None, None)
