@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType, StructField, StructType
 
 from spectralake.llm.anchors import Rolling, phrases
-from spectralake.llm.common import U64, Scratch, partitions, saved
+from spectralake.llm.common import U64, Scratch, enter, partitions, saved
 
 _SECOND = U64(0xD6E8FEB86659FD93)
 
@@ -104,12 +104,13 @@ def _blocks(documents: DataFrame, source: Source, again: bool, buckets: int) ->
         for i in np.union1d(b, m):
             put(int(i), rare[np.searchsorted(b, i) : np.searchsorted(b, i, "right")], marked[np.searchsorted(m, i) : np.searchsorted(m, i, "right")])
         aside = np.flatnonzero(common)
-        for i in range(0, len(aside), 50_000):
-            at = aside[i : i + 50_000]
+        for i in range(0, len(aside), 5_000):
+            at = aside[i : i + 5_000]
             put(-1 - int(columns["phrase"][at[0]] >> U64(2)), at, s[:0])
         return pa.RecordBatch.from_arrays([pa.array(out["bucket"], pa.int64()), *(pa.array(out[c], pa.binary()) for c in (*columns, "marks"))], names=list(out))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("spans")
         parts, rows, total = [], [], 0
         for b in batches:
             for d, h, t in zip(b.column("d").to_pylist(), b.column("h").to_pylist(), b.column("text"), strict=True):
@@ -132,6 +133,7 @@ def _entries(blocks: DataFrame, again: bool) -> DataFrame:
     """Step 1, reduce side: one row for each phrase whose seed occurs again."""
 
     def work(table: pa.Table) -> pa.Table:
+        enter("spans")
         joined = lambda c, kind: np.frombuffer(b"".join(table.column(c).to_pylist()), kind)
         x = {c: joined(c, kind) for c, kind in _KINDS.items()}
         if table.column("bucket")[0].as_py() >= 0:
@@ -180,6 +182,7 @@ def _pieces(documents: DataFrame, lists: DataFrame, source: Source, again: bool,
     """The texts of opened phrases with their shard; for hot seeds, one row for each window with its hash."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("spans")
         for b in batches:
             for d, h, t, x in zip(b.column("d").to_pylist(), b.column("h").to_pylist(), b.column("text"), b.column("opened"), strict=True):
                 text = t.as_py()
@@ -213,6 +216,7 @@ def _judged(pieces: DataFrame, source: Source) -> DataFrame:
     judge = source.judge
 
     def work(table: pa.Table) -> pa.Table:
+        enter("spans")
         d, h, first, span, v = (table.column(c).to_numpy() for c in ("d", "h", "first", "span", "v"))
         gone = judge(table.column("piece").to_pylist(), span + 1, v)
         out: list[tuple] = []
@@ -230,7 +234,7 @@ def spans(documents: DataFrame, source: Source, rule: str) -> DataFrame:
     """(d, h, spans): runs (first, span) of window starts that go; rows without any may be missing."""
     spark, again = documents.sparkSession, rule == "again"
     scratch = Scratch(spark)
-    entries = scratch.saved(_entries(_blocks(documents, source, again, partitions(spark)), again))
+    entries = scratch.saved(_entries(_blocks(documents, source, again, partitions(spark, 4)), again))
     lists = _lists(scratch, entries, source, again)
     scratch.drop(entries)
     symbols = lists.agg(F.sum(F.aggregate("opened", F.lit(0).cast("long"), lambda a, x: a + x["span"] + source.window))).first()[0] or 0
@@ -262,6 +266,7 @@ def cut(documents: DataFrame, found: DataFrame, columns: list[str], work: Callab
     added = StructType.fromDDL(shape)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("spans")
         for b in batches:
             out = [work(t.as_py(), tuple(f.to_numpy(zero_copy_only=False).astype(np.int64) for f in s.values.flatten()) if s.is_valid else None) for t, s in zip(b.column("text"), b.column("spans"), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("row"), *(pa.array([x[i] for x in out]) for i in range(len(added)))], names=["row", *added.names])
