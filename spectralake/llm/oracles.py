@@ -65,5 +65,45 @@ _OP10 = r"""
     SELECT doc_id, item_id, max(n)::BIGINT AS n_windows, max(best)::BIGINT AS best FROM good GROUP BY 1, 2"""
 
 
+#: CRC-32 by its table of 256 entries, which list_reduce works out bit by bit. Words that are near share a word with one letter left out.
+_OP11 = r"""
+    WITH RECURSIVE entry AS (SELECT c, list_reduce(list_prepend(c, range(8)), lambda a, i: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS v FROM range(256) t(c)),
+    crc AS (SELECT list(v ORDER BY c) AS tab FROM entry),
+    run AS (SELECT coalesce(doc_id::VARCHAR, '') AS d, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS r FROM documents),
+    own AS (SELECT d, r, count(*) AS k FROM run GROUP BY 1, 2),
+    hexed AS (SELECT *, hex(encode(d || ':' || r)) AS x FROM own),
+    byte AS (SELECT *, list_transform(range(length(x) // 2), lambda i: (strpos('0123456789ABCDEF', substr(x, 2 * i + 1, 1)) - 1) * 16 + strpos('0123456789ABCDEF', substr(x, 2 * i + 2, 1)) - 1) AS bs FROM hexed),
+    hashed AS (SELECT r, k, xor(list_reduce(list_prepend(4294967295, bs), lambda a, b: xor(tab[(xor(a, b) & 255) + 1], a >> 8)), 4294967295) AS h FROM byte, crc),
+    made AS (SELECT CASE WHEN h % 97 = 0 THEN substr(r, 1, (h % length(r))::BIGINT) || substr(r, (h % length(r))::BIGINT + 2) ELSE r END AS word, k FROM hashed),
+    v AS (SELECT word, sum(k)::BIGINT AS n FROM made WHERE length(word) >= 5 GROUP BY word HAVING sum(k) >= 3),
+    cut AS (SELECT word, n, length(word) AS l, i, substr(word, 1, i) || substr(word, i + 2) AS c FROM v, unnest(range(0, length(word))) t(i)),
+    pair AS (SELECT a.word AS x, b.word AS y FROM cut a JOIN cut b ON a.c = b.c AND a.l = b.l AND a.i = b.i AND a.word <> b.word
+             UNION SELECT c, word FROM cut WHERE c IN (SELECT word FROM v) UNION SELECT word, c FROM cut WHERE c IN (SELECT word FROM v)),
+    near AS (SELECT x, count(*) AS n_near, first(y ORDER BY v.n DESC, y) AS w, max(v.n) AS m FROM pair JOIN v ON y = v.word GROUP BY x),
+    judged AS (SELECT word, n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN m >= 2 * n THEN w END AS form, CASE WHEN m >= 2 * n THEN m END AS form_n FROM v LEFT JOIN near ON x = word),
+    walk AS (SELECT word, word AS z, 0 AS steps FROM judged UNION ALL SELECT walk.word, form, steps + 1 FROM walk JOIN judged ON z = judged.word WHERE form IS NOT NULL)
+    SELECT judged.word, form, root, n, n_near, form_n FROM judged JOIN (SELECT word, arg_max(z, steps) AS root FROM walk GROUP BY word) USING (word)"""
+
+
+def _op13() -> str:
+    """Rounds written out one after the other: sums by part and entry, floors of means, unused entries as they were."""
+    nearest = """
+    d{r} AS (SELECT vec_id, r, p, e, sum((x - c) * (x - c))::BIGINT AS s FROM part JOIN book{r} USING (p, q) GROUP BY ALL),
+    at{r} AS (SELECT vec_id, r, p, min(s) AS s, arg_min(e, (s, e)) AS e FROM d{r} GROUP BY vec_id, r, p)"""
+    mean = """
+    book{n} AS (SELECT b.p, b.e, b.q, coalesce(m.c, b.c) AS c FROM book{r} b LEFT JOIN (
+        SELECT p, e, q, floor(sum(x) / count(*))::BIGINT AS c FROM part JOIN at{r} USING (vec_id, r, p) GROUP BY p, e, q) m ON b.p = m.p AND b.e = m.e AND b.q = m.q)"""
+    steps = ",".join(nearest.format(r=r) + "," + mean.format(r=r, n=r + 1) for r in range(2)) + "," + nearest.format(r=2)
+    return f"""
+    WITH kept AS (SELECT vec_id, label, embedding AS v, row_number() OVER (ORDER BY vec_id, embedding) AS r FROM embeddings
+                  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    item AS (SELECT vec_id, r, len(v) // 16 AS w, unnest(v) AS f, generate_subscripts(v, 1) - 1 AS i FROM kept),
+    part AS (SELECT vec_id, r, (i // w)::INTEGER AS p, (i % w)::INTEGER AS q, floor(f::DOUBLE * 256)::BIGINT AS x FROM item),
+    book0 AS (SELECT p, (r - 1)::INTEGER AS e, q, x AS c FROM part WHERE r <= 64),{steps},
+    code AS (SELECT vec_id, r, string_agg(printf('%02x', e), '' ORDER BY p) AS code, sum(s)::BIGINT AS error FROM at2 GROUP BY vec_id, r)
+    SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, (SELECT sha256(string_agg(c::VARCHAR, ',' ORDER BY p, e, q)) FROM book2) AS codebooks_sha256
+    FROM code JOIN kept USING (vec_id, r)"""
+
+
 def oracles() -> dict[str, str]:
-    return {"op3_substring_dedup": _OP3, "op8_suffix_dedup": _OP8, "op9_url_filters": _op9(), "op10_decontamination": _OP10}
+    return {"op3_substring_dedup": _OP3, "op8_suffix_dedup": _OP8, "op9_url_filters": _op9(), "op10_decontamination": _OP10, "op11_spelling_variants": _OP11, "op13_vector_codes": _op13()}
