@@ -85,6 +85,18 @@ _OP11 = r"""
     SELECT judged.word, form, root, n, n_near, form_n FROM judged JOIN (SELECT word, arg_max(z, steps) AS root FROM walk GROUP BY word) USING (word)"""
 
 
+_OP12 = f"""
+    WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+    g AS (SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i+2], ' ')) END) AS s FROM w),
+    s AS (SELECT DISTINCT doc_id, s FROM g),
+    size AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    met AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+    link AS (SELECT a, b FROM met JOIN size x ON a = x.doc_id JOIN size y ON b = y.doc_id WHERE 100 * c >= 90 * (x.n + y.n - c)),
+    far AS (SELECT a, b FROM link UNION SELECT far.a, link.b FROM far JOIN link ON far.b = link.a)
+    SELECT w.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(w.doc_id, coalesce(low, w.doc_id)) AS component_id
+    FROM w LEFT JOIN size USING (doc_id) LEFT JOIN (SELECT a, min(b) AS low FROM far GROUP BY a) ON a = w.doc_id"""
+
+
 def _op13() -> str:
     """Rounds written out one after the other: sums by part and entry, floors of means, unused entries as they were."""
     nearest = """
@@ -106,4 +118,4 @@ def _op13() -> str:
 
 
 def oracles() -> dict[str, str]:
-    return {"op3_substring_dedup": _OP3, "op8_suffix_dedup": _OP8, "op9_url_filters": _op9(), "op10_decontamination": _OP10, "op11_spelling_variants": _OP11, "op13_vector_codes": _op13()}
+    return {"op3_substring_dedup": _OP3, "op8_suffix_dedup": _OP8, "op9_url_filters": _op9(), "op10_decontamination": _OP10, "op11_spelling_variants": _OP11, "op12_ngram_jaccard": _OP12, "op13_vector_codes": _op13()}

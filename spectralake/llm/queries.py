@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spectralake.llm import bpe, decontaminate, html_text, language_id, near_dedup, quality_net, quality_rules, spelling, substring_dedup, suffix_dedup, url_filters, vector_codes
+from spectralake.llm import bpe, decontaminate, html_text, language_id, near_dedup, ngram_join, quality_net, quality_rules, spelling, substring_dedup, suffix_dedup, url_filters, vector_codes
 from spectralake.llm.common import bounded_batches, crc_bucket
 from spectralake.session import table
 
@@ -75,6 +75,11 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.group(table(spark, sf_dir, "documents"))
 
 
+def op12_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
+    return ngram_join.group(table(spark, sf_dir, "documents"), k=3, percent=90)
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded, books = vector_codes.compress(table(spark, sf_dir, "embeddings"))
     return coded.select("vec_id", "code", "error", "label_error", F.lit(vector_codes.digest(books)).alias("codebooks_sha256"))
@@ -92,5 +97,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_url_filters": op9_url_filters,
     "op10_decontamination": op10_decontamination,
     "op11_spelling_variants": op11_spelling_variants,
+    "op12_ngram_jaccard": op12_ngram_jaccard,
     "op13_vector_codes": op13_vector_codes,
 }
