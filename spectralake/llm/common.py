@@ -66,6 +66,11 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def once(rows: DataFrame, key: str = "h") -> DataFrame:
+    """One row for each ``key``, of rows that are equal where their keys are; repeated ones go before they are shuffled."""
+    return rows.groupBy(key).agg(*[F.first(c).alias(c) for c in rows.columns if c != key])
+
+
 def partitions(spark: SparkSession, factor: int = 1) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) * factor)
 

@@ -1,12 +1,12 @@
 """Language identification: averaged hashed subword embeddings and a linear softmax, trained by SGD in numpy.
 
-Letters are lower-cased, everything else is a boundary; runs of 1 to 4 characters (boundaries included) are hashed into
+Letters are lower-cased; every other character of ASCII is a boundary, and those beyond it count as letters; runs of 1 to 4 characters (boundaries included) are hashed into
 BUCKETS rows of an embedding, the average over the whole text goes through a softmax. A temperature fitted on a tenth of
 the sample calibrates probabilities and gives the least probability below which an answer counts as rejected. The fit takes at most ``rows``
 documents, chosen by the hash of their ids; executors count the whole texts, the driver gets one histogram for each.
 
 Null texts and texts without a letter are ``und`` with score 0, as is everything when nothing was learnt. Null languages
-are not learnt from. Repeated rows get the same answer; of equal probabilities the language first by name wins. An empty
+are not learnt from, repeated rows once. Repeated rows get the same answer; of equal probabilities the language first by name wins. An empty
 table gives an empty table. A very long text is counted in blocks. Other columns of the input are ignored.
 """
 
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spectralake.llm.common import enter
+from spectralake.llm.common import enter, once
 
 BUCKETS, DIM, LONGEST = 1 << 14, 16, 4
 #: Documents that a fit takes at most, and characters of a text that one pass holds.
@@ -125,8 +125,8 @@ def fitted(pairs: list[tuple[tuple[bytes, bytes], str]], seed: int = 3) -> Model
 
 
 def train(documents: DataFrame, learn: Column, rows: int = ROWS) -> Model:
-    chosen = documents.where(learn & F.col("lang").isNotNull()).select("doc_id", F.xxhash64("doc_id", "text", "lang").alias("h")).orderBy("h").limit(rows)
-    picked = documents.where(learn & F.col("lang").isNotNull()).select("text", "lang", F.xxhash64("doc_id", "text", "lang").alias("h")).join(F.broadcast(chosen.select("h").distinct()), "h")
+    known = documents.where(learn & F.col("lang").isNotNull()).select("text", "lang", F.xxhash64("doc_id", "text", "lang").alias("h"))
+    picked = known.join(F.broadcast(known.select("h").distinct().orderBy("h").limit(rows)), "h")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enter("language_id")
@@ -135,7 +135,7 @@ def train(documents: DataFrame, learn: Column, rows: int = ROWS) -> Model:
             yield pa.RecordBatch.from_arrays([b.column("h"), b.column("lang"), pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.binary())], names=["h", "lang", "at", "n"])
 
     kind = picked.schema["lang"].dataType.simpleString()
-    found = picked.select("h", "lang", "text").mapInArrow(work, f"h long, lang {kind}, at binary, n binary").where("at IS NOT NULL").collect()
+    found = once(picked.select("h", "lang", "text").mapInArrow(work, f"h long, lang {kind}, at binary, n binary").where("at IS NOT NULL")).collect()
     return fitted([((r["at"], r["n"]), r["lang"]) for r in sorted(found, key=lambda r: r["h"])])
 
 

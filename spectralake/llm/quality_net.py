@@ -6,7 +6,8 @@ and combined with the length into one probability. Training is Adam on at most `
 hash of their ids, on their whole texts, which the driver holds compressed; scoring reads every byte, PASS chunks at a time.
 
 Null and empty texts are scored as one empty chunk. Repeated rows get the same score. Without labelled rows every score
-is 0.5. Labels that are null are left out; a doc_id labelled twice counts twice. An empty table gives an empty table. Of equal
+is 0.5. Labels that are null are left out; a doc_id with two
+labels is learnt with both, repeated rows once. An empty table gives an empty table. Of equal
 maxima the first place learns. Other columns of the input are ignored.
 """
 
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spectralake.llm.common import encoded, enter
+from spectralake.llm.common import encoded, enter, once
 
 DIM, WIDTH, STRIDE, FILTERS = 6, 8, 4, 24
 #: Chunks that one pass holds.
@@ -126,7 +127,9 @@ def fitted(rows: list[tuple[bytes, int]], seed: int = 7) -> Net:
 def train(documents: DataFrame, labels: DataFrame, learn: Column, rows: int = ROWS) -> Net:
     """``learn`` says by doc_id which labelled rows may be learnt from; the ``rows`` of least id hash are."""
     chosen = labels.where(learn & F.col("quality").isNotNull()).select("doc_id", "quality").orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(rows)
-    picked = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "quality", F.xxhash64("doc_id", "text", "quality").alias("h"))
+    picked = documents.select("doc_id", "text").join(F.broadcast(chosen.distinct()), "doc_id").select("text", "quality", F.xxhash64("doc_id", "text", "quality").alias("h"))
+    # documents with one doc_id may be many: the bound holds for what is learnt from
+    picked = picked.join(F.broadcast(picked.select("h").distinct().orderBy("h").limit(rows)), "h")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enter("quality_net")
@@ -134,8 +137,7 @@ def train(documents: DataFrame, labels: DataFrame, learn: Column, rows: int = RO
             yield pa.RecordBatch.from_arrays([pa.array([packed(x.as_py()) for x in b.column("text")], pa.binary()), b.column("quality"), b.column("h")], names=["data", "quality", "h"])
 
     kind = picked.schema["quality"].dataType.simpleString()
-    found = picked.mapInArrow(work, f"data binary, quality {kind}, h long").collect()
-    return fitted([(bytes(r["data"]), r["quality"]) for r in sorted(found, key=lambda r: r["h"])])
+    return fitted([(bytes(r["data"]), r["quality"]) for r in sorted(once(picked.select("text", "quality", "h").mapInArrow(work, f"data binary, quality {kind}, h long")).collect(), key=lambda r: r["h"])])
 
 
 def scored(documents: DataFrame, net: Net, columns: list[str]) -> DataFrame:
