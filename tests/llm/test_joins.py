@@ -129,6 +129,7 @@ def made(r):
 def test_prefix_tree_join_equals_all_pairs(spark, monkeypatch, share, tile, rounds):
     monkeypatch.setattr(ngram_join, "_LIMIT", np.uint64(2**64 // share))
     monkeypatch.setattr(ngram_join, "TILE", tile)
+    monkeypatch.setattr(ngram_join, "FAMILY", tile * 4)
     monkeypatch.setattr(ngram_join, "ROUNDS", rounds)
     r = random.Random(share)
     texts = made(r)
