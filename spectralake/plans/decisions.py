@@ -26,7 +26,7 @@ def overlap_prefilter(spark: SparkSession, d: str) -> DataFrame:
         F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: F.struct((100 + (F.col("p_partkey") * i) % 97).cast("double").alias("mz"), F.when(i == 1, "Common").otherwise("FA_Frag").alias("kind"))).alias("fragments"),
         F.transform(F.sequence(F.lit(1), F.lit(3)), lambda i: (100 + (F.col("p_size") * i * 7) % 97 + 0.0005 * F.col("p_size")).cast("double")).alias("peaks"),
     )
-    kept = filters.overlapping(rows.where("p_partkey % 9 < 8"), "p_brand", "fragments", "peaks", 100.0, 8, lambda f: f["kind"] != "Common")
+    kept = filters.overlapping(rows, "p_brand", "fragments", "peaks", 100.0, 8, lambda f: f["kind"] != "Common")
     return kept.select("p_brand", "p_partkey")
 
 
@@ -137,7 +137,7 @@ SQL = {
         SELECT spectrum, ord, compound_class, adduct, final_score FROM {CANDIDATES} WHERE compound_class IN ('PE', 'PC', 'PS', 'TG-EST') AND NOT (compound_class = 'PS' AND adduct = '[M+NH4]+') AND adduct <> '[M+Na]+'
         AND NOT (suppkey % 3 = 0 AND adduct = '[M-H]-') AND partkey % 4 <> 0 AND (passed OR (downgrade_reason = 'insufficient_independent_chain_evidence' AND missing = 'chain_confirmation')) AND final_score >= 50""",
     "overlap_prefilter": """
-        WITH r AS (SELECT p_brand, p_partkey, p_size, count(*) OVER (PARTITION BY p_brand) AS n FROM part WHERE p_partkey % 9 < 8)
+        WITH r AS (SELECT p_brand, p_partkey, p_size, count(*) OVER (PARTITION BY p_brand) AS n FROM part)
         SELECT p_brand, p_partkey FROM r WHERE n <= 8 OR EXISTS (SELECT 1 FROM range(2, 5) f(i), range(1, 4) g(j)
             WHERE abs(100 + (p_size * g.j * 7) % 97 + 0.0005 * p_size - (100 + (p_partkey * f.i) % 97))::DOUBLE <= (100 + (p_partkey * f.i) % 97) * 100.0::DOUBLE * 1e-6)""",
     "suppressed_candidates": f"""

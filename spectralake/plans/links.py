@@ -43,7 +43,7 @@ def cohort_links(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _linked(spark: SparkSession, d: str) -> DataFrame:
-    rows = candidates(spark, d).where("spectrum % 20 = 0").withColumn("id", (F.col("spectrum") * 10 + F.col("ord")) * 100_000 + F.col("partkey"))
+    rows = candidates(spark, d).withColumn("id", (F.col("spectrum") * 10 + F.col("ord")) * 100_000 + F.col("partkey"))
     has = F.col("suppkey") % 3 == 0
     return rows.select("id", "matched_name", "adduct", "compound_class", "source_file", (800 + F.col("partkey") % 40 * 0.002).alias("mz"), "rt", "support", F.when(has, F.col("suppkey")).alias("feature_id"), F.when(has, 800 + F.col("suppkey") % 40 * 0.002).alias("feature_mz"), F.when(has, F.col("suppkey") % 30 * 1.0).alias("feature_rt"), F.when(has & (F.col("suppkey") % 2 == 0), F.col("suppkey") % 30 - 0.5).alias("rt_min"), F.when(has & (F.col("suppkey") % 2 == 0), F.col("suppkey") % 30 + 0.5).alias("rt_max"))
 
@@ -90,7 +90,7 @@ def eic_traces(spark: SparkSession, d: str) -> DataFrame:
     e = _events(spark, d).withColumn("file", F.col("user_id") % 10).withColumn("scan", F.floor(F.col("rt") / 60))
     scans = e.select("file", "scan", (F.col("scan") * 60.0).alias("rt")).distinct()
     peaks = e.select("file", "scan", F.col("value").alias("peak_mz"), F.col("event_id").cast("double").alias("intensity"))
-    q = table(spark, d, "supplier").where("s_suppkey <= 20").select(F.col("s_suppkey").alias("query"), (F.col("s_suppkey") % 10).alias("file"), (F.col("s_suppkey") * 10.0).alias("mz"))
+    q = table(spark, d, "supplier").select(F.col("s_suppkey").alias("query"), (F.col("s_suppkey") % 10).alias("file"), (F.col("s_suppkey") * 10.0).alias("mz"))
     start = e.agg(F.min("rt").alias("t0"))
     q = q.crossJoin(F.broadcast(start)).select("query", "file", "mz", (F.col("t0") + F.col("query") * 100).alias("rt_low"), (F.col("t0") + F.col("query") * 100 + 3000).alias("rt_high"))
     return associate.traces(q, scans, peaks, 20_000.0, 3000.0, 5.0).select("query", "scan", "intensity")
@@ -133,18 +133,18 @@ def detector_tables(spark: SparkSession, d: str) -> DataFrame:
 
 
 def annotation_summaries(spark: SparkSession, d: str) -> DataFrame:
-    rows = candidates(spark, d).where("spectrum % 5 = 0").select((F.col("suppkey") % 50).alias("feature"), "matched_name", "adduct", F.concat(F.lit("n"), F.col("spectrum")).alias("scan_id"), F.when(F.col("suppkey") % 11 > 0, F.col("source_file")).alias("source_file"), "final_score", F.when(F.col("ord") % 2 == 0, F.col("rt")).alias("rt_delta_sec"), "n_fragments", "ppm_error", (F.col("spectrum") * 10 + F.col("ord")).alias("ord"))
+    rows = candidates(spark, d).select((F.col("suppkey") % 50).alias("feature"), "matched_name", "adduct", F.concat(F.lit("n"), F.col("spectrum")).alias("scan_id"), F.when(F.col("suppkey") % 11 > 0, F.col("source_file")).alias("source_file"), "final_score", F.when(F.col("ord") % 2 == 0, F.col("rt")).alias("rt_delta_sec"), "n_fragments", "ppm_error", (F.col("spectrum") * 10 + F.col("ord")).alias("ord"))
     out = annotate.summaries(rows, ["feature", "matched_name", "adduct"], "ord")
     return out.select("feature", "matched_name", "adduct", "final_score", "scan_id", "n_fragments", "n_spectra", "all_scan_ids", "supporting_files")
 
 
 def orphan_summaries(spark: SparkSession, d: str) -> DataFrame:
-    rows = candidates(spark, d).where("spectrum % 9 = 0").select((F.col("partkey") % 77).alias("cluster"), F.col("spectrum").cast("string").alias("scan_id"), "source_file", "final_score", "rt", "n_fragments", "ppm_error", (700 + F.col("final_score")).alias("mz"), ((F.col("spectrum") * 10 + F.col("ord")) * 100_000 + F.col("partkey")).alias("ord"))
+    rows = candidates(spark, d).select((F.col("partkey") % 77).alias("cluster"), F.col("spectrum").cast("string").alias("scan_id"), "source_file", "final_score", "rt", "n_fragments", "ppm_error", (700 + F.col("final_score")).alias("mz"), ((F.col("spectrum") * 10 + F.col("ord")) * 100_000 + F.col("partkey")).alias("ord"))
     return annotate.orphan_summaries(rows, "cluster", "mz", "ord").select("cluster", "feature_id", "feature_mz", "final_score", "scan_id", "n_spectra")
 
 
 def linked_lists(spark: SparkSession, d: str) -> DataFrame:
-    rows = candidates(spark, d).where("spectrum % 4 = 0").select((F.col("suppkey") % 40).alias("key"), "spectrum", F.concat(F.lit("n"), F.col("spectrum") % 17).alias("scan_id"), "source_file", "rt", "final_score", (F.col("spectrum") * 10 + F.col("ord")).alias("ord"))
+    rows = candidates(spark, d).select((F.col("suppkey") % 40).alias("key"), "spectrum", F.concat(F.lit("n"), F.col("spectrum") % 17).alias("scan_id"), "source_file", "rt", "final_score", (F.col("spectrum") * 10 + F.col("ord")).alias("ord"))
     return annotate.linked_counts(rows, "key", "ord").join(annotate.centres(rows, "key", "spectrum", "ord", ["rt", "final_score"]), "key")
 
 
@@ -169,7 +169,7 @@ def relation_evidence(spark: SparkSession, d: str) -> DataFrame:
 
 
 def consensus_features(spark: SparkSession, d: str) -> DataFrame:
-    rows = candidates(spark, d).where("spectrum % 3 = 0").select((F.col("partkey") % 500).alias("consensus"), "source_file", F.col("final_score").alias("mz"), "rt", (F.col("rt") - F.col("ord")).alias("rt_min"), (F.col("rt") + F.col("ord")).alias("rt_max"), "intensity", (F.col("spectrum") * 10 + F.col("ord")).alias("ord"))
+    rows = candidates(spark, d).select((F.col("partkey") % 500).alias("consensus"), "source_file", F.col("final_score").alias("mz"), "rt", (F.col("rt") - F.col("ord")).alias("rt_min"), (F.col("rt") + F.col("ord")).alias("rt_max"), "intensity", (F.col("spectrum") * 10 + F.col("ord")).alias("ord"))
     out = annotate.consensus_features(rows, "consensus")
     return out.select("consensus", F.round("mz", 6).alias("mz"), F.round("rt", 6).alias("rt"), "rt_min", "rt_max", "n_samples", F.round("intensity", 3).alias("intensity"), "samples")
 
@@ -192,7 +192,7 @@ def scan_counts(spark: SparkSession, d: str) -> DataFrame:
 
 _E = f"(SELECT event_id, user_id, event_type, value, ts::DATE AS day, {_MIN} AS rt FROM events)"
 _L = f"""(SELECT (spectrum * 10 + ord) * 100000 + partkey AS id, matched_name, adduct, compound_class, source_file, 800 + partkey % 40 * 0.002::DOUBLE AS mz, rt, support, CASE WHEN suppkey % 3 = 0 THEN suppkey END AS feature_id, CASE WHEN suppkey % 3 = 0 THEN 800 + suppkey % 40 * 0.002::DOUBLE END AS feature_mz,
-    CASE WHEN suppkey % 3 = 0 THEN (suppkey % 30)::DOUBLE END AS feature_rt, CASE WHEN suppkey % 6 = 0 THEN suppkey % 30 - 0.5::DOUBLE END AS rt_min, CASE WHEN suppkey % 6 = 0 THEN suppkey % 30 + 0.5::DOUBLE END AS rt_max FROM {CANDIDATES} WHERE spectrum % 20 = 0)"""
+    CASE WHEN suppkey % 3 = 0 THEN (suppkey % 30)::DOUBLE END AS feature_rt, CASE WHEN suppkey % 6 = 0 THEN suppkey % 30 - 0.5::DOUBLE END AS rt_min, CASE WHEN suppkey % 6 = 0 THEN suppkey % 30 + 0.5::DOUBLE END AS rt_max FROM {CANDIDATES})"""
 _BEST = "ORDER BY final_score DESC, coalesce({t}, 'inf'::DOUBLE), n_fragments DESC, abs(ppm_error), ord"
 SQL = {
     "feature_links": f"""
@@ -249,7 +249,7 @@ SQL = {
         SELECT event_id, status, round(CASE WHEN status = 'confirmed' THEN h[1].m ELSE raw END, 6) AS precursor_mz, CASE WHEN status = 'confirmed' THEN survey END AS ms1_scan, CASE WHEN status = 'confirmed' THEN n END::BIGINT AS confirmations FROM d""",
     "eic_traces": f"""
         WITH e AS (SELECT *, user_id % 10 AS f, floor(rt / 60)::BIGINT AS scan FROM {_E}), sc AS (SELECT DISTINCT f, scan FROM e),
-        q AS (SELECT s_suppkey AS query, s_suppkey % 10 AS f, s_suppkey * 10.0::DOUBLE AS mz, (SELECT min(rt) FROM e) + s_suppkey * 100 AS a FROM supplier WHERE s_suppkey <= 20),
+        q AS (SELECT s_suppkey AS query, s_suppkey % 10 AS f, s_suppkey * 10.0::DOUBLE AS mz, (SELECT min(rt) FROM e) + s_suppkey * 100 AS a FROM supplier),
         i AS (SELECT query, q.f, mz, scan FROM q JOIN sc ON sc.f = q.f AND scan * 60.0::DOUBLE BETWEEN a AND a + 3000),
         h AS (SELECT query, i.scan, event_id FROM i JOIN e ON e.f = i.f AND e.scan = i.scan AND e.value BETWEEN mz - mz * 20000.0::DOUBLE * 1e-6 AND mz + mz * 20000.0::DOUBLE * 1e-6 QUALIFY row_number() OVER (PARTITION BY query, i.scan ORDER BY abs(e.value - mz), event_id DESC) = 1)
         SELECT query, scan, coalesce(event_id, 0)::DOUBLE AS intensity FROM i LEFT JOIN h USING (query, scan)""",
@@ -271,17 +271,17 @@ SQL = {
         SELECT row, p_retailprice, s1, sn FROM (SELECT p_partkey AS row, p_retailprice FROM part WHERE p_partkey % 3 > 0) FULL JOIN (SELECT l_partkey AS row, max(l_extendedprice) AS s1 FROM lineitem WHERE l_partkey % 2 > 0 GROUP BY 1) USING (row)
         LEFT JOIN (SELECT p_partkey AS row, p_size AS sn FROM part WHERE p_partkey % 4 = 1) USING (row)""",
     "annotation_summaries": f"""
-        WITH r AS (SELECT suppkey % 50 AS feature, matched_name, adduct, concat('n', spectrum) AS scan, CASE WHEN suppkey % 11 > 0 THEN source_file END AS src, final_score, CASE WHEN ord % 2 = 0 THEN rt END AS dt, n_fragments, ppm_error, spectrum * 10 + ord AS ord FROM {CANDIDATES} WHERE spectrum % 5 = 0),
+        WITH r AS (SELECT suppkey % 50 AS feature, matched_name, adduct, concat('n', spectrum) AS scan, CASE WHEN suppkey % 11 > 0 THEN source_file END AS src, final_score, CASE WHEN ord % 2 = 0 THEN rt END AS dt, n_fragments, ppm_error, spectrum * 10 + ord AS ord FROM {CANDIDATES}),
         u AS (SELECT *, CASE WHEN src IS NULL THEN scan ELSE concat(src, ':', scan) END AS label FROM r), b AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY feature, matched_name, adduct {_BEST.format(t="dt")}) = 1),
         l AS (SELECT feature, matched_name, adduct, string_agg(label, ';' ORDER BY o) AS x FROM (SELECT feature, matched_name, adduct, label, min(ord) AS o FROM u GROUP BY ALL) GROUP BY ALL),
         s AS (SELECT feature, matched_name, adduct, string_agg(src, ';' ORDER BY o) AS x FROM (SELECT feature, matched_name, adduct, src, min(ord) AS o FROM u WHERE src IS NOT NULL GROUP BY ALL) GROUP BY ALL), n AS (SELECT feature, matched_name, adduct, count(*) AS n FROM u GROUP BY ALL)
         SELECT feature, matched_name, adduct, final_score, scan AS scan_id, n_fragments, n AS n_spectra, l.x AS all_scan_ids, coalesce(s.x, '') AS supporting_files FROM b JOIN n USING (feature, matched_name, adduct) JOIN l USING (feature, matched_name, adduct) LEFT JOIN s USING (feature, matched_name, adduct)""",
     "orphan_summaries": f"""
-        WITH r AS (SELECT partkey % 77 AS cluster, spectrum::VARCHAR AS scan_id, final_score, n_fragments, ppm_error, 700 + final_score AS mz, (spectrum * 10 + ord) * 100000 + partkey AS ord FROM {CANDIDATES} WHERE spectrum % 9 = 0),
+        WITH r AS (SELECT partkey % 77 AS cluster, spectrum::VARCHAR AS scan_id, final_score, n_fragments, ppm_error, 700 + final_score AS mz, (spectrum * 10 + ord) * 100000 + partkey AS ord FROM {CANDIDATES}),
         g AS (SELECT cluster, median(mz) AS m, count(*) AS n, row_number() OVER (ORDER BY min(ord)) AS i FROM r GROUP BY 1)
         SELECT cluster, printf('ORPHAN_%03d', i) AS feature_id, m AS feature_mz, final_score, scan_id, n AS n_spectra FROM r JOIN g USING (cluster) QUALIFY row_number() OVER (PARTITION BY cluster {_BEST.format(t="0")}) = 1""",
     "linked_lists": f"""
-        WITH r AS (SELECT suppkey % 40 AS key, spectrum, concat('n', spectrum % 17) AS scan, source_file AS src, rt, final_score, spectrum * 10 + ord AS ord FROM {CANDIDATES} WHERE spectrum % 4 = 0),
+        WITH r AS (SELECT suppkey % 40 AS key, spectrum, concat('n', spectrum % 17) AS scan, source_file AS src, rt, final_score, spectrum * 10 + ord AS ord FROM {CANDIDATES}),
         c AS (SELECT key, median(rt) AS rt, median(final_score) AS final_score FROM (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY key, spectrum ORDER BY ord) = 1) GROUP BY 1),
         a AS (SELECT key, string_agg(src, ';' ORDER BY o) AS files FROM (SELECT key, src, min(ord) AS o FROM r GROUP BY ALL) GROUP BY 1), b AS (SELECT key, string_agg(scan, ';' ORDER BY o) AS scans FROM (SELECT key, scan, min(ord) AS o FROM r GROUP BY ALL) GROUP BY 1)
         SELECT key, count(DISTINCT spectrum) AS n_scans, count(DISTINCT src) AS n_files, any_value(files) AS files, any_value(scans) AS scans, any_value(c.rt) AS rt, any_value(c.final_score) AS final_score FROM r JOIN a USING (key) JOIN b USING (key) JOIN c USING (key) GROUP BY key""",
@@ -305,7 +305,7 @@ SQL = {
         WITH r AS (SELECT spectrum, (partkey + ord) % 5 AS k, final_score AS p, rt AS c FROM {CANDIDATES}), g AS (SELECT spectrum, count(*) FILTER (k IN (0, 1, 4)) AS m, count(*) FILTER (k IN (0, 4)) AS s, count(*) FILTER (k IN (1, 2)) AS x, median(p) FILTER (k IN (0, 1, 4)) AS pm, median(c) FILTER (k IN (0, 1, 4)) AS cm FROM r GROUP BY 1)
         SELECT spectrum, m AS shape_samples, s AS supported_samples, x AS rejected_samples, pm AS pearson_median, cm AS cosine_median, CASE WHEN s > 0 AND x > 0 THEN 'mixed_evidence' WHEN s > 0 THEN 'EIC_supported' WHEN x > 0 THEN 'rejected' ELSE 'mass_RT_only' END AS verdict FROM g""",
     "consensus_features": f"""
-        WITH r AS (SELECT partkey % 500 AS consensus, source_file AS s, final_score, rt, rt - ord AS a, rt + ord AS b, intensity, spectrum * 10 + ord AS ord FROM {CANDIDATES} WHERE spectrum % 3 = 0), l AS (SELECT consensus, string_agg(s, ';' ORDER BY o) AS samples FROM (SELECT consensus, s, min(ord) AS o FROM r GROUP BY ALL) GROUP BY 1)
+        WITH r AS (SELECT partkey % 500 AS consensus, source_file AS s, final_score, rt, rt - ord AS a, rt + ord AS b, intensity, spectrum * 10 + ord AS ord FROM {CANDIDATES}), l AS (SELECT consensus, string_agg(s, ';' ORDER BY o) AS samples FROM (SELECT consensus, s, min(ord) AS o FROM r GROUP BY ALL) GROUP BY 1)
         SELECT consensus, round(avg(final_score), 6) AS mz, round(avg(rt), 6) AS rt, min(a) AS rt_min, max(b) AS rt_max, count(DISTINCT s) AS n_samples, round(sum(intensity), 3) AS intensity, any_value(samples) AS samples FROM r JOIN l USING (consensus) GROUP BY consensus""",
     "qc_members": f"""
         WITH r AS (SELECT partkey % 700 AS feature, concat('s', suppkey % 12) AS sample, CASE WHEN suppkey % 12 < 5 THEN 'QC' ELSE 'Sample' END AS kind, max(intensity) AS intensity FROM {CANDIDATES} GROUP BY ALL)
