@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -60,6 +61,8 @@ class Record:
     tokens: dict
     quality: int = 1
     plan: list = field(default_factory=list)
+    #: evidence program of the rule that the record is under: branches of (mask, least); None without a rule
+    program: list | None = None
 
     def prepare(self) -> Record:
         """(pool, fragments, weight, half-saturation, quality kind) of each pool: weights are shared among pools with fragments, and
@@ -148,10 +151,23 @@ def levels_of(mz: np.ndarray, intensity: np.ndarray, relative: np.ndarray, precu
     return out
 
 
+def admitted(program: list, places) -> bool:
+    """Whether matched fragments, by place, meet a program."""
+    mask = 0
+    for i in places:
+        mask |= 1 << int(i)
+    return any(all((bits & mask).bit_count() >= least for bits, least in branch) for branch in program)
+
+
 def evaluate(mz: np.ndarray, intensity: np.ndarray, relative: np.ndarray, precursor: float, record: Record, ppm: float) -> Hit | None:
     """Match, gates, pools and resolution of one candidate; None without a match."""
     only = [i for i, t in enumerate(record.types) if t == "Precursor Ion"] if class_key(record.kind) in ("FA", "NAE") else None
     masses = record.masses if only is None else record.masses[only]
+    if record.program is not None:
+        # fragments with any peak in reach bound those that can be matched: most candidates end here
+        width = np.abs(masses) * ppm * 1e-6
+        if not admitted(record.program, np.flatnonzero(np.searchsorted(mz, masses + width, "right") > np.searchsorted(mz, masses - width, "left"))):
+            return None
     matches = greedy(mz, relative, masses, np.abs(masses) * ppm * 1e-6)
     if only is not None:
         matches = [(only[f], p) for f, p in matches]
@@ -162,6 +178,17 @@ def evaluate(mz: np.ndarray, intensity: np.ndarray, relative: np.ndarray, precur
     if only is not None:
         hit.resolution = "chain_level"
         return hit
+    if record.program is not None:
+        if not admitted(record.program, [f for f, _ in matches]):
+            hit.missing.append("sphingo_rule")
+            hit.reason = "sphingo_rule_failed"
+        elif class_key(record.kind) == "SM" and record.adduct == "[M+Na]+":
+            hit.resolution, hit.reason = "species_level", "headgroup_losses_only"
+        elif class_key(record.kind) not in ("SPB", "LSM") and re.fullmatch(rf"{re.escape(record.kind)}\([mdt]?\d+:\d+\)", record.chain_name):
+            hit.resolution, hit.reason = "species_level", "sum_composition_identity"
+        else:
+            hit.resolution = "chain_level"
+        return hit
     found = {record.pools[f] for f, _ in matches}
     chains = {record.chains[f] for f, _ in matches} & set(record.tokens)
     positive = record.adduct.endswith("+")

@@ -14,7 +14,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spectralake.functions import rulebook
 from spectralake.functions import spectra as kernels
+from spectralake.operators import programs, routing
 
 BIN, FINE, CROWD = 1.0, 0.01, 4000
 RESULT = """spectrum string, record_id long, compound_class string, matched_name string, library_species_name string, adduct string, precursor_mz double, ppm_error double, result_rank int, result_rank_scope string,
@@ -111,7 +113,7 @@ def _records(pdf: pd.DataFrame) -> list[kernels.Record]:
         out.append(
             kernels.Record(
                 r.record_id, r.lipid_name, r.chain_name, r.compound_class, r.adduct, r.precursor_mz, np.array([x["mz"] for x in f], float), [x["name"] for x in f], [x["type"] for x in f],
-                [x["pool"] for x in f], [x["chain"] or "" for x in f], dict(tokens), quality,
+                [x["pool"] for x in f], [x["chain"] or "" for x in f], dict(tokens), quality, program=None if r.program is None else [[(n["mask"], n["least"]) for n in b] for b in r.program],
             ).prepare()
         )
     return out
@@ -132,12 +134,30 @@ def _row(spectrum: str, precursor: float, mz: np.ndarray, intensity: np.ndarray,
     )
 
 
-def search(spectra: DataFrame, library: DataFrame, precursor_ppm: float = 5.0, fragment_ppm: float = 15.0, top: int = 3, least: float = 50.0) -> DataFrame:
+def with_evidence(library: DataFrame, rules: DataFrame | None = None) -> DataFrame:
+    """The library with a pool for each fragment, by routing where it has none, and with the programs of ``rules`` (null without a rule)."""
+    fields = library.schema["fragments"].dataType.elementType.names
+    if "pool" not in fields:
+        also = (lambda f: f) if "also" in fields else lambda f: f.withField("also", F.lit(None).cast("array<string>"))
+        library = routing.routed(library.withColumn("fragments", F.transform("fragments", also)))
+        library = library.withColumn("fragments", F.zip_with("fragments", "routes", lambda f, r: f.withField("pool", F.get(r["pools"], 0)))).drop("routes")
+    if rules is None:
+        return library.withColumn("program", F.lit(None).cast(programs.PROGRAM))
+    key, adduct = F.upper(F.regexp_replace("compound_class", "[^A-Za-z0-9]", "")), F.trim("adduct")
+    halved = ((adduct == "[M-H]-") & key.isin("CER1P", "CERP")) | (adduct.isin("[M+CH3COO]-", "[M+HCOO]-") & (key == "SM"))
+    rows = library.withColumns({
+        "_rule": rulebook.rule_key(F.col("compound_class"), F.col("adduct"), F.col("chain_name")), "_series": F.lower(F.regexp_extract("chain_name", r"(?i)(?:\(|\s)([mdt])\d", 1)),
+        "_lib": F.transform("fragments", lambda f: F.struct(F.trim(f["name"]).alias("name"), F.array(f["type"]).alias("types"))),
+    })
+    return programs.compiled(rows, rules, "_rule", "_series", "_lib", halved).drop("_rule", "_series", "_lib")
+
+
+def search(spectra: DataFrame, library: DataFrame, precursor_ppm: float = 5.0, fragment_ppm: float = 15.0, top: int = 3, least: float = 50.0, rules: DataFrame | None = None) -> DataFrame:
     """Ranked candidates of every spectrum that has any.
 
     Spectra: spectrum, precursor_mz, mz and intensity (arrays). Library: record_id, compound_class, lipid_name, chain_name, adduct,
-    precursor_mz, chains (array of the name's chains), fragments (mz, name, type, pool, chain). Records of one spectrum are met in
-    order of mass, then record_id.
+    precursor_mz, chains (array of the name's chains), fragments (mz, name, type, chain, and pool or else also). Records of one spectrum are
+    met in order of mass, then record_id. Records under one of ``rules`` must meet it in place of the general gates.
     """
     columns = [c.strip().split()[0] for c in RESULT.split(",")]
     asked = spectra.where("precursor_mz > 0").withColumn("bin", F.floor(F.col("precursor_mz") / BIN))
@@ -147,7 +167,8 @@ def search(spectra: DataFrame, library: DataFrame, precursor_ppm: float = 5.0, f
     # records that no window touches, told by fine bins, stay out of the shuffle and of Python
     width = F.col("precursor_mz") * precursor_ppm * 1e-6 * 1.01
     touched = asked.select(F.explode(F.sequence(F.floor((F.col("precursor_mz") - width) / FINE), F.floor((F.col("precursor_mz") + width) / FINE))).alias("fine")).distinct()
-    near = library.withColumn("fine", F.floor(F.col("precursor_mz") / FINE)).join(touched, "fine", "left_semi").drop("fine")
+    # programs are compiled and fragments routed once for each record that is near, before it is spread over bins
+    near = with_evidence(library.withColumn("fine", F.floor(F.col("precursor_mz") / FINE)).join(touched, "fine", "left_semi").drop("fine"), rules)
     spread = near.withColumn("bin", F.explode(F.sequence(F.floor((F.col("precursor_mz") - reach) / BIN), F.floor((F.col("precursor_mz") + reach) / BIN))))
     spread = spread.join(crowds, "bin").withColumn("deal", F.explode(F.sequence(F.lit(0), F.col("deals") - 1))).drop("deals")
 

@@ -1,5 +1,6 @@
 """The spectrum search: the kernel against the JVM form, planted spectra, penalties, ranks and whole searches against a plain loop."""
 
+import collections
 import random
 
 import numpy as np
@@ -134,3 +135,50 @@ def test_search_equals_a_plain_loop(spark):
         for h, rank, scope in k.search(np.array(peaks), np.array(inten), mz, near, 15.0, 3, 10.0):
             want[s, h.record.number] = (rank, scope, h.score, h.resolution)
     assert got == want and len({s for s, _ in want}) > 50
+
+
+def test_ruled_search_equals_a_plain_loop(spark):
+    """Whole tables of the smallest scale; the plain loop asks the rules of every pair of a spectrum and a near record."""
+    from spectralake.functions.rulebook import rulebook
+    from spectralake.operators.search import with_evidence
+    from spectralake.plans.search import ruled_library, ruled_search, spectra_of
+
+    d = "/root/testdata/sf0.001"
+    got = {(x.spectrum, x.record_id): (x.result_rank, x.result_rank_scope, x.final_score, x.resolution_level, x.compound_class) for x in ruled_search(spark, d).collect()}
+    routed = with_evidence(ruled_library(spark, d), rulebook(spark)).collect()
+    records = []
+    for x in sorted(routed, key=lambda x: (x.precursor_mz, x.record_id)):
+        f = x.fragments
+        quality = 3 if x.compound_class == "TG" else 1
+        own = k.Record(x.record_id, x.lipid_name, x.chain_name, x.compound_class, x.adduct, x.precursor_mz, np.array([y.mz for y in f]), [y.name for y in f], [y.type for y in f], [y.pool for y in f], [y.chain or "" for y in f], dict(collections.Counter(x.chains)), quality)
+        # a program that asks for nothing: the loop below has asked already
+        own.program = [[]] if x.compound_class in ("Cer", "SM", "HexCer") else None
+        records.append(own.prepare())
+
+    def passes(rec, matches):
+        types, names = [rec.types[f] for f, _ in matches], {rec.names[f] for f, _ in matches}
+        n = lambda *kinds: sum(t in kinds for t in types)
+        if rec.kind == "Cer":
+            return n("Precursor Ion", "C类碎片") >= 2 and (n("LCB碎片") >= 2 or n("FA类碎片", "NAE碎片") >= 2)
+        if rec.kind == "SM":
+            series = {"LCB", "LCB-H2O", "LCB-2H2O"} if "(d" in rec.chain_name else set()
+            return bool(names & {"[M+H]+", "M+H-H2O", "M+H-2H2O", "[C5H15NO4P]+"}) and bool(names & series or not series) and n("Precursor Ion", "C类碎片", "Neutral_Loss", "Diagnostic_HG") > 0 and n("LCB碎片") > 0
+        return all(n(t) * 2 >= rec.types.count(t) > 0 for t in ("Diagnostic_HG", "Diagnostic_FA", "LCB碎片"))
+
+    want, asked, refused = {}, 0, 0
+    for s in spectra_of(spark, d).collect():
+        mz, intensity = np.array(s.mz), np.array(s.intensity)
+        sort = np.argsort(mz, kind="stable")
+        near = []
+        for rec in records:
+            if abs(rec.mz - s.precursor_mz) <= s.precursor_mz * 5e-6:
+                if rec.program is not None:
+                    asked += 1
+                    if not passes(rec, k.greedy(mz[sort], (intensity / intensity.max())[sort], rec.masses, np.abs(rec.masses) * 15e-6)):
+                        refused += 1
+                        continue
+                near.append(rec)
+        for h, rank, scope in k.search(mz, intensity, s.precursor_mz, near, 15.0, 3, 20.0):
+            want[s.spectrum, h.record.number] = (rank, scope, h.score, h.resolution, h.record.kind)
+    assert got == want
+    assert 0 < refused < asked and {"Cer", "SM", "HexCer"} <= {x[-1] for x in got.values()}
