@@ -57,32 +57,29 @@ def cohorts(rows: DataFrame, ppm: float = 10.0, minutes: float = 0.1) -> DataFra
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["mz", "rt", "source", "scan"], kind="stable").reset_index(drop=True)
-        groups: list[dict] = []
-        names = []
-        for row in pdf.itertuples():
-            window, sample = row.mz * ppm * 1e-6, str(row.source).rsplit("/", 1)[-1].casefold()
-            peak, best = row.peak or "", None
-            for number in range(len(groups) - 1, -1, -1):
-                g = groups[number]
-                if row.mz - g["mz0"] > window:
-                    break
-                low, high = min(g["rt0"], row.rt), max(g["rt1"], row.rt)
-                own = g["peaks"].get(sample)
-                if max(g["mz1"], row.mz) - g["mz0"] > window or high - low > minutes + 1e-10 or (peak and own and own != peak):
-                    continue
-                off = abs((g["rt0"] + g["rt1"]) / 2 - row.rt)
-                if best is None or off < best[0]:
-                    best = (off, number)
-            if best is None:
-                groups.append({"mz0": row.mz, "mz1": row.mz, "rt0": row.rt, "rt1": row.rt, "peaks": {}})
-                best = (0, len(groups) - 1)
-            g = groups[best[1]]
-            g["rt0"], g["rt1"], g["mz1"] = min(g["rt0"], row.rt), max(g["rt1"], row.rt), max(g["mz1"], row.mz)
-            if peak:
-                g["peaks"][sample] = peak
-            names.append(best[1])
-        stretch = pdf["stretch"].iloc[0]
-        return pdf.assign(cohort=[f"{pdf['mode'].iloc[0]}|{stretch}|{i}" for i in names])
+        mz, rt = pdf["mz"].to_numpy(float), pdf["rt"].to_numpy(float)
+        sample = pdf["source"].astype(str).str.rsplit("/", n=1).str[-1].str.casefold().to_numpy()
+        peak = pdf["peak"].fillna("").to_numpy()
+        # groups in the order of their first masses: first mass, least and largest time; recorded peaks by group and sample
+        heads, times, held = np.empty(len(pdf)), np.empty((2, len(pdf))), {}
+        group, made, still = np.empty(len(pdf), np.int64), 0, 0
+        for i in range(len(pdf)):
+            # masses rise faster than the tolerance, so a group that is too light stays so
+            still += int(np.searchsorted(-(mz[i] - heads[still:made]), -mz[i] * ppm * 1e-6, "left"))
+            early, late = np.minimum(times[0, still:made], rt[i]), np.maximum(times[1, still:made], rt[i])
+            fits = late - early <= minutes + 1e-10
+            if peak[i]:
+                fits &= np.fromiter((held.get((g, sample[i]), peak[i]) == peak[i] for g in range(still, made)), bool, made - still)
+            off = np.where(fits, np.abs(times[:, still:made].mean(axis=0) - rt[i]), np.inf)[::-1]  # of equals the last group
+            at = made - 1 - int(off.argmin()) if len(off) and np.isfinite(off.min()) else made
+            if at == made:
+                heads[at], times[:, at], made = mz[i], rt[i], made + 1
+            else:
+                times[:, at] = early[at - still], late[at - still]
+            if peak[i]:
+                held[at, sample[i]] = peak[i]
+            group[i] = at
+        return pdf.assign(cohort=[f"{pdf['mode'].iloc[0]}|{pdf['stretch'].iloc[0]}|{g}" for g in group])
 
     return _grouped(placed, ["mode", "stretch"], ["mode", "source", "scan"], kernel, "cohort string")
 
