@@ -125,7 +125,7 @@ def made(r):
     return rows
 
 
-@pytest.mark.parametrize("share,tile,rounds", [(5, 512, ngram_join.ROUNDS), (3, 3, ngram_join.ROUNDS), (40, 4, ((None, True),))])
+@pytest.mark.parametrize("share,tile,rounds", [(5, 512, ngram_join.ROUNDS), (3, 3, ngram_join.ROUNDS), (40, 4, ((False, True),))])
 def test_prefix_tree_join_equals_all_pairs(spark, monkeypatch, share, tile, rounds):
     monkeypatch.setattr(ngram_join, "_LIMIT", np.uint64(2**64 // share))
     monkeypatch.setattr(ngram_join, "TILE", tile)
