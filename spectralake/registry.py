@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spectralake.operators import joins, ranking, summaries
-from spectralake.plans import decisions, features, gates, imports, links, lookups, names, ranks, rules, search, series
+from spectralake.plans import decisions, detection, features, gates, imports, links, lookups, names, ranks, rules, search, series
 from spectralake.session import table
 
 KIND = "CASE c_mktsegment WHEN 'BUILDING' THEN 'QC' WHEN 'MACHINERY' THEN 'Blank' ELSE 'Sample' END"
@@ -109,7 +109,7 @@ _SQL = {
 _ALL = (mass_candidates_topk, precursor_range_candidates, orphan_anti_supported, best_row_per_group, qc_summary, group_summary, upsert_count, trapezoid_area, consensus_vote, linear_rt_model, peak_normalise)
 
 
-_MORE = (features, names, decisions, links, ranks, series, search, imports, gates, lookups, rules)
+_MORE = (features, names, decisions, links, ranks, series, search, imports, gates, lookups, rules, detection)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
