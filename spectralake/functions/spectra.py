@@ -83,6 +83,38 @@ class Record:
         return self
 
 
+@dataclass
+class Alike:
+    """Records by mass with codes of their signatures (-1: none) and the masses of all their chain fragments, end to end."""
+
+    codes: np.ndarray
+    chains: np.ndarray
+    ends: np.ndarray
+
+    @classmethod
+    def of(cls, records: list[Record], codes: np.ndarray) -> Alike:
+        own = [r.masses[[bool(c) for c in r.chains]] for r in records]
+        return cls(np.asarray(codes), np.concatenate([np.empty(0), *own]), np.concatenate([[0], np.cumsum([len(m) for m in own])]).astype(int))
+
+    def kept(self, peaks: np.ndarray, precursor: float, masses: np.ndarray, lo: int, hi: int, ppm: float) -> list[int]:
+        """Of records ``lo`` to ``hi`` those to score: all with a peak near a chain fragment, of the others the first and the nearest of a code."""
+        codes = self.codes[lo:hi]
+        if not (codes >= 0).any():
+            return list(range(lo, hi))
+        ends = self.ends[lo : hi + 1]
+        m = self.chains[ends[0] : ends[-1]]
+        width = np.abs(m) * ppm * 1e-6
+        met = np.concatenate([[0], np.cumsum(np.searchsorted(peaks, m + width, "right") > np.searchsorted(peaks, m - width, "left"))])
+        codes = np.where(met[ends[1:] - ends[0]] == met[ends[:-1] - ends[0]], codes, -1)
+        error = np.abs((precursor - masses[lo:hi]) / masses[lo:hi] * 1e6)
+        stay = codes < 0
+        for by in (np.arange(len(codes)), error):
+            # the sort is stable: of equal errors the earlier record
+            row = np.lexsort((by, codes))
+            stay[row[np.flatnonzero(np.diff(codes[row], prepend=-2) != 0)]] = True
+        return (lo + np.flatnonzero(stay)).tolist()
+
+
 @dataclass
 class Hit:
     record: Record

@@ -105,7 +105,7 @@ def evidence_program(mask: Column, program: list[list[tuple[int, int]]]) -> Colu
 
 def _records(pdf: pd.DataFrame) -> list[kernels.Record]:
     out = []
-    for r in pdf.sort_values(["precursor_mz", "record_id"], kind="stable").itertuples(index=False):
+    for r in pdf.itertuples(index=False):
         f = r.fragments
         key = kernels.class_key(r.compound_class)
         tokens = Counter(r.chains)
@@ -152,12 +152,43 @@ def with_evidence(library: DataFrame, rules: DataFrame | None = None) -> DataFra
     return programs.compiled(rows, rules, "_rule", "_series", "_lib", halved).drop("_rule", "_series", "_lib")
 
 
-def search(spectra: DataFrame, library: DataFrame, precursor_ppm: float = 5.0, fragment_ppm: float = 15.0, top: int = 3, least: float = 50.0, rules: DataFrame | None = None) -> DataFrame:
+def signature() -> Column:
+    """What decides the result of a library record (after ``with_evidence``) for a spectrum without a peak near any of its chain fragments.
+
+    Then only the other fragments can match, in their order, so records of one signature match the same peaks, meet the same gates, score
+    alike and report the same species: they differ in their error of mass alone. It holds class, adduct and species, how often each chain
+    occurs, the pools of all fragments (they share the weights), the fragments without a chain and, under a rule, its program with the
+    places that its masks mean and the chain name. Null for free acids and amides, whose rows are not collapsed by species, and for names
+    with a chain that is null or empty.
+    """
+    chains = F.coalesce("chains", F.array().cast("array<string>"))
+    ruled = F.col("program").isNotNull()
+    often = F.array_sort(F.transform(F.array_distinct(chains), lambda c: F.size(F.filter(chains, lambda x: x == c))))
+    placed = F.transform("fragments", lambda f, i: F.struct(F.when(ruled, i).alias("place"), *[f[c].alias(c) for c in ("mz", "name", "type", "pool")], F.coalesce(f["chain"], F.lit("")).alias("chain")))
+    parts = F.struct(
+        F.col("compound_class").alias("a"), F.col("adduct").alias("b"), F.col("lipid_name").alias("c"), often.alias("d"), F.array_sort(F.transform("fragments", lambda f: f["pool"])).alias("e"),
+        F.filter(placed, lambda f: f["chain"] == "").alias("f"), F.col("program").alias("g"), F.when(ruled, F.col("chain_name")).alias("h"),
+    )
+    single = F.upper(F.regexp_replace("compound_class", "[^A-Za-z0-9]", "")).isin("FA", "NAE") | F.exists(chains, lambda c: c.isNull() | (c == ""))
+    return F.when(~single, F.sha2(F.to_json(parts, {"ignoreNullFields": "false"}), 256))
+
+
+def equivalence_classes(library: DataFrame, rules: DataFrame | None = None) -> DataFrame:
+    """record_id, signature, and the first record_id and number of records of its class (the record alone where the signature is null)."""
+    rows = with_evidence(library, rules).select("record_id", signature().alias("signature"))
+    # null signatures stay out of the grouping, and classes are counted before they are joined back
+    sizes = rows.where("signature is not null").groupBy("signature").agg(F.min("record_id").alias("_first"), F.count("*").alias("_n"))
+    out = rows.join(sizes, "signature", "left")
+    return out.select("record_id", "signature", F.coalesce("_first", "record_id").alias("first_record"), F.coalesce("_n", F.lit(1)).cast("long").alias("n_records"))
+
+
+def search(spectra: DataFrame, library: DataFrame, precursor_ppm: float = 5.0, fragment_ppm: float = 15.0, top: int = 3, least: float = 50.0, rules: DataFrame | None = None, collapse: bool = True) -> DataFrame:
     """Ranked candidates of every spectrum that has any.
 
     Spectra: spectrum, precursor_mz, mz and intensity (arrays). Library: record_id, compound_class, lipid_name, chain_name, adduct,
     precursor_mz, chains (array of the name's chains), fragments (mz, name, type, chain, and pool or else also). Records of one spectrum are
-    met in order of mass, then record_id. Records under one of ``rules`` must meet it in place of the general gates.
+    met in order of mass, then record_id. Records under one of ``rules`` must meet it in place of the general gates. ``collapse`` scores
+    of records that must score alike (``signature``) the first, which holds their place, and the nearest, which is reported; rows are the same without.
     """
     columns = [c.strip().split()[0] for c in RESULT.split(",")]
     asked = spectra.where("precursor_mz > 0").withColumn("bin", F.floor(F.col("precursor_mz") / BIN))
@@ -169,19 +200,24 @@ def search(spectra: DataFrame, library: DataFrame, precursor_ppm: float = 5.0, f
     touched = asked.select(F.explode(F.sequence(F.floor((F.col("precursor_mz") - width) / FINE), F.floor((F.col("precursor_mz") + width) / FINE))).alias("fine")).distinct()
     # programs are compiled and fragments routed once for each record that is near, before it is spread over bins
     near = with_evidence(library.withColumn("fine", F.floor(F.col("precursor_mz") / FINE)).join(touched, "fine", "left_semi").drop("fine"), rules)
+    near = near.withColumn("signature", signature() if collapse else F.lit(None).cast("string"))
     spread = near.withColumn("bin", F.explode(F.sequence(F.floor((F.col("precursor_mz") - reach) / BIN), F.floor((F.col("precursor_mz") + reach) / BIN))))
     spread = spread.join(crowds, "bin").withColumn("deal", F.explode(F.sequence(F.lit(0), F.col("deals") - 1))).drop("deals")
 
     def work(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame([], columns=columns)
         out = []
-        records = _records(right) if len(left) else []
-        masses = np.array([r.mz for r in records])
+        right = right.sort_values(["precursor_mz", "record_id"], kind="stable")
+        records = _records(right)
+        masses = right["precursor_mz"].to_numpy(float)
+        alike = kernels.Alike.of(records, pd.factorize(right["signature"])[0])
         for s in left.itertuples(index=False):
             width = abs(s.precursor_mz) * precursor_ppm * 1e-6
             lo, hi = np.searchsorted(masses, s.precursor_mz - width, "left"), np.searchsorted(masses, s.precursor_mz + width, "right")
             if hi > lo:
                 mz, intensity = np.asarray(s.mz, float), np.asarray(s.intensity, float)
-                out += [_row(s.spectrum, s.precursor_mz, mz, intensity, *x) for x in kernels.search(mz, intensity, s.precursor_mz, records[lo:hi], fragment_ppm, top, least)]
+                out += [_row(s.spectrum, s.precursor_mz, mz, intensity, *x) for x in kernels.search(mz, intensity, s.precursor_mz, [records[i] for i in alike.kept(np.sort(mz), s.precursor_mz, masses, lo, hi, fragment_ppm)], fragment_ppm, top, least)]
         return pd.DataFrame(out, columns=columns)
 
     return dealt.groupBy("bin", "deal").cogroup(spread.groupBy("bin", "deal")).applyInPandas(work, RESULT)

@@ -88,6 +88,10 @@ def spectrum_search(spark: SparkSession, d: str) -> DataFrame:
     return search.search(spectra_of(spark, d), library_of(spark, d), least=20.0)
 
 
+def record_classes(spark: SparkSession, d: str) -> DataFrame:
+    return search.equivalence_classes(library_of(spark, d)).select("record_id", "first_record", "n_records")
+
+
 def ruled_library(spark: SparkSession, d: str) -> DataFrame:
     """The library with sphingolipids whose fragments bear the names and types that the rulebook asks for, some of them missing."""
     rows = library_of(spark, d).withColumn("_k", F.col("record_id") % 4)
@@ -135,8 +139,12 @@ SQL = {
         b AS (SELECT *, (SELECT max((p_partkey * j) % 9 / 9.0::DOUBLE) FROM range(1, 5) t(j) WHERE abs(m + (j - 2) * 0.004::DOUBLE * z - m) <= m * 10.0::DOUBLE * 1e-6) AS best FROM r),
         c AS (SELECT *, CASE WHEN abs(ppm) > 5 THEN 'precursor_out_of_tolerance' WHEN best IS NULL THEN 'no_fragment_match' ELSE '' END AS reason FROM b)
         SELECT p_partkey, round(ppm, 4) AS ppm_error, reason, CASE WHEN reason = '' THEN round(100 * least(1, 1.1::DOUBLE * best / (best + 0.1::DOUBLE)), 4) ELSE 0 END::DOUBLE AS score, reason = '' AS passed FROM c""",
+    "record_classes": """
+        WITH r AS (SELECT p_partkey AS record_id, p_partkey % 6 AS kind, 30 + p_partkey % 5 + p_partkey % 3 AS species, [150 + (p_partkey % 900 * 7 + i * 13) % 400 + i * 0.05::DOUBLE for i in [1, 2, 7, 8, 9]] AS masses FROM part),
+        c AS (SELECT kind, species, masses, min(record_id) AS first_record, count(*) AS n FROM r WHERE kind <> 3 GROUP BY 1, 2, 3)
+        SELECT record_id, coalesce(first_record, record_id) AS first_record, coalesce(n, 1)::BIGINT AS n_records FROM r LEFT JOIN c USING (kind, species, masses)""",
     "evidence_bits": f"""
         WITH b AS (SELECT spectrum, bit_or((1 << (suppkey % 6)::INT)::BIGINT) AS mask FROM {CANDIDATES} GROUP BY 1)
         SELECT spectrum, mask, (bit_count(mask & 11) >= 2 AND bit_count(mask & 48) >= 1) OR bit_count(mask & 63) >= 5 AS admitted FROM b""",
 }
-ALL = (spectrum_preparation, greedy_match, quality_levels, pool_scores, precursor_only_scores, evidence_bits, spectrum_search, ruled_search)
+ALL = (spectrum_preparation, greedy_match, quality_levels, pool_scores, precursor_only_scores, evidence_bits, record_classes, spectrum_search, ruled_search)

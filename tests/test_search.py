@@ -182,3 +182,61 @@ def test_ruled_search_equals_a_plain_loop(spark):
             want[s.spectrum, h.record.number] = (rank, scope, h.score, h.resolution, h.record.kind)
     assert got == want
     assert 0 < refused < asked and {"Cer", "SM", "HexCer"} <= {x[-1] for x in got.values()}
+
+
+def _species_library(r):
+    """Records of few species that differ in chains, error, order and support, as candidates of one window."""
+    library = []
+    for i in range(160):
+        kind, adduct = r.choice([("PC", "[M+H]+"), ("PE", "[M-H]-"), ("TG", "[M+Na]+"), ("FA", "[M-H]-"), ("Cer", "[M-H]-")])
+        a = r.choice([14, 16, 18])
+        chains = r.choice([[f"{a}:0", f"{34 - a}:1"], [f"{a}:0", f"{34 - a}:1"], [f"{a}:0"] * 2, [], ["", "16:0"]])
+        frags = [(184.0, "HG", "Diagnostic_HG", "hg", None), (100.0, "support", "Common", "other", ""), (500.0, "M", "Precursor Ion", "other", "")]
+        frags += [(300.0 + a + j * 20, f"loss{j}", "Diagnostic_FA", "fah", c) for j, c in enumerate(chains)]
+        if r.random() < 0.3:
+            frags.append((110.0, "more", "Common", "other", ""))
+        if r.random() < 0.2:
+            frags.append((184.0, "HG twice", "Diagnostic_HG", "hg", ""))
+        if r.random() < 0.2:
+            frags.reverse()
+        library.append((i, kind, f"{kind}(34:1)", f"{kind}({'/'.join(chains)})", adduct, 700.0 + r.choice([0.0, 0.0003, 0.0006, 0.0006]), chains, frags))
+    return library
+
+
+def test_collapsed_search_equals_the_full_one_row_for_row(spark):
+    r = random.Random(40)
+    spectra = []
+    for i in range(400):
+        masses = [m for m in (100.0, 110.0, 184.0, 314.0, 316.0, 318.0, 334.0, 336.0, 338.0, 500.0) if r.random() < (0.25 if i % 2 and m > 300 else 0.6)]
+        spectra.append((f"s{i}", 700.0003 + r.choice([0.0, 0.00015, -0.0002]), masses, [r.choice([0.01, 1.0, 9.99, 10.0, 100.0]) for _ in masses]))
+    lib = spark.createDataFrame(_species_library(r), "record_id long, compound_class string, lipid_name string, chain_name string, adduct string, precursor_mz double, chains array<string>, fragments array<struct<mz: double, name: string, type: string, pool: string, chain: string>>").cache()
+    sp = spark.createDataFrame(spectra, "spectrum string, precursor_mz double, mz array<double>, intensity array<double>").cache()
+    for least in (0.0, 50.0):
+        got, want = (sorted(map(tuple, search.search(sp, lib, top=20, least=least, collapse=c).collect()), key=repr) for c in (True, False))
+        assert got == want and len(want) > 300
+    classes = {x.record_id: x for x in search.equivalence_classes(lib).collect()}
+    plain = collections.defaultdict(list)
+    for i, kind, name, _, adduct, _, chains, frags in map(tuple, lib.collect()):
+        if kind != "FA" and "" not in chains:
+            plain[kind, name, adduct, tuple(sorted(collections.Counter(chains).values())), tuple(sorted(f.pool for f in frags)), tuple((f.mz, f.name, f.type, f.pool) for f in frags if not f.chain)].append(i)
+    assert all(classes[i].first_record == min(own) and classes[i].n_records == len(own) for own in plain.values() for i in own)
+    assert {i for i, x in classes.items() if x.signature is None} == set(classes) - {i for own in plain.values() for i in own}
+
+
+def test_few_records_are_scored_where_no_chain_is_seen():
+    records = [record(i, masses=(100.0, 200.0 + i, 300.0 + i, 400.0), mz=700.0 + i * 1e-4) for i in range(9)]
+    alike = k.Alike.of(records, np.zeros(9, int))
+    masses = np.array([x.mz for x in records])
+    assert alike.kept(np.array([100.0, 400.0]), 700.00052, masses, 0, 9, 15.0) == [0, 5]
+    assert alike.kept(np.array([100.0, 203.0, 400.0]), 700.00052, masses, 0, 9, 15.0) == [0, 3, 5]
+    assert alike.kept(np.array([100.0]), 700.00052, masses, 2, 9, 15.0) == [2, 5] and alike.kept(np.array([]), 700.0, masses, 4, 5, 15.0) == [4]
+    assert k.Alike.of(records, np.full(9, -1)).kept(np.array([100.0]), 700.0, masses, 0, 9, 15.0) == list(range(9))
+
+
+def test_ruled_search_is_the_same_without_collapsing(spark):
+    from spectralake.functions.rulebook import rulebook
+    from spectralake.plans.search import ruled_library, ruled_search, spectra_of
+
+    d = "/root/testdata/sf0.001"
+    full = search.search(spectra_of(spark, d), ruled_library(spark, d), least=20.0, rules=rulebook(spark), collapse=False)
+    assert sorted(map(tuple, ruled_search(spark, d).collect()), key=repr) == sorted(map(tuple, full.collect()), key=repr)
