@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spectralake.operators import detection
+from spectralake.operators import detection, refinement
 from spectralake.session import table
 
 
@@ -20,6 +20,24 @@ def grown_traces(spark: SparkSession, d: str) -> DataFrame:
     return out.groupBy("file", "trace").agg(F.count("*").alias("n_points"), F.min("scan").alias("first_scan"), F.max("scan").alias("last_scan"), F.round(F.sum(F.col("mz") * F.col("intensity")) / F.sum("intensity"), 5).alias("mz"), F.round(F.max("intensity"), 2).alias("height"))
 
 
+def map_parts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Features, points, scans and the features of a more sensitive pass: the grown traces, on a clock of one scan a minute."""
+    points = trace_peaks(spark, d).withColumn("rt", F.col("scan") * 60.0)
+
+    def found(noise: float) -> DataFrame:
+        top = F.max_by(F.struct("rt", "mz"), F.struct("intensity", -F.col("rt"), "mz"))
+        out = detection.mass_traces(points, ppm=20.0, noise=noise, snr=5.0).groupBy("file", "trace").agg(top.alias("p"), F.min("rt").alias("lower"), F.max("rt").alias("upper"), F.round(F.sum("intensity"), 2).alias("area"))
+        return out.select("file", F.col("trace").alias("feature"), "p.mz", "p.rt", "lower", "upper", "area")
+
+    return found(8000.0), points, points.select("file", "rt").distinct(), found(2000.0)
+
+
+def refined_features(spark: SparkSession, d: str) -> DataFrame:
+    features, points, scans, more = map_parts(spark, d)
+    out = refinement.refined_map(features, points, scans, 20.0, more)
+    return out.withColumns({c: F.round(c, 3) for c in ("area", "area_corrected", "height")})
+
+
 def isotope_features(spark: SparkSession, d: str) -> DataFrame:
     rt = (F.col("p_partkey") % 50).cast("double")
     rows = table(spark, d, "part").select((F.col("p_size") % 3).alias("file"), "p_partkey", F.col("p_retailprice").alias("mz"), rt.alias("rt"), (rt - F.col("p_size") % 7).alias("rt_min"), (rt + F.col("p_size") % 5).alias("rt_max"), (F.col("p_size") * 100 + F.col("p_partkey") % 97).cast("double").alias("height"))
@@ -56,4 +74,4 @@ SQL = {
         h AS (SELECT s, round(c / 0.01::DOUBLE)::BIGINT AS a, round(d / 2.0::DOUBLE)::BIGINT AS b, count(*) AS votes, avg(c) AS c, avg(d) AS d, any_value(mid) AS mid FROM v GROUP BY 1, 2, 3)
         SELECT s AS sample, round(c, 5) AS scale, round(d + mid - c * mid, 3) AS shift, votes FROM h QUALIFY row_number() OVER (PARTITION BY s ORDER BY votes DESC, abs(a * 0.01::DOUBLE - 1), abs(b), a, b) = 1""",
 }
-ALL = (grown_traces, isotope_features, time_maps)
+ALL = (grown_traces, refined_features, isotope_features, time_maps)
