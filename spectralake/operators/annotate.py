@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spectralake.functions import labels
 from spectralake.functions.names import with_parsed
 from spectralake.operators.ranking import distinct_identities, topk
 
@@ -40,9 +41,9 @@ def summaries(rows: DataFrame, keys: list[str], order: str, prefer_time: bool =
 
 
 def orphan_summaries(rows: DataFrame, cluster: str, mass: str, order: str) -> DataFrame:
-    """summaries() of clusters without a feature, numbered ORPHAN_001 on by their first row, with the median mass."""
+    """summaries() of clusters without a feature, numbered ORPHAN_001 on by their first row (``order``: unique whole numbers), with the median mass."""
     groups = rows.groupBy(cluster).agg(F.median(mass).alias("feature_mz"), F.min(order).alias("_first"))
-    numbers = groups.withColumn("_i", F.row_number().over(Window.orderBy("_first")))
+    numbers = labels.numbered(groups, "_first", F.lit(1), "_i")
     named = numbers.select(cluster, "feature_mz", F.concat(F.lit("ORPHAN_"), F.when(F.col("_i") < 1000, F.lpad(F.col("_i").cast("string"), 3, "0")).otherwise(F.col("_i").cast("string"))).alias("feature_id"))
     return summaries(rows, [cluster], order, False).join(named, cluster)
 
