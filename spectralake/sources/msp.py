@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 NUMBER = r"[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?"
 PEAK = rf"^\s*({NUMBER})\s+({NUMBER})(?:\s+(.*))?$"
+#: Blanks, tabs and page breaks before a peak.
+BLANK = " \t\x0b\f"
 
 
 def _lines(block: Column) -> Column:
@@ -39,19 +41,28 @@ def headers(blocks: DataFrame, column: str = "value") -> DataFrame:
     return out.where("precursor_mz is not null")
 
 
-def _peak(line: Column) -> Column:
-    """mz, intensity, name, type, required_group, weight: labels in quotes are name and type, or a JSON object of all."""
-    rest = F.trim(F.regexp_extract(line, PEAK, 3))
-    quoted = F.regexp_extract_all(rest, F.lit('"([^"]*)"'), F.lit(1))
-    inner = F.when(rest.startswith('"') & rest.endswith('"') & (F.length(rest) >= 2), F.substring(rest, 2, F.length(rest) - 2)).otherwise(rest)
-    json = F.when(F.ltrim(inner).startswith("{"), F.from_json(inner, "name string, type string, required_group string, weight double"))
-    two = F.size(quoted) >= 2
-    label = F.when(two, F.get(quoted, F.lit(0))).otherwise(F.when(F.size(quoted) == 1, F.get(quoted, F.lit(0))).otherwise(rest))
-    kind = F.when(two & (F.get(quoted, F.lit(1)) != ""), F.get(quoted, F.lit(1))).otherwise("Common")
-    return F.struct(
-        F.regexp_extract(line, PEAK, 1).cast("double").alias("mz"), F.regexp_extract(line, PEAK, 2).cast("double").alias("intensity"), F.coalesce(json["name"], label).alias("name"), F.coalesce(json["type"], kind).alias("type"),
-        F.nullif(json["required_group"], F.lit("")).alias("required_group"), F.coalesce(json["weight"], F.lit(1.0)).alias("weight"),
-    )
+def _peaks(lines: Column) -> Column:
+    """Peak lines as mz, intensity, name, type, required_group, weight: labels in quotes are name and type, or a JSON object of all.
+
+    Each transform binds what the next one uses more than once, so a line is split, looked through for quotes and read as JSON once.
+    """
+    none = F.array().cast("array<string>")
+    parts = F.transform(lines, lambda x: F.split(F.trim(x, F.lit(BLANK)), r"\s+", 3))
+    rests = F.transform(parts, lambda p: F.struct(F.get(p, F.lit(0)).cast("double").alias("mz"), F.get(p, F.lit(1)).cast("double").alias("intensity"), F.trim(F.coalesce(F.get(p, F.lit(2)), F.lit(""))).alias("rest")))
+    whole = lambda r: r.startswith('"') & r.endswith('"') & (F.length(r) >= 2)
+    looked = F.transform(rests, lambda p: F.struct(
+        p["mz"].alias("mz"), p["intensity"].alias("intensity"), p["rest"].alias("rest"), F.when(F.contains(p["rest"], F.lit('"')), F.regexp_extract_all(p["rest"], F.lit('"([^"]*)"'), F.lit(1))).otherwise(none).alias("quoted"),
+        F.when(whole(p["rest"]), F.substring(p["rest"], 2, F.length(p["rest"]) - 2)).otherwise(p["rest"]).alias("inner"),
+    ))
+    known = F.transform(looked, lambda p: F.struct(
+        p["mz"].alias("mz"), p["intensity"].alias("intensity"), p["rest"].alias("rest"), p["quoted"].alias("quoted"), F.when(F.ltrim(p["inner"]).startswith("{"), F.from_json(p["inner"], "name string, type string, required_group string, weight double")).alias("json"),
+    ))
+    label = lambda p: F.coalesce(F.get(p["quoted"], F.lit(0)), p["rest"])
+    kind = lambda p: F.coalesce(F.nullif(F.get(p["quoted"], F.lit(1)), F.lit("")), F.lit("Common"))
+    return F.transform(known, lambda p: F.struct(
+        p["mz"].alias("mz"), p["intensity"].alias("intensity"), F.coalesce(p["json"]["name"], label(p)).alias("name"), F.coalesce(p["json"]["type"], kind(p)).alias("type"),
+        F.nullif(p["json"]["required_group"], F.lit("")).alias("required_group"), F.coalesce(p["json"]["weight"], F.lit(1.0)).alias("weight"),
+    ))
 
 
 def records(blocks: DataFrame, column: str = "value") -> DataFrame:
@@ -59,7 +70,7 @@ def records(blocks: DataFrame, column: str = "value") -> DataFrame:
     lines = F.filter(F.slice(_lines(F.concat(F.lit("-\n"), F.coalesce("_rest", F.lit("")))), 2, 1 << 30), lambda x: x.rlike(PEAK))
     # the number of peaks stands on the first line
     body = F.when(F.regexp_extract(F.col("_rest"), r"^([^\n]*)", 1).rlike(r"^\s*\d+\s*$"), F.filter(lines, lambda x: ~x.rlike(r"^\d+$"))).otherwise(lines)
-    return headers(blocks, column).withColumn("fragments", F.transform(body, _peak)).drop("_rest")
+    return headers(blocks, column).withColumn("fragments", _peaks(body)).drop("_rest")
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
