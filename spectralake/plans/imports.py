@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from spectralake.operators import annotate
 from spectralake.operators.filters import allowed
 from spectralake.functions import labels, names
-from spectralake.plans.bases import CANDIDATES, candidates
+from spectralake.plans.bases import CANDIDATES, candidates, first_candidates
 from spectralake.session import table
 from spectralake.sources import library, tables
 
@@ -72,7 +72,7 @@ def series_input(spark: SparkSession, d: str) -> DataFrame:
 
 def final_features(spark: SparkSession, d: str) -> DataFrame:
     """A table of features with one area column for each sample: the aligned one, else the feature's own of its sample."""
-    rows = candidates(spark, d).where("ord = 1").dropDuplicates(["spectrum"]).select("spectrum", F.when(F.col("spectrum") % 3 > 0, F.lit("A")).alias("aligned"), F.col("source_file"), F.lit(1.0).alias("x"), F.when(F.col("spectrum") % 2 == 0, F.col("spectrum") * 1.0).alias("s0.mzML"), F.when(F.col("spectrum") % 5 == 0, F.col("spectrum") * 2.0).alias("s1.mzML"))
+    rows = first_candidates(spark, d).select("spectrum", F.when(F.col("spectrum") % 3 > 0, F.lit("A")).alias("aligned"), F.col("source_file"), F.lit(1.0).alias("x"), F.when(F.col("spectrum") % 2 == 0, F.col("spectrum") * 1.0).alias("s0.mzML"), F.when(F.col("spectrum") % 5 == 0, F.col("spectrum") * 2.0).alias("s1.mzML"))
     return annotate.measured_areas(rows.drop("x").withColumn("own_area", F.col("spectrum") * 3.0), ["s0.mzML", "s1.mzML"]).select("spectrum", F.col("`s0.mzML`").alias("s0"), F.col("`s1.mzML`").alias("s1"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spectralake.operators import annotate, associate, graphs
-from spectralake.plans.bases import CANDIDATES, candidates
+from spectralake.plans.bases import CANDIDATES, candidates, first_candidates
 from spectralake.session import table
 
 _MIN = "epoch_us(ts)::DOUBLE / 6e7"
@@ -121,8 +121,8 @@ def alignment_ids(spark: SparkSession, d: str) -> DataFrame:
     members = table(spark, d, "customer").where("c_custkey % 5 > 0").select(F.col("c_custkey").alias("native"), F.col("c_nationkey").alias("consensus"))
     groups = table(spark, d, "nation").select(F.col("n_nationkey").alias("consensus"), F.col("n_name").alias("aligned_id"))
     out = associate.checked_left(associate.checked_left(native, members, ["native"]), groups, ["consensus"])
-    audit = candidates(spark, d).where("ord = 1").select(F.col("spectrum").alias("o_orderkey"), "matched_name")
-    return associate.checked_left(out, audit.dropDuplicates(["o_orderkey"]), ["o_orderkey"], True).select("o_orderkey", "native", "aligned_id", "matched_name")
+    audit = first_candidates(spark, d).select(F.col("spectrum").alias("o_orderkey"), "matched_name")
+    return associate.checked_left(out, audit, ["o_orderkey"], True).select("o_orderkey", "native", "aligned_id", "matched_name")
 
 
 def detector_tables(spark: SparkSession, d: str) -> DataFrame:
