@@ -43,7 +43,7 @@ def openms_import(spark: SparkSession, d: str) -> DataFrame:
 
 
 def asari_import(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "part").select(F.col("p_partkey").alias("_ord"), F.concat(F.lit("F"), 5000 - F.col("p_partkey")).alias("id_number"), F.col("p_partkey").alias("key"), _text(F.col("p_size") * 7 + 10.1371).alias("rtime"), _text(F.col("p_size") * 7 + 1.1371).alias("rtime_left_base"))
+    rows = table(spark, d, "part").select(F.col("p_partkey").alias("_ord"), F.concat(F.lit("F"), 1_000_000_000_000 - F.col("p_partkey")).alias("id_number"), F.col("p_partkey").alias("key"), _text(F.col("p_size") * 7 + 10.1371).alias("rtime"), _text(F.col("p_size") * 7 + 1.1371).alias("rtime_left_base"))
     return tables.asari(rows).select("key", "Feature_ID", "RT", "RTmin", "RT_unit")
 
 
