@@ -57,7 +57,7 @@ def isotope_requests(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").select("event_id", "user_id", "event_type", "value", F.unix_micros(F.col("ts").cast("timestamp")).alias("ord"))
     scans = e.where("event_type = 'purchase'").select(F.col("user_id").alias("file"), F.col("event_id").alias("scan"), F.col("value").alias("scan_mz"), (F.col("event_id") * 0.1).alias("scan_rt"), "ord")
     surveys = e.where("event_type = 'view'").select(F.col("user_id").alias("file"), F.col("event_id").alias("survey"), "ord")
-    asked = e.where("event_type in ('purchase', 'click')").select(F.col("event_id").alias("key"), F.col("user_id").alias("file"), F.col("event_id").alias("scan"), (F.col("value") * F.when(F.col("event_id") % 7 == 0, 1.01).otherwise(1.0)).alias("mz"), (F.col("event_id") * 0.1 + F.when(F.col("event_id") % 11 == 0, 1.0).otherwise(0.0)).alias("rt"))
+    asked = e.where("event_type in ('purchase', 'click')").select(F.col("event_id").alias("key"), F.col("user_id").alias("file"), F.col("event_id").alias("scan"), (F.col("value") + F.when(F.col("event_id") % 7 == 0, F.col("value") * 0.01 + 1).otherwise(0.0)).alias("mz"), (F.col("event_id") * 0.1 + F.when(F.col("event_id") % 11 == 0, 1.0).otherwise(0.0)).alias("rt"))
     return gates.isotope_requests(asked.unionByName(asked), scans, surveys).select("key", "status", "survey")
 
 
