@@ -28,6 +28,18 @@ def interval_join(probe: DataFrame, build: DataFrame, low: Column, high: Column,
     return out.where(F.col("_value").between(F.col("_low"), F.col("_high"))).drop("_bin", "_low", "_high", "_value")
 
 
+def near_masses(probe: DataFrame, build: DataFrame, mass: Column, value: Column, ppm: float, on: list[str] | None = None) -> DataFrame:
+    """Rows of probe with the rows of build whose ``value`` lies within ppm of ``mass``, by bins on a logarithmic axis.
+
+    A tolerance in ppm touches two or three bins there whatever the mass; bins of one width would be many for heavy masses.
+    """
+    axis = lambda x: F.signum(x) * F.log1p(F.abs(x))
+    left, right = probe.withColumn("_mass", mass), build.withColumn("_near", value)
+    tol, slack = F.abs("_mass") * ppm * 1e-6, 1e-9
+    out = interval_join(left, right, axis(F.col("_mass") - tol) - slack, axis(F.col("_mass") + tol) + slack, axis(F.col("_near")), max(2e-6 * ppm, 1e-8), on=on)
+    return out.where(F.col("_near").between(F.col("_mass") - tol, F.col("_mass") + tol)).drop("_mass", "_near")
+
+
 def mass_candidates(features: DataFrame, library: DataFrame, mz: str, theoretical: str, ppm: float, width: float = 0.05, on: list[str] | None = None) -> DataFrame:
     """Candidates within ppm of the theoretical mass (and equal in ``on``, such as the polarity), with the signed error ``ppm_error``."""
     f = ppm * 1e-6

@@ -93,7 +93,7 @@ def eic_traces(spark: SparkSession, d: str) -> DataFrame:
     q = table(spark, d, "supplier").select(F.col("s_suppkey").alias("query"), (F.col("s_suppkey") % 10).alias("file"), (F.col("s_suppkey") * 10.0).alias("mz"))
     start = e.agg(F.min("rt").alias("t0"))
     q = q.crossJoin(F.broadcast(start)).select("query", "file", "mz", (F.col("t0") + F.col("query") * 100).alias("rt_low"), (F.col("t0") + F.col("query") * 100 + 3000).alias("rt_high"))
-    return associate.traces(q, scans, peaks, 20_000.0, 3000.0, 5.0).select("query", "scan", "intensity")
+    return associate.traces(q, scans, peaks, 20_000.0, 3000.0).select("query", "scan", "intensity")
 
 
 def eic_apex(spark: SparkSession, d: str) -> DataFrame:
