@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spectralake.operators import annotate, graphs, ranking
+from spectralake.operators import annotate, graphs, joins, ranking
 from spectralake.plans.bases import CANDIDATES, candidates
 from spectralake.session import table
 
@@ -117,7 +117,8 @@ def matched_sums(spark: SparkSession, d: str) -> DataFrame:
 def graph_components(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "customer").where("c_mktsegment <> 'BUILDING'")
     # paths: each customer is tied to the next of the same nation whose key is at most 90 larger
-    edges = c.alias("a").join(c.alias("b"), "c_nationkey").where("b.c_custkey > a.c_custkey and b.c_custkey - a.c_custkey <= 30").select(F.col("a.c_custkey").alias("x"), F.col("b.c_custkey").alias("y"))
+    ends = [c.select("c_nationkey", F.col("c_custkey").alias(n)) for n in ("x", "y")]
+    edges = joins.interval_join(*ends, F.col("x") + 1, F.col("x") + 30, F.col("y"), 30, on=["c_nationkey"])
     return graphs.components(edges, "x", "y")
 
 
