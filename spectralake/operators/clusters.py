@@ -50,16 +50,26 @@ def cohorts(rows: DataFrame, ppm: float = 10.0, minutes: float = 0.1) -> DataFra
 
     Rows: mode, source, scan, mz, rt, peak. In order of mass a spectrum joins, of the open groups whose masses and times stay within
     bounds and whose recorded peak of its sample is its own, the one with the nearest middle; else it opens one.
+
+    Spectra of one source, mass, time and recorded peak go the same way: whatever a group that one of them could join has taken in
+    between lies at the same place, so the chosen group stays the nearest. Without a recorded peak that holds until the next peak of the
+    place comes first. Only one spectrum of each such unit goes through the kernel.
     """
     axis, width = _ppm_axis(F.col("mz"), ppm)
     once = rows.where("mz > 0 and rt is not null and not isnan(rt)").groupBy("mode", "source", "scan").agg(F.min(F.struct("mz", "rt", "peak")).alias("_f")).select("mode", "source", "scan", "_f.*")
-    placed = with_stretch(once, ["mode"], axis, width)
+    spot = ["mode", "mz", "rt", "source"]
+    named = once.withColumn("peak", F.coalesce("peak", F.lit("")))
+    first = (F.row_number().over(Window.partitionBy(*spot, "peak").orderBy(F.asc_nulls_last("scan"))) == 1) & (F.col("peak") != "")
+    turn = F.sum(F.col("_first").cast("int")).over(Window.partitionBy(*spot).orderBy(F.asc_nulls_last("scan")).rowsBetween(Window.unboundedPreceding, 0))
+    marked = named.withColumn("_first", first).withColumn("turn", F.when(F.col("peak") == "", turn).otherwise(0)).drop("_first")
+    unit = [*spot, "peak", "turn"]
+    placed = with_stretch(marked.groupBy(*unit).agg(F.min("scan").alias("scan")), ["mode"], axis, width)
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["mz", "rt", "source", "scan"], kind="stable").reset_index(drop=True)
         mz, rt = pdf["mz"].to_numpy(float), pdf["rt"].to_numpy(float)
         sample = pdf["source"].astype(str).str.rsplit("/", n=1).str[-1].str.casefold().to_numpy()
-        peak = pdf["peak"].fillna("").to_numpy()
+        peak = pdf["peak"].to_numpy()
         # groups in the order of their first masses: first mass, least and largest time; recorded peaks by group and sample
         heads, times, held = np.empty(len(pdf)), np.empty((2, len(pdf))), {}
         group, made, still = np.empty(len(pdf), np.int64), 0, 0
@@ -81,7 +91,9 @@ def cohorts(rows: DataFrame, ppm: float = 10.0, minutes: float = 0.1) -> DataFra
             group[i] = at
         return pdf.assign(cohort=[f"{pdf['mode'].iloc[0]}|{pdf['stretch'].iloc[0]}|{g}" for g in group])
 
-    return _grouped(placed, ["mode", "stretch"], ["mode", "source", "scan"], kernel, "cohort string")
+    found = _grouped(placed, ["mode", "stretch"], unit, kernel, "cohort string")
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in unit]
+    return marked.alias("a").join(found.alias("b"), same).select("a.mode", "a.source", "a.scan", "b.cohort")
 
 
 def leaders(rows: DataFrame, keys: list[str], order: str, ppm: float = 10.0, minutes: float = 0.5) -> DataFrame:
