@@ -142,31 +142,36 @@ def consensus_groups(rows: DataFrame, ppm: float = 10.0, seconds: float = 15.0)
         mz, rt, sample, charge = (pdf[c].to_numpy() for c in ("mz", "rt", "sample", "charge"))
         factor = 1 + ppm * 1e-6
         lo, hi = np.searchsorted(mz, mz / factor, "left"), np.searchsorted(mz, mz * factor, "right")
+        others, code = np.unique(sample, return_inverse=True)
+        own = [rows[np.argsort(rt[rows], kind="stable")] for rows in (np.flatnonzero(code == k) for k in range(len(others)))]
+        times = [rt[rows] for rows in own]
+
+        def around(i: int, k: int, within: float) -> np.ndarray:
+            """Peaks of sample ``k`` near peak ``i`` in mass and time, in order."""
+            rows = own[k][np.searchsorted(times[k], rt[i] - within, "left") : np.searchsorted(times[k], rt[i] + within, "right")]
+            return np.sort(rows[(rows >= lo[i]) & (rows < hi[i])])
+
         limit = np.full(len(pdf), seconds)
         for i in range(len(pdf)):
-            near = np.arange(lo[i], hi[i])
-            off = np.abs(rt[near] - rt[i])[(sample[near] == sample[i])]
+            off = np.abs(rt[around(i, code[i], seconds / 0.45 * 1.001)] - rt[i])
             off = off[off > 1e-6]
             if len(off):
                 limit[i] = min(seconds, 0.45 * off.min())
         free, names = np.ones(len(pdf), bool), np.full(len(pdf), -1)
-        others = sorted(set(sample))
-        for seed in sorted(range(len(pdf)), key=lambda i: (sample[i] != pdf["reference"].iloc[0], sample[i], mz[i], rt[i])):
+        for seed in np.lexsort((rt, mz, code, sample != pdf["reference"].iloc[0])):
             if not free[seed]:
                 continue
             members = [seed]
             free[seed], names[seed] = False, seed
-            for other in others:
-                if other == sample[seed]:
+            for other in range(len(others)):
+                if other == code[seed]:
                     continue
-                fits = [
-                    c
-                    for c in range(lo[seed], hi[seed])
-                    if free[c] and sample[c] == other
-                    and all(abs(rt[c] - rt[m]) <= min(limit[c], limit[m]) and abs(mz[c] - mz[m]) / min(mz[c], mz[m]) * 1e6 <= ppm and (charge[c] == charge[m] or 0 in (charge[c], charge[m])) for m in members)
-                ]
-                if fits:
-                    one = min(fits, key=lambda c: (abs(rt[c] - rt[seed]), abs(mz[c] - mz[seed])))
+                c = around(seed, other, seconds * 1.001)
+                c = c[free[c]]
+                for m in members:
+                    c = c[(np.abs(rt[c] - rt[m]) <= np.minimum(limit[c], limit[m])) & (np.abs(mz[c] - mz[m]) / np.minimum(mz[c], mz[m]) * 1e6 <= ppm) & ((charge[c] == charge[m]) | (charge[c] == 0) | (charge[m] == 0))]
+                if len(c):
+                    one = c[np.lexsort((np.abs(mz[c] - mz[seed]), np.abs(rt[c] - rt[seed])))[0]]
                     members.append(one)
                     free[one], names[one] = False, seed
         stretch = pdf["stretch"].iloc[0]
