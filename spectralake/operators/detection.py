@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from spectralake.functions import chroma
 from spectralake.operators.clusters import with_stretch
 from spectralake.operators.joins import interval_join
+from spectralake.session import reliable
 
 #: Mass of a 13C isotope over 12C; consecutive scans without a peak that end a trace.
 ISOTOPE, MISSED = 1.00335483507, 5
@@ -134,14 +135,17 @@ def isotopes(rows: DataFrame, key: str, ppm: float = 10.0, seconds: float = 8.0,
     light = rows.select("file", F.col(key).alias("parent"), F.col("mz").alias("m0"), F.col("rt").alias("t0"), F.col("rt_min").alias("a0"), F.col("rt_max").alias("b0"), F.col("height").alias("h0"), step.alias("s")).select("*", "s.z", (F.col("m0") + F.col("s.d")).alias("at")).drop("s")
     heavy = rows.select("file", F.col(key).alias("child"), F.col("mz").alias("m1"), F.col("rt").alias("t1"), F.col("rt_min").alias("a1"), F.col("rt_max").alias("b1"), F.col("height").alias("h1"))
     width = F.col("at") * ppm * 1e-6
-    near = interval_join(light, heavy, F.col("at") - width, F.col("at") + width, F.col("m1"), 0.05, on=["file"])
+    # tables that compress well look small enough to broadcast, and pass through the driver then: segments are shuffled on both sides
+    near = interval_join(light, heavy.hint("merge"), F.col("at") - width, F.col("at") + width, F.col("m1"), 0.05, on=["file"])
     fits = (F.abs(F.col("t0") - F.col("t1")) <= seconds) & (F.col("a0") <= F.col("b1")) & (F.col("a1") <= F.col("b0")) & (F.col("h1") <= F.col("h0"))
     best = F.min_by(F.struct("parent", "z"), F.struct((-F.col("z")).alias("z"), (-F.col("h0")).alias("h"), F.abs(F.col("t0") - F.col("t1")).alias("t"), F.col("parent").alias("p")))
     link = near.where(fits).groupBy("file", "child").agg(best.alias("b")).select("file", "child", F.col("b.parent").alias("parent"), F.col("b.z").alias("z"))
+    reliable(rows.sparkSession)
+    link = link.checkpoint()
     # a chain goes on only with the charge that it began with
-    at = rows.select("file", F.col(key).alias("key")).join(link.withColumnRenamed("child", "key"), ["file", "key"], "left")
+    at = rows.select("file", F.col(key).alias("key")).join(link.withColumnRenamed("child", "key").hint("merge"), ["file", "key"], "left")
     at = at.select("file", "key", F.coalesce("parent", "key").alias("feature"), F.coalesce("z", F.lit(0)).alias("charge"), F.when(F.col("parent").isNotNull(), 1).otherwise(0).alias("place"))
-    up = link.select("file", F.col("child").alias("feature"), F.col("parent").alias("_up"), F.col("z").alias("_z"))
+    up = link.select("file", F.col("child").alias("feature"), F.col("parent").alias("_up"), F.col("z").alias("_z")).hint("merge")
     for _ in range(steps - 1):
         moved = at.join(up, ["file", "feature"], "left")
         goes = F.col("_up").isNotNull() & (F.col("_z") == F.col("charge")) & (F.col("place") > 0)
