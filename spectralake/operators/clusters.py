@@ -187,30 +187,32 @@ def queries(rows: DataFrame, keys: list[str], ppm: float = 10.0, gap: float = 0.
     Both steps are anchor clusters; the mass step runs on the occupied stretches of each file.
     """
     axis, width = _ppm_axis(F.col("mz"), ppm)
-    placed = with_stretch(rows.where("mz > 0 and seed >= 0"), keys, axis, width)
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    used = rows.where("mz > 0 and seed >= 0")
+    spot = [*keys, "mz", "seed"]
+    # spectra at one place are in one block: the kernel gets the places, Spark gathers the spectra
+    placed = with_stretch(used.select(*spot).distinct(), keys, axis, width)
 
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        ordered = pdf.sort_values(["mz", "seed", "scan"], kind="stable")
+    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["mz", "seed"], kind="stable")
         starts, first = [], None
-        for m in ordered["mz"]:
+        for m in pdf["mz"]:
             if first is None or m - first > m * ppm * 1e-6:
                 first = m
             starts.append(first)
-        for _, near in ordered.assign(_g=starts).groupby("_g", sort=True):
-            near = near.sort_values(["seed", "scan"], kind="stable")
-            blocks, first = [], None
-            for s in near["seed"]:
-                if first is None or s - first > gap:
-                    first = s
-                blocks.append(first)
-            for _, block in near.assign(_b=blocks).groupby("_b", sort=True):
-                out.append((*(pdf[k].iloc[0] for k in keys), float(np.median(block["mz"])), max(0.0, float(block["seed"].iloc[0]) - pad), float(block["seed"].iloc[-1]) + pad, block["scan"].tolist()))
-        return pd.DataFrame(out, columns=[*keys, "mz", "lower", "upper", "scans"])
-
-    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), f"mz double, lower double, upper double, scans array<{kinds['scan']}>"])
-    return placed.groupBy(*keys, "stretch").applyInPandas(work, schema)
+        pdf = pdf.assign(_g=starts).sort_values(["_g", "seed"], kind="stable")
+        blocks, first, group = [], None, None
+        for g, s in zip(pdf["_g"], pdf["seed"], strict=True):
+            if g != group or s - first > gap:
+                group, first = g, s
+            blocks.append(f"{g!r}|{first!r}")
+        return pdf.assign(block=blocks)
+
+    found = _grouped(placed, [*keys, "stretch"], spot, kernel, "block string")
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in spot]
+    members = used.alias("a").join(found.alias("b"), same).select("a.*", "b.block")
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("seed", "scan"))), lambda x: x["scan"])
+    out = members.groupBy(*keys, "block").agg(F.median("mz").alias("mz"), F.greatest(F.lit(0.0), F.min("seed") - pad).alias("lower"), (F.max("seed") + pad).alias("upper"), listed.alias("scans"))
+    return out.drop("block")
 
 
 def with_context(asked: DataFrame, native: DataFrame, keys: list[str], ppm: float = 10.0, width: float = 0.1) -> DataFrame:
