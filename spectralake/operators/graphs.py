@@ -23,15 +23,18 @@ def ion_relations(rows: DataFrame, key: str, mode: str, ppm: float = 5.0, rt_min
     """Pairs of features that may be two ions of one molecule: rows have ``key``, mz, rt and samples (array of those they are found in).
 
     For each pair of ion forms the heavier must lie within ppm of the neutral mass of where the lighter one puts it, the times
-    must agree and a sample must have both. Self-join on mass bins.
+    must agree and a sample must have both. Self-join on bins of mass and time, shuffled on both sides: the driver holds no side.
     """
     forms = sorted(ION_MASSES[mode].items(), key=lambda x: x[1])
     pairs = F.array(*[F.struct(F.lit(a).alias("ion_a"), F.lit(b).alias("ion_b"), F.lit(m).alias("m_a"), F.lit(n).alias("m_b")) for i, (a, m) in enumerate(forms) for b, n in forms[i + 1 :]])
-    left = rows.select(F.col(key).alias("feature_a"), F.col("mz").alias("mz_a"), F.col("rt").alias("rt_a"), F.array_distinct("samples").alias("s_a"), F.explode(pairs).alias("f")).select("*", "f.*").drop("f")
-    right = rows.select(F.col(key).alias("feature_b"), F.col("mz").alias("mz_b"), F.col("rt").alias("rt_b"), F.array_distinct("samples").alias("s_b"))
+    step = max(2 * rt_minutes, 1e-6)
+    times = F.sequence(F.floor((F.col("rt") - rt_minutes) / step - 1e-6), F.floor((F.col("rt") + rt_minutes) / step + 1e-6))
+    left = rows.select(F.col(key).alias("feature_a"), F.explode(times).alias("_t"), "mz", "rt", "samples")
+    left = left.select("feature_a", "_t", F.col("mz").alias("mz_a"), F.col("rt").alias("rt_a"), F.array_distinct("samples").alias("s_a"), F.explode(pairs).alias("f")).select("*", "f.*").drop("f")
+    right = rows.select(F.col(key).alias("feature_b"), F.floor(F.col("rt") / step).alias("_t"), F.col("mz").alias("mz_b"), F.col("rt").alias("rt_b"), F.array_distinct("samples").alias("s_b"))
     neutral = F.col("mz_a") - F.col("m_a")
     target, tol = F.col("mz_a") + (F.col("m_b") - F.col("m_a")), neutral * ppm * 1e-6
-    near = interval_join(left.where(neutral > 0), right, target - tol, target + tol, F.col("mz_b"), width)
+    near = interval_join(left.where(neutral > 0), right.hint("merge"), target - tol, target + tol, F.col("mz_b"), width, on=["_t"])
     shared = F.size(F.array_intersect("s_a", "s_b")).cast("long")
     near = near.where((F.col("feature_a") != F.col("feature_b")) & (F.abs(F.col("rt_a") - F.col("rt_b")) <= rt_minutes) & (shared > 0))
     return near.select(
