@@ -2,7 +2,7 @@
 
 Spectra go to the bin of their precursor, library records to every bin that a window around them touches, so a spectrum meets all its
 candidates in one place and nothing is joined pair by pair. A bin with more than CROWD spectra is dealt to several groups, each of
-which gets the bin's records.
+which gets the bin's records. Copies, which differ in their number or name alone, are prepared and searched once.
 """
 
 from __future__ import annotations
@@ -11,14 +11,17 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spectralake.functions import rulebook
 from spectralake.functions import spectra as kernels
 from spectralake.operators import programs, routing
+from spectralake.session import reliable
 
 BIN, FINE, CROWD = 1.0, 0.01, 4000
+#: What decides the result of a spectrum, and of a library record.
+SPECTRUM, RECORD = ["precursor_mz", "mz", "intensity"], ["compound_class", "lipid_name", "chain_name", "adduct", "precursor_mz", "chains", "fragments"]
 RESULT = """spectrum string, record_id long, compound_class string, matched_name string, library_species_name string, adduct string, precursor_mz double, ppm_error double, result_rank int, result_rank_scope string,
     final_score double, normalized_match_score double, ppm_score double, resolution_level string, downgrade_reason string, matched_fragment_count int, matched_fragments string, matched_intensity_sum double,
     matched_relative_intensity_sum double, fah_score double, hg_score double, other_score double"""
@@ -152,6 +155,15 @@ def with_evidence(library: DataFrame, rules: DataFrame | None = None) -> DataFra
     return programs.compiled(rows, rules, "_rule", "_series", "_lib", halved).drop("_rule", "_series", "_lib")
 
 
+def _digest(*parts: Column | str) -> Column:
+    return F.sha2(F.to_json(F.struct(*parts), {"ignoreNullFields": "false"}), 256)
+
+
+def _single() -> Column:
+    """Free acids and amides, whose rows are not collapsed by species."""
+    return F.upper(F.regexp_replace("compound_class", "[^A-Za-z0-9]", "")).isin("FA", "NAE")
+
+
 def signature() -> Column:
     """What decides the result of a library record (after ``with_evidence``) for a spectrum without a peak near any of its chain fragments.
 
@@ -165,20 +177,25 @@ def signature() -> Column:
     ruled = F.col("program").isNotNull()
     often = F.array_sort(F.transform(F.array_distinct(chains), lambda c: F.size(F.filter(chains, lambda x: x == c))))
     placed = F.transform("fragments", lambda f, i: F.struct(F.when(ruled, i).alias("place"), *[f[c].alias(c) for c in ("mz", "name", "type", "pool")], F.coalesce(f["chain"], F.lit("")).alias("chain")))
-    parts = F.struct(
+    parts = (
         F.col("compound_class").alias("a"), F.col("adduct").alias("b"), F.col("lipid_name").alias("c"), often.alias("d"), F.array_sort(F.transform("fragments", lambda f: f["pool"])).alias("e"),
         F.filter(placed, lambda f: f["chain"] == "").alias("f"), F.col("program").alias("g"), F.when(ruled, F.col("chain_name")).alias("h"),
     )
-    single = F.upper(F.regexp_replace("compound_class", "[^A-Za-z0-9]", "")).isin("FA", "NAE") | F.exists(chains, lambda c: c.isNull() | (c == ""))
-    return F.when(~single, F.sha2(F.to_json(parts, {"ignoreNullFields": "false"}), 256))
+    single = _single() | F.exists(chains, lambda c: c.isNull() | (c == ""))
+    return F.when(~single, _digest(*parts))
 
 
 def equivalence_classes(library: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     """record_id, signature, and the first record_id and number of records of its class (the record alone where the signature is null)."""
-    rows = with_evidence(library, rules).select("record_id", signature().alias("signature"))
+    rows = library.select("record_id", *RECORD).withColumn("_same", _digest(*RECORD))
+    # copies are routed and compiled once
+    once = rows.groupBy("_same").agg(F.first(F.struct(*RECORD)).alias("_r"), F.min("record_id").alias("_first"), F.count("*").alias("_n")).select("_same", "_first", "_n", "_r.*")
+    reliable(library.sparkSession)
+    signed = with_evidence(once, rules).select("_same", "_first", "_n", signature().alias("signature")).checkpoint()
     # null signatures stay out of the grouping, and classes are counted before they are joined back
-    sizes = rows.where("signature is not null").groupBy("signature").agg(F.min("record_id").alias("_first"), F.count("*").alias("_n"))
-    out = rows.join(sizes, "signature", "left")
+    sizes = signed.where("signature is not null").groupBy("signature").agg(F.min("_first").alias("_first"), F.sum("_n").alias("_n"))
+    classes = signed.select("_same", "signature").join(sizes, "signature", "left")
+    out = rows.select("record_id", "_same").join(classes, "_same")
     return out.select("record_id", "signature", F.coalesce("_first", "record_id").alias("first_record"), F.coalesce("_n", F.lit(1)).cast("long").alias("n_records"))
 
 
@@ -191,15 +208,22 @@ def search(spectra: DataFrame, library: DataFrame, precursor_ppm: float = 5.0, f
     of records that must score alike (``signature``) the first, which holds their place, and the nearest, which is reported; rows are the same without.
     """
     columns = [c.strip().split()[0] for c in RESULT.split(",")]
-    asked = spectra.where("precursor_mz > 0").withColumn("bin", F.floor(F.col("precursor_mz") / BIN))
+    # spectra of equal peaks have equal results: one of them is searched, under their digest
+    named = spectra.where("precursor_mz > 0").select("spectrum", *SPECTRUM).withColumn("same", _digest(*SPECTRUM))
+    reliable(spectra.sparkSession)
+    asked = named.select("same", *SPECTRUM).dropDuplicates(["same"]).withColumn("bin", F.floor(F.col("precursor_mz") / BIN)).checkpoint()
     crowds = asked.groupBy("bin").agg(F.ceil(F.count("*") / CROWD).cast("int").alias("deals"))
-    dealt = asked.join(crowds, "bin").withColumn("deal", F.pmod(F.xxhash64("spectrum"), "deals").cast("int")).drop("deals")
+    dealt = asked.join(crowds, "bin").withColumn("deal", F.pmod(F.xxhash64("same"), "deals").cast("int")).drop("deals")
     reach = F.col("precursor_mz") * precursor_ppm * 1e-6 * 1.01
     # records that no window touches, told by fine bins, stay out of the shuffle and of Python
     width = F.col("precursor_mz") * precursor_ppm * 1e-6 * 1.01
     touched = asked.select(F.explode(F.sequence(F.floor((F.col("precursor_mz") - width) / FINE), F.floor((F.col("precursor_mz") + width) / FINE))).alias("fine")).distinct()
+    near = library.select("record_id", *RECORD).withColumn("fine", F.floor(F.col("precursor_mz") / FINE)).join(touched, "fine", "left_semi").drop("fine")
+    # of equal records the first is reported, and of free acids and amides, which are ranked one by one, the first ``top``
+    copies = near.withColumn("_n", F.row_number().over(Window.partitionBy(_digest(*RECORD)).orderBy("record_id")))
+    near = copies.where(F.col("_n") <= max(1, top)).where((F.col("_n") == 1) | _single()).drop("_n")
     # programs are compiled and fragments routed once for each record that is near, before it is spread over bins
-    near = with_evidence(library.withColumn("fine", F.floor(F.col("precursor_mz") / FINE)).join(touched, "fine", "left_semi").drop("fine"), rules)
+    near = with_evidence(near, rules)
     near = near.withColumn("signature", signature() if collapse else F.lit(None).cast("string"))
     spread = near.withColumn("bin", F.explode(F.sequence(F.floor((F.col("precursor_mz") - reach) / BIN), F.floor((F.col("precursor_mz") + reach) / BIN))))
     spread = spread.join(crowds, "bin").withColumn("deal", F.explode(F.sequence(F.lit(0), F.col("deals") - 1))).drop("deals")
@@ -217,7 +241,8 @@ def search(spectra: DataFrame, library: DataFrame, precursor_ppm: float = 5.0, f
             lo, hi = np.searchsorted(masses, s.precursor_mz - width, "left"), np.searchsorted(masses, s.precursor_mz + width, "right")
             if hi > lo:
                 mz, intensity = np.asarray(s.mz, float), np.asarray(s.intensity, float)
-                out += [_row(s.spectrum, s.precursor_mz, mz, intensity, *x) for x in kernels.search(mz, intensity, s.precursor_mz, [records[i] for i in alike.kept(np.sort(mz), s.precursor_mz, masses, lo, hi, fragment_ppm)], fragment_ppm, top, least)]
+                out += [_row(s.same, s.precursor_mz, mz, intensity, *x) for x in kernels.search(mz, intensity, s.precursor_mz, [records[i] for i in alike.kept(np.sort(mz), s.precursor_mz, masses, lo, hi, fragment_ppm)], fragment_ppm, top, least)]
         return pd.DataFrame(out, columns=columns)
 
-    return dealt.groupBy("bin", "deal").cogroup(spread.groupBy("bin", "deal")).applyInPandas(work, RESULT)
+    found = dealt.groupBy("bin", "deal").cogroup(spread.groupBy("bin", "deal")).applyInPandas(work, RESULT)
+    return found.withColumnRenamed("spectrum", "same").join(named.select("spectrum", "same"), "same").select(columns)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from spectralake.functions import rulebook
 from spectralake.operators import search
 from spectralake.plans.bases import CANDIDATES, candidates
-from spectralake.session import table
+from spectralake.session import dealt, table
 
 PROGRAM = [[(0b1011, 2), (0b110000, 1)], [(0b111111, 5)]]
 
@@ -64,7 +64,7 @@ def spectra_of(spark: SparkSession, d: str) -> DataFrame:
     peak = lambda i: (150 + (k * 7 + i * 13) % 400 + i * 0.05).cast("double")
     real = F.filter(F.transform(F.sequence(F.lit(1), F.lit(9)), lambda i: F.when((F.col("c_custkey") + i) % 5 > 0, _struct(mz=peak(i), intensity=(100 + (F.col("c_custkey") * i) % 900).cast("double")))), lambda p: p.isNotNull())
     noise = F.transform(F.sequence(F.lit(1), F.lit(60)), lambda i: _struct(mz=100 + i * 9.7 + F.col("c_custkey") % 3 * 0.2, intensity=(F.col("c_custkey") * i % 40 + 1).cast("double")))
-    rows = table(spark, d, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("spectrum"), (700 + k * 0.1 + 0.0005).alias("precursor_mz"), F.concat(real, noise).alias("p"))
+    rows = dealt(table(spark, d, "customer").select("c_custkey"), "c_custkey").select(F.concat(F.lit("c"), "c_custkey").alias("spectrum"), (700 + k * 0.1 + 0.0005).alias("precursor_mz"), F.concat(real, noise).alias("p"))
     return rows.select("spectrum", "precursor_mz", F.transform("p", lambda p: p["mz"]).alias("mz"), F.transform("p", lambda p: p["intensity"]).alias("intensity"))
 
 
@@ -78,7 +78,7 @@ def library_of(spark: SparkSession, d: str) -> DataFrame:
         pool = F.when(i <= 2, "hg").when(i <= 6, "fah").otherwise("other")
         chain = F.when((i > 2) & (i <= 6), F.when(i % 2 == 0, left).otherwise(right)).otherwise("")
         return _struct(mz=(150 + (k * 7 + i * 13) % 400 + i * 0.05 + F.when((i == 6) & (F.col("p_partkey") >= 900), 0.5).otherwise(0.0)).cast("double"), name=F.concat(F.lit("f"), i.cast("string")), type=F.when(i == 9, "Precursor Ion").when(pool == "hg", "Diagnostic_HG").when(pool == "fah", "Diagnostic_FA").otherwise("Common"), chain=chain)
-    return table(spark, d, "part").select(
+    return dealt(table(spark, d, "part").select("p_partkey"), "p_partkey").select(
         F.col("p_partkey").alias("record_id"), kind.alias("compound_class"), F.concat(kind, F.lit("("), a + b, F.lit(":1)")).alias("lipid_name"), F.concat(kind, F.lit("("), left, F.lit("/"), right, F.lit(")")).alias("chain_name"),
         F.when(F.col("p_partkey") % 6 == 4, "[M-H]-").otherwise("[M+H]+").alias("adduct"), (700 + k * 0.1).alias("precursor_mz"), F.array(left, right).alias("chains"), F.transform(F.sequence(F.lit(1), F.lit(9)), at).alias("fragments"),
     )
