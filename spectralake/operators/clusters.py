@@ -223,14 +223,18 @@ def with_context(asked: DataFrame, native: DataFrame, keys: list[str], ppm: floa
     """
     from spectralake.operators.joins import interval_join
 
+    # equal queries have equal bounds, and intervals of equal place count as one: all meet a query or none, and neighbours are equal
+    places = ["mz", "lower", "upper"]
     tol = F.col("mz") * ppm * 1e-6
-    near = interval_join(asked, native, F.col("mz") - tol, F.col("mz") + tol, F.col("native_mz"), width, on=keys)
-    w = Window.partitionBy(*keys, "query").orderBy("apex", "left", "right")
+    every = native.select(*keys, "native_mz", "apex", "left", "right").distinct()
+    near = interval_join(asked.select(*keys, *places).distinct(), every, F.col("mz") - tol, F.col("mz") + tol, F.col("native_mz"), width, on=keys)
+    near = near.select(*keys, *places, "apex", "left", "right").distinct()
+    w = Window.partitionBy(*keys, *places)
     meets = F.col("apex").between(F.col("lower"), F.col("upper")) | ((F.col("left") <= F.col("upper")) & (F.col("right") >= F.col("lower")))
-    placed = near.withColumn("_i", F.row_number().over(w)).withColumn("_m", meets)
-    bounds = placed.groupBy(*keys, "query").agg(F.min(F.when(F.col("_m"), F.col("_i"))).alias("_a"), F.max(F.when(F.col("_m"), F.col("_i"))).alias("_z"))
-    context = placed.join(bounds, [*keys, "query"]).where(F.col("_i").between(F.col("_a") - 1, F.col("_z") + 1)).groupBy(*keys, "query").agg(F.min("left").alias("_l"), F.max("right").alias("_r"))
+    placed = near.withColumn("_i", F.row_number().over(w.orderBy("apex", "left", "right"))).withColumn("_m", F.when(meets, F.col("_i")))
+    kept = placed.withColumns({"_a": F.min("_m").over(w), "_z": F.max("_m").over(w)}).where(F.col("_i").between(F.col("_a") - 1, F.col("_z") + 1))
+    context = kept.groupBy(*keys, *places).agg(F.min("left").alias("_l"), F.max("right").alias("_r"))
     pad = F.greatest(F.lit(0.05), F.least(F.lit(0.15), 0.1 * (F.col("_r") - F.col("_l"))))
-    out = asked.join(context, [*keys, "query"], "left")
+    out = asked.join(context, [*keys, *places], "left")
     lower = F.least("lower", F.greatest(F.lit(0.0), F.col("_l") - pad))
     return out.withColumn("_lo", F.coalesce(lower, "lower")).withColumn("_hi", F.coalesce(F.greatest("upper", F.col("_r") + pad), "upper")).select(*[c for c in asked.columns if c not in ("lower", "upper")], F.col("_lo").alias("lower"), F.col("_hi").alias("upper"))
