@@ -11,6 +11,7 @@ intensities the peak of the earlier scan, then of the smaller mass, comes first.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,31 +34,43 @@ def grow(scan: np.ndarray, mz: np.ndarray, intensity: np.ndarray, ppm: float, le
     The most intense free peak of at least ``least`` starts a trace; in either direction each scan gives the free peak that is nearest
     to the running intensity-weighted mass, within its tolerance; ``missed`` scans without one end it. Rows are in order of scan and mass.
     """
-    trace = np.full(len(mz), -1, np.int64)
+    n = len(mz)
     scans, starts = np.unique(scan, return_index=True)
-    ends = np.append(starts[1:], len(mz))
-    at = np.searchsorted(scans, scan)
+    ends = np.append(starts[1:], n).tolist()
+    order, at = np.lexsort((mz, scan, -intensity)).tolist(), np.searchsorted(scans, scan).tolist()
+    scans, starts, mz, intensity = scans.tolist(), starts.tolist(), mz.tolist(), intensity.tolist()
+    # from each place the next free one, itself included, to the right and (shifted by one) to the left: equal masses are never passed through one by one
+    right, left = list(range(n + 1)), list(range(n + 1))
+    trace = [-1] * n
+
+    def free(links: list[int], i: int) -> int:
+        while links[i] != i:
+            links[i] = i = links[links[i]]
+        return i
+
     number = 0
-    for seed in np.lexsort((mz, scan, -intensity)):
+    for seed in order:
         if trace[seed] >= 0 or intensity[seed] < least:
             continue
-        trace[seed] = number
+        trace[seed], right[seed], left[seed + 1] = number, seed + 1, seed
         weight, centre = intensity[seed], mz[seed]
         for way in (1, -1):
-            k, last = at[seed] + way, scan[seed]
+            k, last = at[seed] + way, scans[at[seed]]
             while 0 <= k < len(scans) and abs(scans[k] - last) <= missed + 1:
                 width = centre * ppm * 1e-6
-                lo = starts[k] + np.searchsorted(mz[starts[k] : ends[k]], centre - width, "left")
-                hi = starts[k] + np.searchsorted(mz[starts[k] : ends[k]], centre + width, "right")
-                free = lo + np.flatnonzero(trace[lo:hi] < 0)
-                if len(free):
-                    near = free[np.abs(mz[free] - centre).argmin()]
-                    trace[near] = number
+                middle = bisect_left(mz, centre, starts[k], ends[k])
+                above, below = free(right, middle), free(left, middle) - 1
+                near = above if above < ends[k] and mz[above] <= centre + width else -1
+                if below >= starts[k] and mz[below] >= centre - width and (near < 0 or centre - mz[below] <= mz[near] - centre):
+                    # the first of equal masses
+                    near = free(right, bisect_left(mz, mz[below], starts[k], middle))
+                if near >= 0:
+                    trace[near], right[near], left[near + 1] = number, near + 1, near
                     centre = (centre * weight + mz[near] * intensity[near]) / (weight + intensity[near])
                     weight, last = weight + intensity[near], scans[k]
                 k += way
         number += 1
-    return trace
+    return np.array(trace, np.int64)
 
 
 def mass_traces(peaks: DataFrame, ppm: float = 10.0, noise: float = 1000.0, snr: float = 5.0, points: int = 3) -> DataFrame:
