@@ -45,9 +45,11 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     bounded_batches(spark)
-    return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, ids=False)
+    return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, ids=False, kept=KEPT)
 
 
+#: The executor's heap has grown in the stages before, so the encoder's workers remember less than on their own.
+KEPT = 12_000_000
 STAGES = [
     ("quality_rules", quality),
     ("near_dedup", near_duplicates),

@@ -281,9 +281,9 @@ class Decoder:
 class Codec:
     """One vocabulary in one Python worker, with the encodings of pieces already met."""
 
-    _made: dict[tuple[str, str], Codec] = {}
+    _made: dict[tuple[str, str, int], Codec] = {}
 
-    def __init__(self, ranks_path: str, pattern: str):
+    def __init__(self, ranks_path: str, pattern: str, kept: int = KEPT):
         import regex
 
         ranks = load_ranks(ranks_path)
@@ -295,19 +295,19 @@ class Codec:
             tokens = encode(match.encode("utf-8", "surrogatepass"))
             return pack(f"<{len(tokens)}I", *tokens)
 
-        pieces = Remembered(piece).__getitem__
+        pieces = Remembered(piece, kept).__getitem__
 
         def stretch(text: str) -> bytes:
             matches = find(text)
             return piece(matches[0]) if len(matches) == 1 else b"".join(map(pieces, matches))
 
         #: what lies between two cuts; the same for what follows a space, without it
-        self.stretches = Remembered(stretch)
-        self.spaced = Remembered(lambda word: stretch(" " + word))
+        self.stretches = Remembered(stretch, kept)
+        self.spaced = Remembered(lambda word: stretch(" " + word), kept)
 
     @classmethod
-    def of(cls, ranks_path: str, pattern: str) -> Codec:
-        key = (ranks_path, pattern)
+    def of(cls, ranks_path: str, pattern: str, kept: int = KEPT) -> Codec:
+        key = (ranks_path, pattern, kept)
         if key not in cls._made:
             cls._made[key] = cls(*key)
         return cls._made[key]
@@ -330,12 +330,15 @@ class Codec:
 holds(Codec._made.clear)
 
 
-def encode(documents: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id", ids: bool = True) -> DataFrame:
-    """One row for each row: key, n_tokens, ids_sha256, decoded_sha256, and the ids themselves (array<int>) if asked for."""
+def encode(documents: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id", ids: bool = True, kept: int = KEPT) -> DataFrame:
+    """One row for each row: key, n_tokens, ids_sha256, decoded_sha256, and the ids themselves (array<int>) if asked for.
+
+    ``kept``: bytes of one generation of remembered encodings; fewer take less memory of a worker and more time.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enter("bpe")
-        codec = Codec.of(ranks_path, pattern)
+        codec = Codec.of(ranks_path, pattern, kept)
         for b in batches:
             n, hashes, decoded, out = [], [], [], []
             for x in b.column("text"):
