@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spectralake.session import dealt
+
 
 def topk(rows: DataFrame, keys: list[str], order: list[Column], k: int, count: str | None = None) -> DataFrame:
     """The first k rows of each group with their ``rank``; ``count`` names a column for the whole group's size."""
@@ -37,7 +39,7 @@ def tiers(rows: DataFrame, keys: list[str], kind: str, score: str, fragments: st
     """
     w = Window.partitionBy(*keys)
     top = F.abs(F.col(score) - F.max(score).over(w)) <= tolerance
-    out = rows.withColumn("_top", top)
+    out = dealt(rows, *keys).withColumn("_top", top)
     most = F.max(F.when(F.col("_top"), F.col(fragments))).over(Window.partitionBy(*keys, kind))
     out = out.withColumn("demoted", F.col("_top") & (F.col(fragments) < most))
     out = out.withColumn("_part", F.when(~F.col("_top"), 2).otherwise(F.col("demoted").cast("int")))
