@@ -16,7 +16,7 @@ def ion_pairs(rows: DataFrame, key: str, mz: str, on: list[str], deltas: dict[st
     left = rows.select(*on, F.col(key).alias("id_a"), F.col(mz).alias("mz_a"), F.explode(table).alias("_f")).select("*", F.col("_f.form").alias("form"), (F.col("mz_a") + F.col("_f.delta")).alias("_at")).drop("_f")
     right = rows.select(*on, F.col(key).alias("id_b"), F.col(mz).alias("mz_b"))
     tol = F.col("mz_a") * ppm * 1e-6
-    return interval_join(left, right, F.col("_at") - tol, F.col("_at") + tol, F.col("mz_b"), width, on=on).drop("_at")
+    return interval_join(left, right, F.col("_at") - tol, F.col("_at") + tol, F.col("mz_b"), width, on=on, deal=True).drop("_at")
 
 
 def ion_relations(rows: DataFrame, key: str, mode: str, ppm: float = 5.0, rt_minutes: float = 0.05, width: float = 0.5) -> DataFrame:

@@ -6,25 +6,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spectralake.functions.masses import ppm_error
+from spectralake.session import dealt
 
 
 #: Bins that one probe row may touch.
 MOST_BINS = 100_000
 
 
-def interval_join(probe: DataFrame, build: DataFrame, low: Column, high: Column, value: Column, width: float, on: list[str] | None = None) -> DataFrame:
+def interval_join(probe: DataFrame, build: DataFrame, low: Column, high: Column, value: Column, width: float, on: list[str] | None = None, deal: bool = False) -> DataFrame:
     """Rows of probe with the rows of build whose ``value`` lies in [low, high]; ``width`` is the bin, about high - low.
 
     The probe side goes to every bin its interval touches, the build side to one, so no pair is made twice and the join is
     an equi-join that shuffles by bin and the columns of ``on``. Nulls, NaN and empty intervals match nothing; an interval of
-    more than MOST_BINS bins is an error, as it asks for a larger width.
+    more than MOST_BINS bins is an error, as it asks for a larger width. ``deal`` keeps the parts of both sides from being merged.
     """
     left = probe.withColumn("_low", low).withColumn("_high", high).where("_low <= _high and not isnan(_low) and not isnan(_high)")
     first, last = F.floor(F.col("_low") / width), F.floor(F.col("_high") / width)
     wide = F.when(last - first >= MOST_BINS, F.raise_error(F.lit("an interval is far wider than the bins")).cast("long")).otherwise(last)
     left = left.withColumn("_bin", F.explode(F.sequence(first, wide)))
     right = build.withColumn("_value", value).where("_value is not null and not isnan(_value)").withColumn("_bin", F.floor(F.col("_value") / width))
-    out = left.join(right, [*(on or []), "_bin"])
+    keys = [*(on or []), "_bin"]
+    out = dealt(left, *keys).join(dealt(right, *keys).hint("merge"), keys) if deal else left.join(right, keys)
     return out.where(F.col("_value").between(F.col("_low"), F.col("_high"))).drop("_bin", "_low", "_high", "_value")
 
 
