@@ -198,3 +198,30 @@ def test_doubtful_blocks_go_only_where_they_repeat(spark):
     got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got[1] == "story 1 has its own words end 1" and got[5] == "story 5 has its own words end 5"
     assert "many friends" in got[3] and got[4] == "story 4 has its own words A sentence that only this page has end 4"
+
+
+def test_plain_blocks_go_where_half_of_a_host_has_them(spark, monkeypatch):
+    r = random.Random(5)
+    make = lambda n: " ".join(f"w{r.randrange(10**6)}" for _ in range(n))
+    notice, quoted, cookie, story = make(15), make(14), "We use cookies", make(60)
+    page = lambda *paragraphs: "<article>" + "".join(f"<p>{p}</p>" for p in paragraphs) + "</article>"
+    rows, want = [], {}
+
+    def add(host, kept, *paragraphs):
+        rows.append((len(rows), f"http://{host}/{len(rows)}", page(*paragraphs)))
+        want[len(rows) - 1] = " ".join(kept)
+
+    for i in range(8):  # a notice on 6 of 8 pages, a short one on all, a quotation on 3
+        own, end = make(30), make(20)
+        more = [notice] if i < 6 else [quoted + " " + make(5)]
+        text = [quoted] if i == 0 else []
+        add("a.com", [own, *text, *(more if i >= 6 else []), end], own, *text, *more, cookie, end)
+    for _ in range(3):  # what three pages share is too few
+        own = make(30)
+        add("b.com", [own, notice], own, notice)
+    for i in range(5):  # copies of one story but for a word stay whole
+        add("c.com", [story, f"number{i}"], story, f"number{i}")
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for tokens in (html_text.HOST_TOKENS, 100):
+        monkeypatch.setattr(html_text, "HOST_TOKENS", tokens)
+        assert {x.page_id: x.text for x in html_text.extract(df).collect()} == want
