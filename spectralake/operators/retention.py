@@ -1,7 +1,7 @@
 """Retention over carbons: plain curves as aggregates, robust and ordered models of each class by kernels, evaluation as a join.
 
-Only rows that may train go to a kernel, one class (or one series of it) to a call; the models, a few numbers each, are joined back,
-so evaluating all rows is one hash join and expressions.
+Only rows that may train go to a kernel, one class (or one series of it) to a call, and of these only the one of each carbon and
+time (or 0.05 min) that can count; the models, a few numbers each, are joined back, so evaluating all rows is one hash join and expressions.
 """
 
 from __future__ import annotations
@@ -56,16 +56,33 @@ def _row(curve: sm.Curve, points: pd.DataFrame, original: int) -> tuple:
     return curve.kind, *coef, curve.low, curve.high, curve.n, original, None if np.isnan(r2) else r2, curve.support
 
 
-def _run(rows: DataFrame, keys: list[str], kernel) -> DataFrame:
+NAMES = [c.strip().split()[0] for c in MODEL.split(",")]
+
+
+def _schema(rows: DataFrame, keys: list[str]) -> str:
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    names = [c.strip().split()[0] for c in MODEL.split(",")]
-    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "total_db long", MODEL, "anchors array<long>", "removed array<long>"])
+    return ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "total_db long", MODEL, "anchors array<long>", "removed array<long>"])
+
+
+def _first(rows: DataFrame, at: list[Column | str], order: list[Column | str]) -> DataFrame:
+    """Of each group the first row in an order, and the number of its rows as _n."""
+    kept = F.struct(*rows.columns)
+    return rows.groupBy(*at).agg(F.min_by(kept, F.struct(*order)).alias("_f"), F.count("*").alias("_n")).select("_f.*", "_n")
+
+
+def _best(score: str = "score") -> list[Column]:
+    """Sort keys: the highest score first, rows without one last."""
+    none = F.col(score).isNull() | F.isnan(F.col(score).cast("double"))
+    return [none.alias("_s0"), F.when(~none, -F.col(score)).alias("_s1")]
+
+
+def _run(rows: DataFrame, keys: list[str], kernel) -> DataFrame:
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
         out = [(*(pdf[k].iloc[0] for k in keys), db, *_row(curve, points, original), list(map(int, anchors)), list(map(int, removed))) for db, curve, points, original, anchors, removed in kernel(pdf)]
-        return pd.DataFrame(out, columns=[*keys, "total_db", *names, "anchors", "removed"])
+        return pd.DataFrame(out, columns=[*keys, "total_db", *NAMES, "anchors", "removed"])
 
-    return rows.groupBy(*keys).applyInPandas(work, schema)
+    return rows.groupBy(*keys, "total_db").applyInPandas(work, _schema(rows, keys))
 
 
 def robust_models(points: DataFrame, keys: list[str]) -> DataFrame:
@@ -94,18 +111,60 @@ def rescued_models(points: DataFrame, keys: list[str]) -> DataFrame:
             curve.support = f"rescued {replaced}+{added}"
             yield int(db), curve, active, len(first), active.index, curve.removed
 
-    return _run(points, keys, kernel)
+    # of lower rows at one carbon and time only the best can replace or extend
+    lower = _first(points.where("not top and rank between 2 and 3"), [*keys, "total_db", "total_c", "rt"], ["rank", *_best(), "ord"])
+    return _run(points.where("top").unionByName(lower.drop("_n")), keys, kernel)
 
 
 def ordered_models(rows: DataFrame, keys: list[str], threshold: float = sm.PASS) -> DataFrame:
-    """Curves of a family that don't cross, for each number of double bonds that has one; rows: ord, total_db, total_c, rt, score, rank."""
+    """Curves of a family that don't cross, for each number of double bonds that has one; rows: ord, total_db, total_c, rt, score, rank.
 
-    def kernel(pdf: pd.DataFrame):
-        pdf = pdf.sort_values("ord", kind="stable").set_index("ord", drop=False).rename_axis(None)
-        for db, (curve, points) in sm.ordered_family(pdf, threshold).items():
-            yield db, curve, points, int((pdf.total_db == db).sum()), points.index, []
+    A class meets in one call with the best row of each carbon and 0.05 min. Borrowed curves go through the rows nearest to them; these
+    are found among all rows by a join, so no call holds more than the time axis has room for.
+    """
+    series = [*keys, "total_db"]
+    clean = rows.select(*series, "ord", "total_c", "rt", "score", "rank").where("total_db is not null")
+    bins = F.when(~F.isnan(F.col("rt").cast("double")), F.rint(F.col("rt") / sm.BIN)).alias("_bin")
+    binned = _first(clean, [*series, "total_c", bins], [*_best(), F.col("rank").isNull().alias("_r"), "rank", "ord"])
 
-    return _run(rows, keys, kernel)
+    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("ord", kind="stable").set_index("ord", drop=False).rename_axis(None)
+        groups = {int(db): g for db, g in pdf.groupby("total_db")}
+        accepted = sm.observed_family(groups, threshold)
+        out = []
+        for db, group in groups.items():
+            key, n = [pdf[k].iloc[0] for k in keys], int(group["_n"].sum())
+            if db in accepted:
+                curve, points = accepted[db]
+                out.append((*key, db, *_row(curve, points, n), list(map(int, points.index)), [], None, None, None, None))
+            elif len(accepted) >= 2 and (plan := sm.between(db, accepted)) is not None:
+                coef, low, high, pair = plan
+                out.append((*key, db, *[None] * 7, n, None, None, None, None, list(map(float, coef)), low, high, list(pair)))
+        return pd.DataFrame(out, columns=[*keys, "total_db", *NAMES, "anchors", "removed", "_coef", "_low", "_high", "_pair"])
+
+    schema = _schema(rows, keys)
+    settled = binned.groupBy(*keys).applyInPandas(settle, f"{schema}, _coef array<double>, _low double, _high double, _pair array<long>")
+    plans = settled.where("_coef is not null").select(*series, "_coef", "_low", "_high")
+    # of rows at one carbon and time only the best can be the nearest
+    distinct = _first(clean, [*series, "total_c", "rt"], [*_best(), "ord"]).drop("_n")
+    c = F.col("total_c").cast("double")
+    off = F.abs(F.col("rt") - (F.col("_coef")[0] + (F.col("_coef")[1] + F.col("_coef")[2] * c) * c))
+    close = distinct.join(plans, series).where(F.col("total_c").between(F.col("_low"), F.col("_high")) & (off <= threshold)).withColumn("_off", off)
+    near = _first(close, [*series, "total_c"], ["_off", *_best(), "ord"]).select(*series, "ord", "total_c", "rt", "score", "_off")
+
+    def finish(done: pd.DataFrame, points: pd.DataFrame) -> pd.DataFrame:
+        own = done[done["_coef"].isna()].astype({"n_points": "int64", "n_original": "int64"})
+        accepted = {int(r.total_db): (sm.Curve(r.kind, tuple(x for x in (r.c0, r.c1, r.c2) if not pd.isna(x)), r.carbon_min, r.carbon_max), None) for r in own.itertuples()}
+        points = points.sort_values("ord", kind="stable").set_index("ord", drop=False).rename_axis(None)
+        points = points.sort_values(["_off", "score"], ascending=[True, False], kind="stable")
+        asked = done[~done["_coef"].isna()]
+        plans = {int(db): (np.asarray(coef, float), tuple(map(int, pair)), int(n)) for db, coef, pair, n in zip(asked["total_db"], asked["_coef"], asked["_pair"], asked["n_original"], strict=True)}
+        new = sm.lend(accepted, {db: (points[points.total_db == db], coef, pair) for db, (coef, pair, _) in plans.items()})
+        lent = [(*(done[k].iloc[0] for k in keys), db, *_row(curve, p, plans[db][2]), list(map(int, p.index)), []) for db, (curve, p) in new.items()]
+        columns = [*keys, "total_db", *NAMES, "anchors", "removed"]
+        return pd.concat([own[columns].astype(object), pd.DataFrame(lent, columns=columns, dtype=object)], ignore_index=True)
+
+    return settled.groupBy(*keys).cogroup(near.groupBy(*keys)).applyInPandas(finish, schema)
 
 
 def predicted(c: Column) -> Column:

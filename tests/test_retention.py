@@ -89,3 +89,30 @@ def test_closed_form_equals_the_kernel(spark):
         kind, coef = sm.fit(own[:, 0], own[:, 1])
         assert got[k].kind == kind and np.allclose([got[k].c0, got[k].c1, got[k].c2 or 0][: len(coef)], coef, atol=1e-5)
         assert got[k].r2 == pytest.approx(sm.r_squared(own[:, 1], np.polyval(coef[::-1], own[:, 0])), abs=1e-9)
+
+
+def test_ordered_models_send_few_rows_to_a_call_and_equal_the_family(spark):
+    r = np.random.default_rng(8)
+    rows = []
+    for k in range(6):
+        # own, observed and borrowed series; copies at the same carbon and time, and many times within one bin
+        spread = {0: range(30, 40), 1: range(30, 40), 2: (34, 36), 3: range(30, 40), 4: (35,), 5: (33, 34, 35, 37) if k % 2 else (35,)}
+        for db, carbons in spread.items():
+            for c in carbons:
+                for _ in range(30):
+                    rows.append((f"K{k}", db, int(c), float(c / 4 - 0.8 * db + r.choice([0, 0.004, 0.01, 0.2, -0.3, 2.0]) + (0.11 * (c - 33) if db == 5 else 0) * r.integers(0, 2)), float(r.integers(50, 54)) if r.integers(0, 9) else None, int(r.integers(1, 4))))
+    order = r.permutation(len(rows)).tolist()
+    data = [(i, *rows[j]) for i, j in enumerate(order)]
+    names = ["ord", "subclass", "total_db", "total_c", "rt", "score", "rank"]
+    want, supports = {}, set()
+    for k, g in pd.DataFrame(data, columns=names).groupby("subclass"):
+        for db, (curve, points) in sm.ordered_family(g.set_index("ord", drop=False).rename_axis(None)).items():
+            supports.add(curve.support.split("_DB")[0])
+            want[k, db] = (curve.kind, tuple(curve.coef), curve.low, curve.high, curve.support, list(points.index), int((g.total_db == db).sum()))
+    assert supports == {"independent_consensus", "observed_two_point", "neighbor_supported"}
+    df = spark.createDataFrame(data, "ord long, subclass string, total_db long, total_c long, rt double, score double, rank long")
+    got = retention.ordered_models(df, ["subclass"]).collect()
+    assert {(x.subclass, x.total_db): (x.kind, tuple(v for v in (x.c0, x.c1, x.c2) if v is not None), x.carbon_min, x.carbon_max, x.support, x.anchors, x.n_original) for x in got} == want
+    plan = retention.ordered_models(df, ["subclass"])._jdf.queryExecution().optimizedPlan().toString()
+    # rows meet in a class only after an aggregate by carbon and time
+    assert plan.index("FlatMapGroupsInPandas") < plan.index("Aggregate") and plan.count("rint") > 0
