@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spectralake.functions import names, scoring
 from spectralake.operators import graphs, joins, linking, ranking, series, tables
-from spectralake.session import table
+from spectralake.session import dealt, table
 from spectralake.sources import msp
 from spectralake.streaming import live
 
@@ -135,9 +135,10 @@ def fragment_text(spark: SparkSession, d: str) -> DataFrame:
 
 
 def msp_parse(spark: SparkSession, d: str) -> DataFrame:
-    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_quantity", "l_tax")
+    # short rows that ask for long work: merged by their bytes they would be a few long tasks
+    lines = dealt(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_quantity"), "o_orderkey")
     peaks = lines.groupBy("o_orderkey").agg(F.array_sort(F.collect_list(F.struct(F.col("l_linenumber").cast("double").alias("mz"), F.col("l_quantity").alias("intensity"), F.lit("Common").alias("name")))).alias("p"))
-    rows = table(spark, d, "orders").select("o_orderkey", "o_orderpriority", "o_custkey").join(peaks, "o_orderkey")
+    rows = dealt(table(spark, d, "orders").select("o_orderkey", "o_orderpriority", "o_custkey"), "o_orderkey").join(peaks, "o_orderkey")
     text = rows.select(msp.block(F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("double"), F.lit("[M+H]+"), F.col("o_orderpriority"), F.col("p")).alias("value"))
     got = msp.records(text)
     return got.select("name", "precursor_mz", "adduct", "compound_class", F.size("fragments").cast("long").alias("n_fragments"), F.aggregate("fragments", F.lit(0.0), lambda a, p: a + p["mz"] * p["intensity"]).alias("moment"))

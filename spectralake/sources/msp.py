@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,9 +13,14 @@ PEAK = rf"^\s*({NUMBER})\s+({NUMBER})(?:\s+(.*))?$"
 BLANK = " \t\x0b\f"
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _lines(block: Column) -> Column:
     """Lines without blanks around them; line feeds with or without carriage returns end one."""
-    return F.filter(F.transform(F.split(block, "\r?\n|\r"), lambda x: F.trim(x)), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.translate(block, "\r", "\n"), "\n"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def _field(lines: Column, name: str) -> Column:
@@ -28,49 +35,67 @@ def _comment(text: Column, name: str) -> Column:
     return F.when(found != "", F.trim(found))
 
 
+def _header(block: Column) -> Column:
+    """The header fields of a block; _rest is what follows ``num peaks:``."""
+
+    def fields(parts: Column, head: Column) -> Column:
+        # the first line of a name counts; without one there is no position, so null
+        text = lambda name: F.get(head["texts"], F.array_position(head["names"], name).cast("int") - 1)
+        rest = F.get(parts, F.lit(1))
+        comments = _bound(F.coalesce(text("comment"), F.lit("")), lambda c: F.struct(_comment(c, "ms1_name").alias("ms1_name"), _comment(c, "polarity").alias("polarity")))
+        return F.struct(
+            F.nullif(text("name"), F.lit("")).alias("name"), text("precursormz").try_cast("double").alias("precursor_mz"), F.nullif(text("precursortype"), F.lit("")).alias("adduct"),
+            F.nullif(text("compoundclass"), F.lit("")).alias("compound_class"), F.nullif(text("formula"), F.lit("")).alias("formula"), comments.alias("_c"),
+            F.trim(F.substring_index(F.translate(F.coalesce(rest, F.lit("")), "\r", "\n"), "\n", 1)).try_cast("int").alias("n_peaks"), rest.alias("_rest"),
+        )
+
+    def head(lines: Column) -> Column:
+        names = F.transform(lines, lambda x: F.lower(F.trim(F.substring_index(x, ":", 1))))
+        return F.struct(names.alias("names"), F.transform(lines, lambda x: F.regexp_extract(x, r"^[^:]*:\s*(.*)$", 1)).alias("texts"))
+
+    split = F.split(block, r"(?i)(?:^|\n)\s*num peaks\s*:", 2)
+    return _bound(split, lambda p: _bound(_bound(_lines(F.get(p, F.lit(0))), head), lambda h: fields(p, h)))
+
+
 def headers(blocks: DataFrame, column: str = "value") -> DataFrame:
     """The header fields of each block that has a precursor, without its peaks."""
-    head = blocks.select(F.split(F.col(column), r"(?i)(?<=^|\n)\s*num peaks\s*:", 2).alias("_p"))
-    split = head.select(_lines(F.get("_p", F.lit(0))).alias("_h"), F.get("_p", F.lit(1)).alias("_rest"))
-    comment = F.coalesce(_field(F.col("_h"), "comment"), F.lit(""))
-    out = split.select(
-        F.nullif(_field(F.col("_h"), "name"), F.lit("")).alias("name"), _field(F.col("_h"), "precursormz").try_cast("double").alias("precursor_mz"), F.nullif(_field(F.col("_h"), "precursortype"), F.lit("")).alias("adduct"),
-        F.nullif(_field(F.col("_h"), "compoundclass"), F.lit("")).alias("compound_class"), F.nullif(_field(F.col("_h"), "formula"), F.lit("")).alias("formula"), _comment(comment, "ms1_name").alias("ms1_name"), _comment(comment, "polarity").alias("polarity"),
-        F.trim(F.substring_index(F.regexp_replace(F.coalesce("_rest", F.lit("")), "\r", "\n"), "\n", 1)).try_cast("int").alias("n_peaks"), F.col("_rest"),
-    )
-    return out.where("precursor_mz is not null")
+    # a block gives one record or none: a filter on a later column would read every block twice
+    found = F.filter(F.array(_header(F.col(column))), lambda h: h["precursor_mz"].isNotNull())
+    out = blocks.select(F.inline(found))
+    return out.select("name", "precursor_mz", "adduct", "compound_class", "formula", "_c.ms1_name", "_c.polarity", "n_peaks", "_rest")
 
 
 def _peaks(lines: Column) -> Column:
     """Peak lines as mz, intensity, name, type, required_group, weight: labels in quotes are name and type, or a JSON object of all.
 
-    Each transform binds what the next one uses more than once, so a line is split, looked through for quotes and read as JSON once.
+    Each transform binds what the next one uses more than once, so a line is split, cut at its quotes and read as JSON once.
     """
-    none = F.array().cast("array<string>")
     parts = F.transform(lines, lambda x: F.split(F.trim(x, F.lit(BLANK)), r"\s+", 3))
-    rests = F.transform(parts, lambda p: F.struct(F.get(p, F.lit(0)).cast("double").alias("mz"), F.get(p, F.lit(1)).cast("double").alias("intensity"), F.trim(F.coalesce(F.get(p, F.lit(2)), F.lit(""))).alias("rest")))
+    cut = F.transform(parts, lambda p: F.struct(p.alias("p"), F.split(F.get(p, F.lit(2)), '"').alias("cut")))
+    rest = lambda p: F.trim(F.coalesce(F.get(p["p"], F.lit(2)), F.lit("")))
     whole = lambda r: r.startswith('"') & r.endswith('"') & (F.length(r) >= 2)
-    looked = F.transform(rests, lambda p: F.struct(
-        p["mz"].alias("mz"), p["intensity"].alias("intensity"), p["rest"].alias("rest"), F.when(F.contains(p["rest"], F.lit('"')), F.regexp_extract_all(p["rest"], F.lit('"([^"]*)"'), F.lit(1))).otherwise(none).alias("quoted"),
-        F.when(whole(p["rest"]), F.substring(p["rest"], 2, F.length(p["rest"]) - 2)).otherwise(p["rest"]).alias("inner"),
-    ))
-    known = F.transform(looked, lambda p: F.struct(
-        p["mz"].alias("mz"), p["intensity"].alias("intensity"), p["rest"].alias("rest"), p["quoted"].alias("quoted"), F.when(F.ltrim(p["inner"]).startswith("{"), F.from_json(p["inner"], "name string, type string, required_group string, weight double")).alias("json"),
-    ))
-    label = lambda p: F.coalesce(F.get(p["quoted"], F.lit(0)), p["rest"])
-    kind = lambda p: F.coalesce(F.nullif(F.get(p["quoted"], F.lit(1)), F.lit("")), F.lit("Common"))
-    return F.transform(known, lambda p: F.struct(
-        p["mz"].alias("mz"), p["intensity"].alias("intensity"), F.coalesce(p["json"]["name"], label(p)).alias("name"), F.coalesce(p["json"]["type"], kind(p)).alias("type"),
-        F.nullif(p["json"]["required_group"], F.lit("")).alias("required_group"), F.coalesce(p["json"]["weight"], F.lit(1.0)).alias("weight"),
-    ))
+    inner = lambda r: F.when(whole(r), F.substring(r, 2, F.length(r) - 2)).otherwise(r)
+    json = lambda p: F.when(F.contains(F.get(p["p"], F.lit(2)), F.lit("{")), _bound(inner(rest(p)), lambda r: F.when(F.ltrim(r).startswith("{"), F.from_json(r, "name string, type string, required_group string, weight double"))))
+    # what stands between the first two quotes, and between the next two
+    quoted = lambda p, i: F.when(F.size(p["cut"]) > 2 * i, F.get(p["cut"], F.lit(2 * i - 1)))
+    kind = lambda p: F.when(F.size(p["cut"]) > 4, F.coalesce(F.nullif(quoted(p, 2), F.lit("")), F.lit("Common"))).otherwise("Common")
+
+    def plain(p: Column) -> Column:
+        named = [F.coalesce(quoted(p, 1), rest(p)).alias("name"), kind(p).alias("type"), F.lit(None).cast("string").alias("required_group"), F.lit(1.0).alias("weight")]
+        return F.struct(F.get(p["p"], F.lit(0)).cast("double").alias("mz"), F.get(p["p"], F.lit(1)).cast("double").alias("intensity"), *named)
+
+    def labelled(p: Column, j: Column) -> Column:
+        plain_ = plain(p)
+        named = [F.coalesce(j["name"], plain_["name"]).alias("name"), F.coalesce(j["type"], plain_["type"]).alias("type"), F.nullif(j["required_group"], F.lit("")).alias("required_group"), F.coalesce(j["weight"], F.lit(1.0)).alias("weight")]
+        return F.struct(plain_["mz"].alias("mz"), plain_["intensity"].alias("intensity"), *named)
+
+    return F.transform(cut, lambda p: F.when(F.contains(F.get(p["p"], F.lit(2)), F.lit("{")), _bound(json(p), lambda j: labelled(p, j))).otherwise(plain(p)))
 
 
 def records(blocks: DataFrame, column: str = "value") -> DataFrame:
     """Header fields and ``fragments`` in the order of the file; lines that aren't peaks are left out."""
     lines = F.filter(F.slice(_lines(F.concat(F.lit("-\n"), F.coalesce("_rest", F.lit("")))), 2, 1 << 30), lambda x: x.rlike(PEAK))
-    # the number of peaks stands on the first line
-    body = F.when(F.regexp_extract(F.col("_rest"), r"^([^\n]*)", 1).rlike(r"^\s*\d+\s*$"), F.filter(lines, lambda x: ~x.rlike(r"^\d+$"))).otherwise(lines)
-    return headers(blocks, column).withColumn("fragments", _peaks(body)).drop("_rest")
+    return headers(blocks, column).withColumn("fragments", _peaks(lines)).drop("_rest")
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:

@@ -230,3 +230,14 @@ def test_saved_runs(spark, tmp_path):
     native, aligned, detector = get("d")
     assert detector == "pyopenms" and aligned is None and native.count() == 1
     assert get("e")[:2] == (None, None)
+
+
+def test_a_block_of_a_library_is_taken_apart_once(spark):
+    odd = ["Name: a\r\nPRECURSORMZ : 5\nName: b\n num PEAKS : 2\n1 2 \"x\" \"T\"\n\t.5\t1e3  {\"name\": \"j\", \"type\": \"K\", \"weight\": 2}\nno peak\n3 4 \"u\"v\"w\"", "Name: c\nPrecursorMZ: x\nNum Peaks: 1\n1 2", "PrecursorMZ: 7\nComment: polarity=-; ms1_name=B", None, ""]
+    blocks = spark.createDataFrame([(x,) for x in odd], "value string")
+    got = msp.records(blocks)
+    a, b = got.collect()
+    assert (a.name, a.precursor_mz, a.adduct, a.n_peaks) == ("a", 5.0, None, 2) and (b.name, b.ms1_name, b.polarity, b.fragments) == (None, "B", "-", [])
+    assert [tuple(f) for f in a.fragments] == [(1.0, 2.0, "x", "T", None, 1.0), (0.5, 1000.0, "j", "K", None, 2.0), (3.0, 4.0, "u", "w", None, 1.0)]
+    # a filter or field that repeats the split would read every block again
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("num peaks") == 1
