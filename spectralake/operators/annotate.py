@@ -17,6 +17,19 @@ def ordered_unique(order: Column | str, text: Column) -> Column:
     return F.array_join(F.array_distinct(F.transform(pairs, lambda p: p["t"])), ";")
 
 
+def ordered_lists(rows: DataFrame, key: str, order: str, texts: dict[str, str]) -> DataFrame:
+    """ordered_unique() of several columns (name of the list: column) for each key. Each text is first reduced to its least order, so that
+    a key with many rows and few texts is never collected whole; equal orders go by text."""
+    pairs = rows.select(F.col(key), F.col(order).alias("_o"), F.posexplode(F.array(*texts.values())).alias("_i", "_t"))
+    firsts = pairs.groupBy(key, "_i", "_t").agg(F.min("_o").alias("_o"))
+    return firsts.groupBy(key).agg(*[ordered_unique("_o", F.when(F.col("_i") == i, F.col("_t"))).alias(name) for i, name in enumerate(texts)])
+
+
+def _with_lists(grouped: DataFrame, lists: DataFrame, key: str) -> DataFrame:
+    """The two joined by key; a null key is a group too."""
+    return grouped.join(lists.withColumnRenamed(key, "_k"), F.col(key).eqNullSafe(F.col("_k"))).drop("_k")
+
+
 def scan_label(source: Column, scan: Column) -> Column:
     return F.when(F.coalesce(scan, F.lit("")) == "", "").when(F.coalesce(source, F.lit("")) == "", scan).otherwise(F.concat(source, F.lit(":"), scan))
 
@@ -50,9 +63,8 @@ def orphan_summaries(rows: DataFrame, cluster: str, mass: str, order: str) -> Da
 
 def linked_counts(rows: DataFrame, key: str, order: str) -> DataFrame:
     """Distinct spectra and files of each key, and their ordered distinct lists. Rows: spectrum, source_file, scan_id."""
-    return rows.groupBy(key).agg(
-        F.count_distinct("spectrum").alias("n_scans"), F.count_distinct("source_file").alias("n_files"), ordered_unique(order, F.col("source_file")).alias("files"), ordered_unique(order, F.col("scan_id")).alias("scans")
-    )
+    counts = rows.groupBy(key).agg(F.count_distinct("spectrum").alias("n_scans"), F.count_distinct("source_file").alias("n_files"))
+    return _with_lists(counts, ordered_lists(rows, key, order, {"files": "source_file", "scans": "scan_id"}), key)
 
 
 def centres(rows: DataFrame, key: str, spectrum: str, order: str, values: list[str]) -> DataFrame:
@@ -137,10 +149,10 @@ def chain_evidence(tokens: Column, matched: Column, unlabelled: Column) -> Colum
 
 def consensus_features(members: DataFrame, key: str) -> DataFrame:
     """Peak members of a consensus (source_file, mz, rt, rt_min, rt_max, intensity, ord): mean mass and time, union of bounds, sample count."""
-    return members.groupBy(key).agg(
-        F.avg("mz").alias("mz"), F.avg("rt").alias("rt"), F.min("rt_min").alias("rt_min"), F.max("rt_max").alias("rt_max"), F.count_distinct("source_file").alias("n_samples"),
-        F.sum("intensity").alias("intensity"), ordered_unique("ord", F.col("source_file")).alias("samples"),
-    )
+    out = members.groupBy(key).agg(
+        F.avg("mz").alias("mz"), F.avg("rt").alias("rt"), F.min("rt_min").alias("rt_min"), F.max("rt_max").alias("rt_max"), F.count_distinct("source_file").alias("n_samples"), F.sum("intensity").alias("intensity")
+    )
+    return _with_lists(out, ordered_lists(members, key, "ord", {"samples": "source_file"}), key)
 
 
 def largest_members(members: DataFrame, key: str, sample: str, value: str, kind: str, least_qc: float) -> DataFrame:

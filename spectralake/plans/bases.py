@@ -45,8 +45,13 @@ def candidates(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").selectExpr(*[f"{v} AS {k}" for k, v in CANDIDATE.items()])
 
 
+def placed_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """Candidates with ``_at``, their place in the table by file and position in it: spectrum and ord repeat, and ties go to the first row."""
+    return table(spark, d, "lineitem").selectExpr(*[f"{v} AS {k}" for k, v in CANDIDATE.items()], "struct(_metadata.file_path, _metadata.row_index) AS _at")
+
+
 def first_candidates(spark: SparkSession, d: str) -> DataFrame:
     """The first row in the table, by file and position in it, of each spectrum's candidates with ord 1: some spectra have several."""
-    rows = table(spark, d, "lineitem").selectExpr(*[f"{v} AS {k}" for k, v in CANDIDATE.items()], "struct(_metadata.file_path, _metadata.row_index) AS _at").where("ord = 1")
+    rows = placed_candidates(spark, d).where("ord = 1")
     kept = [k for k in CANDIDATE if k != "spectrum"]
     return rows.groupBy("spectrum").agg(F.min_by(F.struct(*kept), "_at").alias("_f")).select("spectrum", "_f.*")

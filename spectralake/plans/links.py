@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spectralake.operators import annotate, associate, graphs
-from spectralake.plans.bases import CANDIDATES, candidates, first_candidates
+from spectralake.plans.bases import CANDIDATES, candidates, first_candidates, placed_candidates
 from spectralake.session import table
 
 _MIN = "epoch_us(ts)::DOUBLE / 6e7"
 
 
+def _place() -> Column:
+    """The order of placed candidates."""
+    return F.struct((F.col("spectrum") * 10 + F.col("ord")).alias("ord"), "_at").alias("ord")
+
+
 def _events(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", "user_id", "event_type", "value", F.to_date("ts").alias("day"), (F.unix_micros(F.col("ts").cast("timestamp")).cast("double") / 6e7).alias("rt"))
 
@@ -144,7 +149,7 @@ def orphan_summaries(spark: SparkSession, d: str) -> DataFrame:
 
 
 def linked_lists(spark: SparkSession, d: str) -> DataFrame:
-    rows = candidates(spark, d).select((F.col("suppkey") % 40).alias("key"), "spectrum", F.concat(F.lit("n"), F.col("spectrum") % 17).alias("scan_id"), "source_file", "rt", "final_score", (F.col("spectrum") * 10 + F.col("ord")).alias("ord"))
+    rows = placed_candidates(spark, d).select((F.col("suppkey") % 40).alias("key"), "spectrum", F.concat(F.lit("n"), F.col("spectrum") % 17).alias("scan_id"), "source_file", "rt", "final_score", _place())
     return annotate.linked_counts(rows, "key", "ord").join(annotate.centres(rows, "key", "spectrum", "ord", ["rt", "final_score"]), "key")
 
 
@@ -169,7 +174,7 @@ def relation_evidence(spark: SparkSession, d: str) -> DataFrame:
 
 
 def consensus_features(spark: SparkSession, d: str) -> DataFrame:
-    rows = candidates(spark, d).select((F.col("partkey") % 500).alias("consensus"), "source_file", F.col("final_score").alias("mz"), "rt", (F.col("rt") - F.col("ord")).alias("rt_min"), (F.col("rt") + F.col("ord")).alias("rt_max"), "intensity", (F.col("spectrum") * 10 + F.col("ord")).alias("ord"))
+    rows = placed_candidates(spark, d).select((F.col("partkey") % 500).alias("consensus"), "source_file", F.col("final_score").alias("mz"), "rt", (F.col("rt") - F.col("ord")).alias("rt_min"), (F.col("rt") + F.col("ord")).alias("rt_max"), "intensity", _place())
     out = annotate.consensus_features(rows, "consensus")
     return out.select("consensus", F.round("mz", 6).alias("mz"), F.round("rt", 6).alias("rt"), "rt_min", "rt_max", "n_samples", F.round("intensity", 3).alias("intensity"), "samples")
 
