@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spectralake.functions.masses import ION_MASSES
@@ -19,28 +19,40 @@ def ion_pairs(rows: DataFrame, key: str, mz: str, on: list[str], deltas: dict[st
     return interval_join(left, right, F.col("_at") - tol, F.col("_at") + tol, F.col("mz_b"), width, on=on, deal=True).drop("_at")
 
 
+#: Keys of one place that a row of ion_relations' join carries.
+KEYS = 512
+
+
 def ion_relations(rows: DataFrame, key: str, mode: str, ppm: float = 5.0, rt_minutes: float = 0.05, width: float = 0.5) -> DataFrame:
     """Pairs of features that may be two ions of one molecule: rows have ``key``, mz, rt and samples (array of those they are found in).
 
     For each pair of ion forms the heavier must lie within ppm of the neutral mass of where the lighter one puts it, the times
     must agree and a sample must have both. Self-join on bins of mass and time, shuffled on both sides: the driver holds no side.
+    Features of one mass, time and set of samples meet the same ones: only such places are joined, with up to KEYS features a row,
+    and a pair of places becomes its pairs of features once everything else about it is known.
     """
     forms = sorted(ION_MASSES[mode].items(), key=lambda x: x[1])
     pairs = F.array(*[F.struct(F.lit(a).alias("ion_a"), F.lit(b).alias("ion_b"), F.lit(m).alias("m_a"), F.lit(n).alias("m_b")) for i, (a, m) in enumerate(forms) for b, n in forms[i + 1 :]])
     step = max(2 * rt_minutes, 1e-6)
     times = F.sequence(F.floor((F.col("rt") - rt_minutes) / step - 1e-6), F.floor((F.col("rt") + rt_minutes) / step + 1e-6))
-    left = rows.select(F.col(key).alias("feature_a"), F.explode(times).alias("_t"), "mz", "rt", "samples")
-    left = left.select("feature_a", "_t", F.col("mz").alias("mz_a"), F.col("rt").alias("rt_a"), F.array_distinct("samples").alias("s_a"), F.explode(pairs).alias("f")).select("*", "f.*").drop("f")
-    right = rows.select(F.col(key).alias("feature_b"), F.floor(F.col("rt") / step).alias("_t"), F.col("mz").alias("mz_b"), F.col("rt").alias("rt_b"), F.array_distinct("samples").alias("s_b"))
+    one = rows.select(F.col(key).alias("_key"), "mz", "rt", F.array_sort(F.array_distinct("samples")).alias("s"))
+    part = F.floor((F.row_number().over(Window.partitionBy("mz", "rt", "s").orderBy("_key")) - 1) / KEYS)
+    places = one.withColumn("_part", part).groupBy("mz", "rt", "s", "_part").agg(F.collect_list("_key").alias("keys"))
+    left = places.select(F.col("keys").alias("keys_a"), F.explode(times).alias("_t"), F.col("mz").alias("mz_a"), F.col("rt").alias("rt_a"), F.col("s").alias("s_a"))
+    left = left.select("*", F.explode(pairs).alias("f")).select("*", "f.*").drop("f")
+    right = places.select(F.col("keys").alias("keys_b"), F.floor(F.col("rt") / step).alias("_t"), F.col("mz").alias("mz_b"), F.col("rt").alias("rt_b"), F.col("s").alias("s_b"))
     neutral = F.col("mz_a") - F.col("m_a")
     target, tol = F.col("mz_a") + (F.col("m_b") - F.col("m_a")), neutral * ppm * 1e-6
-    near = interval_join(left.where(neutral > 0), right.hint("merge"), target - tol, target + tol, F.col("mz_b"), width, on=["_t"])
+    near = interval_join(left.where(neutral > 0), right, target - tol, target + tol, F.col("mz_b"), width, on=["_t"], deal=True)
     shared = F.size(F.array_intersect("s_a", "s_b")).cast("long")
-    near = near.where((F.col("feature_a") != F.col("feature_b")) & (F.abs(F.col("rt_a") - F.col("rt_b")) <= rt_minutes) & (shared > 0))
-    return near.select(
-        "feature_a", "feature_b", "ion_a", "ion_b", ((neutral + F.col("mz_b") - F.col("m_b")) / 2).alias("neutral_mass"), ((F.col("mz_b") - target) / neutral * 1e6).alias("mass_error_ppm"),
+    near = near.where((F.abs(F.col("rt_a") - F.col("rt_b")) <= rt_minutes) & (shared > 0))
+    met = near.select(
+        "keys_a", "keys_b", "ion_a", "ion_b", ((neutral + F.col("mz_b") - F.col("m_b")) / 2).alias("neutral_mass"), ((F.col("mz_b") - target) / neutral * 1e6).alias("mass_error_ppm"),
         F.abs(F.col("rt_a") - F.col("rt_b")).alias("rt_difference_min"), shared.alias("shared_samples"),
     )
+    known = ["ion_a", "ion_b", "neutral_mass", "mass_error_ppm", "rt_difference_min", "shared_samples"]
+    out = met.select(F.explode("keys_a").alias("feature_a"), "keys_b", *known).select("feature_a", F.explode("keys_b").alias("feature_b"), *known)
+    return out.where(F.col("feature_a") != F.col("feature_b"))
 
 
 def confirmed_relations(relations: DataFrame, ppm: float = 5.0) -> DataFrame:
